@@ -52,7 +52,7 @@ def ohlcv_bars(
 
 def ticker_list(text: Column) -> Column:
     """``"a, b ,,c"`` to the array of trimmed, non-empty names."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda name: name != "")
+    return F.filter(F.transform(F.split(text, ","), lambda name: F.trim(name)), lambda name: name != "")
 
 
 def wide_to_long(wide: DataFrame, separator: str = "|", date: str = "date") -> DataFrame:
