@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 KS_TERMS = 100
 
@@ -46,13 +47,13 @@ def _chi2_tail(x: float, dof: int) -> float:
     return min(1.0, total)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_pvalue(z: pd.Series) -> pd.Series:
     """Two-sided normal p-value; used on result rows only."""
     return z.map(lambda v: None if pd.isna(v) else _normal_two_sided(v)).astype("float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_pvalue(x: pd.Series, dof: pd.Series) -> pd.Series:
     """Upper chi-square p-value; used on result rows only."""
     return pd.Series(
