@@ -7,30 +7,31 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marketloom.functions.text import bind, strip
+from marketloom.functions.text import bind
 
 
 @dataclass(frozen=True)
 class Recognizer:
-    """An entity type, its pattern and the constant score of a match."""
+    """An entity type, its pattern, the constant score of a match, and text that a match contains."""
 
     kind: str
     pattern: str
     score: float
+    hint: str = ""
 
 
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 # Recognisers in order.
 RECOGNIZERS = [
-    Recognizer("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", 1.0),
+    Recognizer("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", 1.0, "@"),
     Recognizer("CREDIT_CARD", r"\b[3-6][0-9]{3}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,4}\b", 1.0),
     Recognizer("IBAN_CODE", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b", 1.0),
-    Recognizer("BR_CPF", r"\b[0-9]{3}\.[0-9]{3}\.[0-9]{3}-[0-9]{2}\b", 0.85),
-    Recognizer("US_SSN", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0.85),
-    Recognizer("IP_ADDRESS", rf"\b(?:{OCTET}\.){{3}}{OCTET}\b", 0.6),
-    Recognizer("URL", r"https?://[A-Za-z0-9./?=&_%#:+~-]+", 0.6),
-    Recognizer("PHONE_NUMBER", r"\+[0-9]{1,3}[ -]?\(?[0-9]{2,3}\)?[ -][0-9]{3,5}-[0-9]{4}\b", 0.4),
+    Recognizer("BR_CPF", r"\b[0-9]{3}\.[0-9]{3}\.[0-9]{3}-[0-9]{2}\b", 0.85, "-"),
+    Recognizer("US_SSN", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0.85, "-"),
+    Recognizer("IP_ADDRESS", rf"\b(?:{OCTET}\.){{3}}{OCTET}\b", 0.6, "."),
+    Recognizer("URL", r"https?://[A-Za-z0-9./?=&_%#:+~-]+", 0.6, "://"),
+    Recognizer("PHONE_NUMBER", r"\+[0-9]{1,3}[ -]?\(?[0-9]{2,3}\)?[ -][0-9]{3,5}-[0-9]{4}\b", 0.4, "+"),
 ]
 DEFAULT_THRESHOLD = 0.5
 STRICT_THRESHOLD = 0.7
@@ -89,8 +90,11 @@ def _matches(text: Column, r: Recognizer) -> Column:
     spans = bind(parts, lambda p: F.transform(p["found"], lambda m, i: finding(p, m, i)))
     if r.kind in CHECKED:
         spans = F.filter(spans, lambda f: CHECKED[r.kind](f["text"]))
-    # most texts have no match; the cheap test keeps the span work away from them
-    return F.when(F.rlike(text, F.lit(r.pattern)), spans).otherwise(no_findings())
+    # most texts have no match; the cheap tests keep the span work away from them
+    possible = F.rlike(text, F.lit(r.pattern))
+    if r.hint:
+        possible = text.contains(r.hint) & possible
+    return F.when(possible, spans).otherwise(no_findings())
 
 
 def detect(text: Column) -> Column:
@@ -108,11 +112,10 @@ def detect(text: Column) -> Column:
     kept = bind(
         each, lambda all_: F.filter(all_, lambda f: ~F.exists(all_, lambda g: beats(g, f)))
     )
-    ordered = F.array_sort(
+    return F.array_sort(
         kept,
         lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0),
     )
-    return F.when(strip(text) == "", no_findings()).otherwise(ordered)
 
 
 def has_pii(findings: Column, threshold: float = DEFAULT_THRESHOLD) -> Column:

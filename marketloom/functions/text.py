@@ -14,6 +14,13 @@ from pyspark.sql.types import DoubleType
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
+SPACE_CHARACTERS = "".join(
+    chr(c)
+    for c in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+              0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+)
+
+
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, with the value computed once even if the body uses it often.
 
@@ -24,7 +31,7 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACE_CHARACTERS))
 
 
 def words(text: Column) -> Column:
@@ -33,7 +40,8 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(words(text))
+    inner = strip(text)
+    return F.when(inner == "", 0).otherwise(F.size(F.split(inner, f"{SPACE}+")))
 
 
 def normalize_text(text: Column) -> Column:

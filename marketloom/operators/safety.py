@@ -24,6 +24,7 @@ INJECTION_PATTERNS = [
     r"reset\s+your\s+instructions",
     r"disregard\s+(all|previous)",
 ]
+INJECTION_WORDS = ["instructions", "now", "system", "disregard"]
 TOXIC_KEYWORDS = ["attack", "hack", "exploit", "vulnerability", "inject", "malicious"]
 # Days that a class of data is kept; None keeps it for ever.
 RETENTION_DAYS = {
@@ -54,14 +55,22 @@ def injection_matches(text: Column) -> Column:
     return F.array_compact(F.array(*marks))
 
 
+def _contains_any(text: Column, parts: list[str]) -> Column:
+    found = text.contains(parts[0])
+    for part in parts[1:]:
+        found = found | text.contains(part)
+    return found
+
+
 def has_injection(text: Column) -> Column:
-    """One alternation, so that the text is scanned once."""
+    """One alternation, tried only on texts with a word that every pattern needs."""
     pattern = "|".join(f"(?:{p})" for p in INJECTION_PATTERNS).replace(r"\s", SPACE)
-    return F.lower(text).rlike(pattern)
+    lowered = F.lower(text)
+    return _contains_any(lowered, INJECTION_WORDS) & lowered.rlike(pattern)
 
 
 def is_toxic(text: Column) -> Column:
-    return F.lower(text).rlike("|".join(TOXIC_KEYWORDS))
+    return _contains_any(F.lower(text), TOXIC_KEYWORDS)
 
 
 def violation(text: Column, check_pii: bool = True, config: GuardrailConfig = GuardrailConfig()) -> Column:

@@ -13,6 +13,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A text table for work that is heavy per row.
+
+    A small file comes as one or few partitions and would keep most cores idle, so it is spread;
+    a table with enough partitions of its own is read as it is, without a shuffle.
+    """
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() > cores else df.repartition(cores)
+
+
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as ticks: one ticker per priority, price = order total, volume = number of orders."""
     orders = table(spark, sf_dir, "orders")

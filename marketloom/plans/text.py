@@ -12,7 +12,7 @@ from marketloom.operators import retrieval as rt
 from marketloom.operators import safety as sf_
 from marketloom.operators import transcripts as tr
 from marketloom.plans.registry import query
-from marketloom.plans.tables import indexed, table
+from marketloom.plans.tables import indexed, table, texts
 from marketloom.session import stage
 
 # Phrases appended to each message in turn, so that every rule meets whole tables of text.
@@ -37,7 +37,7 @@ def phrase_sql(number: str) -> str:
 
 def messages(spark, sf):
     """Conversation turns with a phrase at the end."""
-    turns = table(spark, sf, "conversations")
+    turns = texts(spark, sf, "conversations")
     number = turns.withColumn("_n", F.col("conv_id") * 3 + F.col("turn"))
     return number.withColumn(
         "text", F.concat("text", F.lit(" "), indexed("_n", PHRASES, len(PHRASES)))
@@ -64,7 +64,7 @@ def normal_sql(text: str) -> str:
     f"SELECT doc_id, floor(len({words_sql('text')}) * 0.75)::BIGINT AS tokens FROM documents",
 )
 def q_tokens(spark, sf):
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents").select(
         "doc_id", sf_.token_estimate(F.col("text")).alias("tokens")
     )
 
@@ -166,7 +166,7 @@ found AS (""" + " UNION ALL ".join(
     count(DISTINCT doc_id)::BIGINT AS texts FROM found GROUP BY type""",
 )
 def q_pii_counts(spark, sf):
-    return sf_.pii_counts(table(spark, sf, "documents").select("text"))
+    return sf_.pii_counts(texts(spark, sf, "documents").select("text"))
 
 
 # step by step, because each pattern reads the text that the one before it left
@@ -187,7 +187,7 @@ REDACT_STEPS = "".join(
     SELECT doc_id, text AS redacted FROM r{len(pii.RECOGNIZERS)}""",
 )
 def q_redact(spark, sf):
-    docs = table(spark, sf, "documents").withColumn("_f", pii.detect(F.col("text")))
+    docs = texts(spark, sf, "documents").withColumn("_f", pii.detect(F.col("text")))
     return docs.select("doc_id", pii.redact(F.col("text"), F.col("_f")).alias("redacted"))
 
 
@@ -231,11 +231,11 @@ def q_has_pii(spark, sf):
       WHEN 'pii_detected' THEN 'Input contains personally identifiable information' END AS message FROM v""",
 )
 def q_validate(spark, sf):
-    docs = table(spark, sf, "documents").select(
+    docs = texts(spark, sf, "documents").select(
         F.col("doc_id").alias("conv_id"), F.lit(-1).cast("long").alias("turn"), "text"
     )
-    texts = messages(spark, sf).drop("role").unionByName(docs)
-    return sf_.validate_input(texts).drop("text")
+    both = messages(spark, sf).drop("role").unionByName(docs)
+    return sf_.validate_input(both).drop("text")
 
 
 @query(
@@ -245,7 +245,7 @@ def q_validate(spark, sf):
     SELECT conv_id, turn, coalesce(q.v, c.v) AS violation_type FROM q LEFT JOIN c ON doc_id = conv_id""",
 )
 def q_request(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("conv_id"), F.col("text").alias("context"))
+    docs = texts(spark, sf, "documents").select(F.col("doc_id").alias("conv_id"), F.col("text").alias("context"))
     rows = messages(spark, sf).withColumnRenamed("text", "query").join(docs, "conv_id", "left")
     return sf_.validate_request(rows).select("conv_id", "turn", "violation_type")
 
@@ -268,7 +268,7 @@ def q_violations(spark, sf):
     FROM cut c JOIN r{len(pii.RECOGNIZERS)} r USING (doc_id)""",
 )
 def q_sanitize(spark, sf):
-    return sf_.sanitize_output(table(spark, sf, "documents")).select("doc_id", "safe_text")
+    return sf_.sanitize_output(texts(spark, sf, "documents")).select("doc_id", "safe_text")
 
 
 @query("hash_ip", "SELECT event_id, sha256('10.0.0.' || user_id)[1:16] AS pseudonym FROM events")
@@ -302,7 +302,7 @@ def q_retention(spark, sf):
     "SELECT conv_id, turn, length(text) > 500 AS query_rejected, left(text, 2000) AS capped_response FROM conversations",
 )
 def q_caps(spark, sf):
-    out = sf_.length_caps(table(spark, sf, "conversations"), "text", "text")
+    out = sf_.length_caps(texts(spark, sf, "conversations"), "text", "text")
     return out.select("conv_id", "turn", "query_rejected", "capped_response")
 
 
@@ -362,7 +362,7 @@ def q_topk_filtered(spark, sf):
 )
 def q_context(spark, sf):
     queries = centroids(spark, sf)
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = texts(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     known = vectors(spark, sf).join(docs.select("id"), "id", "left_semi")
     hits = rt.vector_topk(known, queries, k=3)
     none = spark.range(1).select(F.lit(-1).alias("query_id"))
@@ -376,7 +376,7 @@ def q_context(spark, sf):
 )
 def q_insert(spark, sf):
     old = table(spark, sf, "benchmark").select(F.col("item_id").alias("position"), "text")
-    new = table(spark, sf, "documents").select(F.col("doc_id").alias("position"), "text")
+    new = texts(spark, sf, "documents").select(F.col("doc_id").alias("position"), "text")
     return fs.insert_if_absent(
         rt.with_document_ids(old).drop("position"), rt.with_document_ids(new)
     ).select("id", "text")
@@ -393,7 +393,7 @@ def golden(spark, sf):
 
 def responses(spark, sf):
     """Answers by document number: the expected text in lower case, a longer text, or the document."""
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = texts(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("item"))
     both = docs.join(items, "id", "left")
     answer = (
@@ -416,7 +416,7 @@ pairs AS (SELECT item_id AS id, text AS expected, answer FROM benchmark JOIN res
     f"SELECT doc_id, {normal_sql('text')} AS normal FROM documents",
 )
 def q_normal(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.normalize_text(F.col("text")).alias("normal"))
+    return texts(spark, sf, "documents").select("doc_id", tx.normalize_text(F.col("text")).alias("normal"))
 
 
 OVERLAP = f"""coalesce(len(list_intersect(list_distinct({words_sql('lower(expected)')}),
@@ -460,7 +460,7 @@ def q_golden_summary(spark, sf):
 
 def entries(spark, sf):
     """Documents as entries with up to two contexts and sometimes an expected answer."""
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf, "documents")
     return docs.select(
         F.col("doc_id").alias("id"), F.concat(F.lit("question "), "source").alias("query"),
         F.col("lang").alias("ticker"), F.col("text").alias("answer"),
@@ -512,7 +512,7 @@ CRITERIA = list(ev.CRITERIA)
 
 def replies(spark, sf):
     """Stored judge replies by (document, variant): scores from the numbers, some broken."""
-    grid = ev.variant_grid(table(spark, sf, "documents").select("doc_id", "lang"))
+    grid = ev.variant_grid(texts(spark, sf, "documents").select("doc_id", "lang"))
     n = F.col("doc_id") + F.ascii("variant_id")
     parts = []
     for i, name in enumerate(CRITERIA):
@@ -634,7 +634,7 @@ def q_criteria(spark, sf):
       count_if(doc_id % 9 = 0)::BIGINT FROM l""",
 )
 def q_sanity(spark, sf):
-    rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").select(
+    rows = texts(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").select(
         F.col("quality").cast("double").alias("faithfulness"),
         F.when(F.col("doc_id") % 9 == 0, F.lit(float("nan"))).otherwise(F.col("doc_id") % 7 / 7).alias("relevancy"),
     )
@@ -707,7 +707,7 @@ STEPS = [
 
 
 def transcripts(spark, sf):
-    turns = table(spark, sf, "conversations").withColumn("_n", F.col("conv_id") + F.col("turn"))
+    turns = texts(spark, sf, "conversations").withColumn("_n", F.col("conv_id") + F.col("turn"))
     return turns.withColumn("text", F.concat("text", indexed("_n", STEPS, len(STEPS)))).drop("_n")
 
 
@@ -772,7 +772,7 @@ def q_conversation_tools(spark, sf):
     """SELECT conv_id, array_to_string(list_slice(string_split(text, ' '), 1, 5), ' ') AS tickers FROM conversations WHERE turn = 0""",
 )
 def q_cap(spark, sf):
-    first = table(spark, sf, "conversations").filter("turn = 0")
+    first = texts(spark, sf, "conversations").filter("turn = 0")
     return first.select(
         "conv_id", F.array_join(tr.compared_tickers(F.split("text", " ")), " ").alias("tickers")
     )
