@@ -227,8 +227,11 @@ def signed_percent(value: Column) -> Column:
 
 def analysis_text(summary: DataFrame, snapshot: DataFrame) -> DataFrame:
     """One line of text per ticker with price, change, range, RSI, signal, MACD and means."""
-    shown = {c: F.coalesce(F.format_string("%.2f", F.col(c)), F.lit("N/A"))
-             for c in ("rsi_14", "macd", "sma_20", "sma_50")}
+    # a null would be printed as text, so it is replaced before formatting
+    shown = {
+        c: F.when(F.col(c).isNull(), "N/A").otherwise(F.format_string("%.2f", F.col(c)))
+        for c in ("rsi_14", "macd", "sma_20", "sma_50")
+    }
     joined = summary.join(snapshot.drop("current_price", "data_points"), "ticker", "left")
     money = {c: F.format_string("%.2f", F.col(c)) for c in ("current_price", "low_price", "high_price")}
     text = F.concat_ws(

@@ -69,7 +69,7 @@ sums AS (
   SELECT col, max(nr)::DOUBLE AS nr, max(nc)::DOUBLE AS nc, count(*) AS k,
     max(abs(cr / nr - cc / nc)) AS d,
     sum(abs(cr / nr - cc / nc) * (coalesce(nv, v) - v)) AS w1,
-    sum((c - r * nc / nr) ** 2 / (r * nc / nr)) AS chi2,
+    sum(CASE WHEN r > 0 THEN (c - r * nc / nr) ** 2 / (r * nc / nr) WHEN c > 0 THEN 'infinity'::DOUBLE ELSE 0 END) AS chi2,
     sqrt(sum(CASE WHEN r > 0 THEN r / nr * ln((r / nr) / ((r / nr + c / nc) / 2)) ELSE 0 END +
              CASE WHEN c > 0 THEN c / nc * ln((c / nc) / ((r / nr + c / nc) / 2)) ELSE 0 END) / 2) AS js,
     arg_max(r / nr, v) AS pr, arg_max(c / nc, v) AS pc
@@ -88,9 +88,8 @@ pvalues AS (
     1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 90), lambda i:
       (CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE * pow(abs(z) / sqrt(2), 2 * i + 1)
       / gamma(i + 1) / (2 * i + 1))) AS z_p,
-    1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 90), lambda i:
-      (CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE * pow(sqrt(chi2 / 2), 2 * i + 1)
-      / gamma(i + 1) / (2 * i + 1))) + sqrt(2 * chi2 / pi()) * exp(-chi2 / 2) AS chi3_p
+    CASE WHEN chi2 = 0 THEN 1.0 WHEN isinf(chi2) THEN 0.0 ELSE 1 - list_sum(list_transform(range(0, 300), lambda i:
+      exp(((k - 1) / 2 + i) * ln(chi2 / 2) - chi2 / 2 - lgamma((k - 1) / 2 + i + 1)))) END AS chi_p
   FROM measures)"""
 
 
@@ -181,7 +180,7 @@ picked AS (
     WHEN nr <= 1000 THEN 'ks' WHEN k <= 5 THEN 'jensenshannon' ELSE 'wasserstein' END AS test, *
   FROM pvalues),
 scores AS (
-  SELECT col, test, CASE test WHEN 'z' THEN z_p WHEN 'chi2' THEN chi3_p WHEN 'ks' THEN ks_p
+  SELECT col, test, CASE test WHEN 'z' THEN z_p WHEN 'chi2' THEN chi_p WHEN 'ks' THEN ks_p
     WHEN 'jensenshannon' THEN js ELSE wn END AS score FROM picked),
 flags AS (
   SELECT *, CASE WHEN test IN ('z', 'chi2', 'ks') THEN score < 0.05 ELSE score >= 0.05 END AS drifted
@@ -402,12 +401,10 @@ def _model_query(train):
     def run(spark, sf):
         features = ["sma_5", "sma_20", "rsi_14", "macd", "bb_width", "atr_14", "price_change"]
         data = ind.training_table(stored_bars(spark, sf)).select("ticker", "date", "target", *features)
-        parts = ml.stratified_split(
-            data.withColumn("row", F.concat_ws("|", "ticker", "date")), "target", "row"
-        )
-        stored = stage(parts, "parts")
+        rows = stage(data.withColumn("row", F.concat_ws("|", "ticker", "date")), "training")
+        stored = stage(ml.stratified_split(rows, "target", "row"), "parts")
         fit_rows = stored.filter("part = 'train'")
-        scaled = ml.standardize(stored, features, fit_on=fit_rows)
+        scaled = stage(ml.standardize(stored, features, fit_on=fit_rows), "scaled")
         model = train(scaled.filter("part = 'train'"), features)
         tested = ml.score(model, scaled.filter("part = 'test'"), features)
         return ml.confusion_metrics(tested, ["part"], "target").join(

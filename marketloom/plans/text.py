@@ -354,7 +354,8 @@ def q_topk_filtered(spark, sf):
 
 @query(
     "rag_context",
-    f"""WITH {CENTROIDS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM pairs),
+    f"""WITH {CENTROIDS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank
+      FROM pairs WHERE id IN (SELECT doc_id FROM documents)),
     asked AS (SELECT query_id FROM (SELECT DISTINCT label AS query_id FROM embeddings) UNION ALL SELECT -1),
     parts AS (SELECT query_id, string_agg('[Source ' || rank || ']' || chr(10) || text || chr(10), chr(10) ORDER BY rank) AS context
       FROM ranked JOIN documents ON doc_id = id WHERE rank <= 3 GROUP BY 1)
