@@ -255,16 +255,22 @@ def ordered_split(
     """First ``floor(fraction * n)`` rows in order, and the rest; (key, order) must be unique.
 
     ``by="ticker"`` orders by (key, order), the order of the stored file; ``by="date"`` orders by
-    (order, key). Only the row at the cut is searched for, by counts; the two parts are filters.
+    (order, key). The row at the cut is searched for by counts; its two values come to the driver,
+    so that both parts are plain filters, which reach the scan.
     """
+    pair = [key, order] if by == "ticker" else [order, key]
     levels = [key, STRETCH, order] if by == "ticker" else [STRETCH, order, key]
-    rows = df.withColumns({STRETCH: stretch_of(order), "_all": F.lit(0)})
+    rows = df.select(key, order, stretch_of(order).alias(STRETCH), F.lit(0).alias("_all"))
     size = rows.agg(F.count(F.lit(1)).alias("n"))
     ranks = size.select(
         F.lit(0).alias("_all"), F.lit("cut").alias("cut"),
         F.floor(F.col("n") * F.lit(fraction)).alias("k"),
     )
-    cut = rank_cuts(rows, ["_all"], levels, ranks).select(F.struct(*levels)).scalar()
-    before = F.coalesce(F.struct(*levels) < cut, F.lit(True))
-    keep = df.columns
-    return rows.filter(before).select(keep), rows.filter(~before).select(keep)
+    cut = rank_cuts(rows, ["_all"], levels, ranks).select(*[F.col(c).cast("string") for c in pair]).first()
+    if cut is None:
+        return df, df.filter(F.lit(False))
+    kinds = dict(df.dtypes)
+    first, second = (F.lit(value).cast(kinds[c]) for c, value in zip(pair, cut))
+    outer, inner = (F.col(c) for c in pair)
+    before = (outer < first) | ((outer == first) & (inner < second))
+    return df.filter(before), df.filter(~before)

@@ -115,10 +115,16 @@ def asof_features(
 
 
 def latest_per_key(df: DataFrame, key: str = "ticker", order: str = "date") -> DataFrame:
-    """The last row of each key: an aggregate that combines on the map side, no sort."""
-    rest = [c for c in df.columns if c != key]
-    last = df.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_last"))
-    return last.select(key, *[F.col(f"_last.{c}").alias(c) for c in rest]).select(df.columns)
+    """The last row of each key; (key, order) must be unique.
+
+    One aggregate per column: with numbers and times only, Spark aggregates by hash on the map side
+    and sorts nothing, which it could not do for a struct of the row.
+    """
+    rest = [c for c in df.columns if c not in (key, order)]
+    last = df.groupBy(key).agg(
+        F.max(order).alias(order), *[F.max_by(c, order).alias(c) for c in rest]
+    )
+    return last.select(df.columns)
 
 
 def online_features(requests: DataFrame, latest: DataFrame, key: str = "ticker") -> DataFrame:
@@ -177,8 +183,7 @@ def insert_if_absent(existing: DataFrame, new: DataFrame, key: str = "id") -> Da
     ``new`` may carry ``position``, its input order, which decides among equal ids.
     """
     if "position" in new.columns:
-        rest = [c for c in new.columns if c not in (key, "position")]
-        first = new.groupBy(key).agg(F.min_by(F.struct(*rest), "position").alias("_row"))
-        new = first.select(key, *[F.col(f"_row.{c}").alias(c) for c in rest])
+        first = new.groupBy(key).agg(F.min("position").alias("position"))
+        new = new.join(first, [key, "position"], "left_semi").drop("position")
     fresh = new.join(existing.select(key), key, "left_anti")
     return existing.unionByName(fresh, allowMissingColumns=True)

@@ -73,23 +73,22 @@ def quantiles_of_counts(counts: DataFrame, n: str, probs: Sequence[float]) -> Da
 
 def quantiles_of_totals(totals: DataFrame, n: str, probs: Sequence[float]) -> DataFrame:
     """Quantiles from running totals; only the rows around a rank reach the aggregation."""
-    rank = (F.col(f"total_{n}") - 1) * F.col("prob")
-    marked = (
-        totals.filter(F.col(n) > 0)
-        .withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-        .withColumn("_rank", rank)
-        .withColumns({"_low": F.floor("_rank"), "_high": F.ceil("_rank")})
-        .withColumn("_before", F.col(f"cum_{n}") - F.col(n))
-    )
+    before = F.col(f"cum_{n}") - F.col(n)
+
+    def rank(p: Column) -> Column:
+        return (F.col(f"total_{n}") - 1) * p
 
-    def holds(position: str) -> Column:
-        return (F.col("_before") <= F.col(position)) & (F.col(position) < F.col(f"cum_{n}"))
+    def holds(position: Column) -> Column:
+        return (before <= position) & (position < F.col(f"cum_{n}"))
 
-    found = marked.filter(holds("_low") | holds("_high"))
+    wanted = F.array(*[F.lit(float(p)) for p in probs])
+    near = F.exists(wanted, lambda p: holds(F.floor(rank(p))) | holds(F.ceil(rank(p))))
+    found = totals.filter((F.col(n) > 0) & near).withColumn("prob", F.explode(wanted))
+    place = rank(F.col("prob"))
     pair = found.groupBy("column", "prob").agg(
-        F.max(F.when(holds("_low"), F.col("value"))).alias("_a"),
-        F.max(F.when(holds("_high"), F.col("value"))).alias("_b"),
-        F.max(F.col("_rank") - F.col("_low")).alias("_part"),
+        F.max(F.when(holds(F.floor(place)), F.col("value"))).alias("_a"),
+        F.max(F.when(holds(F.ceil(place)), F.col("value"))).alias("_b"),
+        F.max(place - F.floor(place)).alias("_part"),
     )
     return pair.select(
         "column", "prob",

@@ -444,7 +444,7 @@ def q_decompose(spark, sf):
 
 
 @query(
-    "dickey_fuller",
+    "adf",
     f"""WITH {BARS_SQL}, p AS (SELECT ticker, lag(close) OVER (PARTITION BY ticker ORDER BY date) AS x,
       close AS c FROM bars), d AS (SELECT ticker, x, c - x AS y FROM p WHERE x IS NOT NULL),
     s AS (SELECT ticker, count(*)::BIGINT AS n_obs, regr_slope(y, x) AS b, regr_sxx(y, x) AS sxx,

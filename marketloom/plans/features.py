@@ -125,6 +125,24 @@ def q_projection(spark, sf):
     return served.withColumns({c: F.col(c).cast("double") for c in ("close", "volume")})
 
 
+VIEW_ROWS = ", ".join(f"('stock_features', '{c}', 'float')" for c in fs.VIEW_FEATURES)
+
+
+@query(
+    "feature_view",
+    f"""WITH {BARS_SQL}, v AS (SELECT * FROM (VALUES {VIEW_ROWS}, ('stock_features', 'target', 'bigint')) t(view, feature, type)),
+    have AS (SELECT unnest(['open', 'high', 'low', 'close', 'volume']) AS feature, count(*)::BIGINT AS n FROM bars)
+    SELECT view, v.feature, type, coalesce(n, 0) AS n_rows FROM v LEFT JOIN have USING (feature)""",
+)
+def q_view(spark, sf):
+    """The served view, with the number of stored rows of each of its features."""
+    bars = daily_bars(spark, sf)
+    here = [c for c in fs.VIEW_FEATURES if c in bars.columns]
+    counts = bars.agg(*[F.count(c).alias(c) for c in here]).unpivot([], here, "feature", "n_rows")
+    joined = fs.stock_view().describe(spark).join(counts, "feature", "left")
+    return joined.na.fill(0, ["n_rows"])
+
+
 FEATURE_ROWS = ", ".join(
     f"({i}, '{c}', '{'bigint' if c == 'volume' else 'double'}')"
     for i, c in enumerate(["open", "high", "low", "close", "volume", *ind.INDICATOR_COLUMNS])

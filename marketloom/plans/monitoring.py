@@ -55,10 +55,10 @@ def q_counters(spark, sf):
 
 @query(
     "gauges",
-    f"WITH {LOG} SELECT endpoint, arg_max(latency, (ts, event_id)) AS value FROM log GROUP BY endpoint",
+    f"WITH {LOG} SELECT endpoint, arg_max(latency, ts) AS value FROM log GROUP BY endpoint",
 )
 def q_gauges(spark, sf):
-    return ev.gauges(log(spark, sf), ["endpoint"], "latency", F.struct("ts", "event_id"))
+    return ev.gauges(log(spark, sf), ["endpoint"], "latency", F.col("ts"))
 
 
 def histogram_sql(bounds: list[float], value: str) -> str:
@@ -313,6 +313,15 @@ def q_partitioned(spark, sf):
     return io.read_parquet(spark, path).select(bars.columns)
 
 
+@query("parquet_sorted", f"WITH {BARS_SQL} SELECT * FROM bars")
+def q_sorted(spark, sf):
+    """Stored in the order of ticker and date."""
+    path = work_path(spark, "sorted")
+    bars = daily_bars(spark, sf)
+    io.write_sorted(bars, path, ["ticker", "date"])
+    return io.read_parquet(spark, path).select(bars.columns)
+
+
 @query("csv_round_trip", f"WITH {BARS_SQL} SELECT * FROM bars")
 def q_csv(spark, sf):
     path = work_path(spark, "csv")

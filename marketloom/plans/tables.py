@@ -48,7 +48,7 @@ def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         ticker=F.col("event_type"),
         ts=F.col("ts"),
         price=F.col("value"),
-        sequence=F.struct("ts", "event_id"),
+        sequence=F.col("ts"),
         interval="hour",
     )
 
@@ -76,8 +76,8 @@ bars AS (
 HOURLY_SQL = """
 hourly AS (
   SELECT date_trunc('hour', ts)::TIMESTAMP AS date, event_type AS ticker,
-         arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low,
-         arg_max(value, (ts, event_id)) AS close, count(*)::BIGINT AS volume
+         arg_min(value, ts) AS open, max(value) AS high, min(value) AS low,
+         arg_max(value, ts) AS close, count(*)::BIGINT AS volume
   FROM events GROUP BY 1, 2)"""
 
 

@@ -437,6 +437,13 @@ def q_overlap(spark, sf):
     )
 
 
+@query("similarity")
+def q_similarity(spark, sf):
+    pairs = golden(spark, sf).join(responses(spark, sf), "id")
+    ratio = tx.similarity(F.col("expected_answer"), F.col("answer"))
+    return pairs.select("id", F.round(ratio, 6).alias("similarity"))
+
+
 @query("golden_eval")
 def q_golden(spark, sf):
     return ev.golden_eval(golden(spark, sf), responses(spark, sf)).select(
@@ -627,6 +634,13 @@ def q_criteria(spark, sf):
     return ev.criterion_averages(ev.judge_parse(replies(spark, sf)))
 
 
+@query("criterion_names", f"SELECT unnest([{quoted(CRITERIA)}]) AS name")
+def q_criterion_names(spark, sf):
+    """Criteria that occur in any variant."""
+    judged = ev.judge_parse(replies(spark, sf))
+    return judged.select(F.inline("criteria")).select("name").distinct()
+
+
 @query(
     "eval_sanity",
     """WITH l AS (SELECT d.doc_id, quality, toxic FROM documents d LEFT JOIN labels USING (doc_id))

@@ -72,18 +72,22 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Replace the table at ``path``; with partition columns rows are gathered per partition first.
 
-    Gathering is by partition columns and a part of the row hash, so that one large ticker is
-    written by several tasks.
+    The rebalance hint lets Spark join small partitions and split large ones by their measured
+    size, so that one large ticker is written by several tasks.
     """
     if partition_by:
-        spread = F.pmod(F.xxhash64(*[c for c, k in df.dtypes if not k.startswith("map")]), F.lit(16))
-        df.repartition(*partition_by, spread).write.mode("overwrite").partitionBy(
-            *partition_by
-        ).parquet(path)
+        gathered = df.hint("rebalance", *partition_by)
+        gathered.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     else:
         df.write.mode("overwrite").parquet(path)
 
 
+def write_sorted(df: DataFrame, path: str, order: list[str]) -> None:
+    """Replace the table at ``path`` by files in global order: ranges of rows, each one sorted."""
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranges.write.mode("overwrite").parquet(path)
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, **options: str) -> DataFrame:
     return spark.read.schema(schema).options(header=True, **options).csv(require(spark, path))
 

@@ -163,6 +163,16 @@ def test_files(spark):
     assert {r["id"] for r in io.load_golden(spark, path).collect()} == {"1", "2"}
 
 
+def test_sorted_files(spark):
+    path = work_path(spark, "sorted")
+    rows = spark.range(1000).select((F.col("id") % 7).alias("ticker"), (F.col("id") * 37 % 1000).alias("date"))
+    io.write_sorted(rows, path, ["ticker", "date"])
+    seen = [(r["f"], r["ticker"], r["date"]) for r in
+            spark.read.parquet(path).select(F.col("_metadata.file_name").alias("f"), "ticker", "date").collect()]
+    keys = [k[1:] for k in sorted(seen, key=lambda k: k[0])]
+    assert len(keys) == 1000 and keys == sorted(keys)
+
+
 def test_stream_upsert_over_batches(spark):
     source, target, state = (work_path(spark, n) for n in ("src", "dst", "state"))
     schema = "ticker string, date timestamp_ntz, close double"
