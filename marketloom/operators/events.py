@@ -144,9 +144,11 @@ def limited_requests(
 
     Only the last accepted request of a full minute is searched for. The ranking keeps at most
     ``max_limit`` rows per group in every task before the shuffle, so a flood from one address is
-    cut down where it is read.
+    cut down where it is read. A ``limit`` above ``max_limit`` is an error.
     """
     allowed = limit_of(F.col(endpoint)) if limit is None else limit
+    too_high = F.raise_error(F.lit(f"a limit lies above max_limit = {max_limit}"))
+    allowed = F.when(allowed <= max_limit, allowed).otherwise(too_high)
     rows = df.withColumn("_minute", F.date_trunc("minute", ts))
     keys = [address, endpoint, "_minute"]
     ranked = rows.select(*keys, F.struct(*order).alias("_order")).withColumn(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,11 +36,16 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="marketloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _own_folder(spark.sparkContext.applicationId)
     return folder.rstrip("/")
 
 
+@lru_cache
+def _own_folder(application: str) -> str:
+    """One temporary folder per local application."""
+    return tempfile.mkdtemp(prefix="marketloom-")
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path for a work table; never reused, so a retried job cannot meet old files."""
     return f"{shared_dir(spark)}/marketloom/{name}-{uuid.uuid4().hex}"
