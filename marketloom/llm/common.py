@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketloom.session import stage
+
 SPACES = r"[\x20\x09-\x0D]+"  # ASCII white space; everything else belongs to a word
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -20,6 +22,19 @@ def whole(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def bounded_parts(df: DataFrame, name: str, limit: int = 200_000) -> list[DataFrame]:
+    """``df`` (an index made from templates or items) in parts of about ``limit`` rows at most.
+
+    Each part may be broadcast; a larger index costs more passes over the other side, not memory.
+    """
+    stored = stage(df, name)
+    parts = -(-stored.count() // limit)
+    if parts <= 1:
+        return [stored]
+    share = F.pmod(F.xxhash64(*stored.columns), F.lit(parts))
+    return [stored.filter(share == i) for i in range(parts)]
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once per row, also where lambdas inside use it."""
     return F.transform(F.array(value), body)[0]

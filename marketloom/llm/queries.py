@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marketloom.llm.common import table
+from marketloom.llm.licenses import CONTAINMENT, TEMPLATES, license_scan, templates
 from marketloom.llm.lines import line_digest
+from marketloom.llm.pii_spans import pii_digest
 from marketloom.llm.quality import quality_rules
+from marketloom.llm.urls import PATTERN_RULES, judge_pages, rules
 from marketloom.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -49,3 +52,87 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT
          AS kept_sha256
 FROM marked GROUP BY row_id, doc_id
 """
+
+
+@_query
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_pages(table(spark, sf_dir, "pages"), rules(spark))
+
+
+_FITS = " OR ".join(
+    f"regexp_matches(host || path, '{pattern}')" for _, _, pattern in PATTERN_RULES
+)
+SQL["op5_url_filters"] = rf"""
+WITH located AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0
+                       THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages),
+cut AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                            'abcdefghijklmnopqrstuvwxyz') AS host,
+         substr(regexp_extract(rest, '^[^?#]*'),
+                length(regexp_extract(rest, '^[^/?#]*')) + 1) AS path
+  FROM located),
+rules(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
+  ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+ranked AS (
+  SELECT page_id, host, path, h || p AS rule, v,
+         row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC) AS rn
+  FROM cut LEFT JOIN rules
+    ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, host, path, rule,
+       coalesce(v, CASE WHEN {_FITS} THEN 'block' ELSE 'allow' END) AS verdict
+FROM ranked WHERE rn = 1
+"""
+
+
+@_query
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"), templates(spark))
+
+
+_TEMPLATE_ROWS = ", ".join(f"('{label}', '{text}')" for label, text in TEMPLATES)
+_SPLIT = r"list_filter(regexp_split_to_array({}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SQL["op9_license_scan"] = rf"""
+WITH docs AS (
+  SELECT doc_id, row_number() OVER () AS r, {_LOWER.format("coalesce(text, '')")} AS t
+  FROM documents),
+worded AS (SELECT doc_id, r, {_SPLIT.format("t")} AS w FROM docs),
+places AS (
+  SELECT doc_id, r, len(w) AS n_words,
+         list_filter(range(len(w)), lambda i: w[i + 1] = 'cc' AND w[i + 2] = 'by') AS a,
+         list_filter(range(len(w)), lambda i: w[i + 1] = 'general' AND w[i + 2] = 'public'
+                                         AND w[i + 3] = 'license') AS b,
+         list_filter(range(len(w)), lambda i: w[i + 1] = 'all' AND w[i + 2] = 'rights'
+                                         AND w[i + 3] = 'reserved') AS c
+  FROM worded),
+base AS (
+  SELECT doc_id, r, n_words, a || b || c AS every,
+         list_filter([CASE WHEN len(a) > 0 THEN 'cc-by' END, CASE WHEN len(b) > 0 THEN 'gpl' END,
+                      CASE WHEN len(c) > 0 THEN 'reserved' END], lambda x: x IS NOT NULL) AS found
+  FROM places),
+asked AS (
+  SELECT label, list_distinct({_SPLIT.format("text")}) AS ws
+  FROM (VALUES {_TEMPLATE_ROWS}) v(label, text)),
+blocks AS (
+  SELECT r, {_SPLIT.format("line")} AS held
+  FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM docs)),
+matched AS (
+  SELECT r, list(DISTINCT label) AS more, max(share) AS best
+  FROM (SELECT r, label, len(list_intersect(ws, held))::DOUBLE / len(ws) AS share,
+               len(list_intersect(ws, held)) >= ceil(len(ws) * {CONTAINMENT} - 1e-9) AS enough
+        FROM blocks, asked)
+  WHERE enough GROUP BY r)
+SELECT doc_id, n_words::BIGINT AS n_words, len(every)::BIGINT AS n_base,
+       list_min(every)::BIGINT AS first_word, list_max(every)::BIGINT AS last_word,
+       array_to_string(list_sort(found), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(found || coalesce(more, []))), ',') AS labels,
+       CASE WHEN len(every) > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE AS score
+FROM base LEFT JOIN matched USING (r)
+"""
