@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marketloom.llm.common import table
 from marketloom.llm.licenses import CONTAINMENT, TEMPLATES, license_scan, templates
 from marketloom.llm.lines import line_digest
+from marketloom.llm.packing import pack_documents, piece_digest
 from marketloom.llm.pii_spans import pii_digest
 from marketloom.llm.quality import quality_rules
+from marketloom.llm.token_files import read_token_files, write_token_files
 from marketloom.llm.urls import PATTERN_RULES, judge_pages, rules
 from marketloom.plans.registry import Query
+from marketloom.session import work_path
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -26,6 +33,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digest(pack_documents(table(spark, sf_dir, "documents"), TOKENIZER))
+
+
 @_query
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digest(table(spark, sf_dir, "documents"))
@@ -91,6 +103,14 @@ FROM ranked WHERE rn = 1
 """
 
 
+@_query
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_path(spark, "token_files")
+    write_token_files(table(spark, sf_dir, "documents"), path, TOKENIZER)
+    docs = read_token_files(spark, path)
+    return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @_query
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"), templates(spark))
