@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from marketloom.llm.common import table
 from marketloom.llm.licenses import CONTAINMENT, TEMPLATES, license_scan, templates
 from marketloom.llm.lines import line_digest
+from marketloom.llm.near_duplicates import near_duplicates
 from marketloom.llm.packing import pack_documents, piece_digest
 from marketloom.llm.pii_spans import pii_digest
 from marketloom.llm.quality import quality_rules
@@ -103,6 +104,11 @@ FROM ranked WHERE rn = 1
 """
 
 
+@_query
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "token_files")
