@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import table
+from marketloom.llm.decontaminate import contaminated
 from marketloom.llm.licenses import CONTAINMENT, TEMPLATES, license_scan, templates
 from marketloom.llm.lines import line_digest
 from marketloom.llm.near_duplicates import near_duplicates
@@ -104,6 +105,11 @@ FROM ranked WHERE rn = 1
 """
 
 
+@_query
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @_query
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
