@@ -13,6 +13,7 @@ from marketloom.llm.lines import line_digest
 from marketloom.llm.near_duplicates import near_duplicates
 from marketloom.llm.packing import pack_documents, piece_digest
 from marketloom.llm.pii_spans import pii_digest
+from marketloom.llm.preferences import preference_digest
 from marketloom.llm.quality import quality_rules
 from marketloom.llm.token_files import read_token_files, write_token_files
 from marketloom.llm.urls import PATTERN_RULES, judge_pages, rules
@@ -168,3 +169,58 @@ SELECT doc_id, n_words::BIGINT AS n_words, len(every)::BIGINT AS n_base,
        CASE WHEN len(every) > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE AS score
 FROM base LEFT JOIN matched USING (r)
 """
+
+
+@_query
+def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference_digest(table(spark, sf_dir, "conversations"))
+
+
+def _rendered_sql(turns: str) -> str:
+    return (
+        f"array_to_string(list_transform({turns}, lambda t: '<|im_start|>' || t.role || chr(10) "
+        "|| t.txt || '<|im_end|>' || chr(10)), '')"
+    )
+
+
+def _spans_sql(turns: str) -> str:
+    before = _rendered_sql(f"{turns}[1:i - 1]")
+    start = f"length({before}) + 13 + length({turns}[i].role)"
+    return (
+        f"array_to_string(list_transform(list_filter(range(1, len({turns}) + 1), "
+        f"lambda i: {turns}[i].role = 'assistant'), lambda i: ({start})::VARCHAR || '-' || "
+        f"({start} + length({turns}[i].txt) + 10)::VARCHAR), ',')"
+    )
+
+
+SQL["op10_preferences"] = rf"""
+WITH convs AS (
+  SELECT conv_id, list({{'role': role, 'txt': txt}} ORDER BY turn, role, txt) AS turns
+  FROM (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS txt
+        FROM conversations WHERE conv_id IS NOT NULL)
+  GROUP BY conv_id),
+placed AS (
+  SELECT *, list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant') AS places
+  FROM convs),
+pairs AS (
+  SELECT conv_id, NULL::BIGINT AS rejected_id, turns AS a,
+         list_transform(range(1, len(turns) + 1), lambda i: {{
+           'role': turns[i].role,
+           'txt': CASE WHEN i <> places[-1] THEN turns[i].txt
+                       WHEN len(places) > 1 THEN turns[places[-2]].txt ELSE '' END}}) AS b
+  FROM placed WHERE len(places) > 0
+  UNION ALL
+  SELECT * FROM (
+    SELECT conv_id, lead(conv_id) OVER w AS rejected_id, turns AS a, lead(turns) OVER w AS b
+    FROM convs WINDOW w AS (PARTITION BY turns[1], conv_id // 1000 ORDER BY conv_id))
+  WHERE rejected_id IS NOT NULL),
+cut AS (
+  SELECT *, len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[1:i] = b[1:i])) AS n
+  FROM pairs),
+parts AS (
+  SELECT conv_id, rejected_id, n, a[1:n] AS p, a[n + 1:] AS a, b[n + 1:] AS b FROM cut)
+SELECT conv_id, rejected_id, n AS n_common, {_rendered_sql("p")} AS prompt,
+       {_rendered_sql("a")} AS chosen, {_rendered_sql("b")} AS rejected,
+       {_spans_sql("a")} AS chosen_spans, {_spans_sql("b")} AS rejected_spans
+FROM parts
+"""
