@@ -1,13 +1,19 @@
-"""Corpus pipeline: quality rules, then line deduplication."""
+"""Corpus pipeline: from raw documents to packed training sequences."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from marketloom.llm.decontaminate import clean_documents
 from marketloom.llm.lines import drop_lines
+from marketloom.llm.near_duplicates import keep_one_of_each
+from marketloom.llm.packing import pack_documents
 from marketloom.llm.quality import keep_good
+from marketloom.llm.queries import TOKENIZER
+from marketloom.session import stage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -22,13 +28,36 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_lines(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_rules", quality_stage), ("line_dedup", line_stage)]
+def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return keep_one_of_each(docs)
 
-ORACLE_SQL = None
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their ids and their place in a sequence."""
+    pieces = pack_documents(docs, TOKENIZER)
+    return pieces.withColumn("ids_crc32", F.crc32("ids"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_stage),
+    ("line_dedup", line_stage),
+    ("jaccard_join", duplicate_stage),
+    ("decontamination", benchmark_stage),
+    ("best_fit_packing", packing_stage),
+]
+
+ORACLE_SQL = None  # tokens, robust covariances and MinHash have no SQL; tests compare by brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each reads what the one before it has written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, apply in STAGES:
-        docs = apply(spark, docs, sf_dir)
-    return docs
+    for name, apply in STAGES[:-1]:
+        docs = stage(apply(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
