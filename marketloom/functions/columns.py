@@ -16,10 +16,23 @@ def feature_columns(df: DataFrame, exclude: tuple[str, ...] = ID_COLUMNS) -> lis
 
 
 def describe_features(df: DataFrame, exclude: tuple[str, ...] = ID_COLUMNS) -> DataFrame:
-    """(position, feature, type) of the feature columns, from the schema."""
+    """(position, feature, type, n_values, least, greatest) of the feature columns of all rows."""
     kinds = dict(df.dtypes)
-    rows = [(i, c, kinds[c]) for i, c in enumerate(feature_columns(df, exclude))]
-    return df.sparkSession.createDataFrame(rows, "position long, feature string, type string")
+    features = feature_columns(df, exclude)
+    filled = df.agg(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(i).cast("long").alias("position"), F.lit(c).alias("feature"),
+                    F.lit(kinds[c]).alias("type"), F.count(c).alias("n_values"),
+                    F.min(F.col(c).cast("double")).alias("least"),
+                    F.max(F.col(c).cast("double")).alias("greatest"),
+                )
+                for i, c in enumerate(features)
+            ]
+        ).alias("_f")
+    )
+    return filled.select(F.inline("_f"))
 
 
 def class_distribution(df: DataFrame, target: str = "target") -> DataFrame:

@@ -14,15 +14,16 @@ from marketloom.operators.ordering import (
     rank_cuts,
     running_totals,
 )
-from marketloom.operators.series import STRETCH, stretch_of
+from marketloom.operators.series import STRETCH, TIME_LEVELS, with_time_levels
 
-# Rules of the default tests.
-SMALL_SAMPLE = 1000  # up to this many reference rows p-value tests apply, above it distances
-FEW_VALUES = 5  # columns with at most this many values count as categories
+# Floors and shares of the tests.
 MIN_DEVIATION = 0.001
 SHARE_FLOOR = 1e-4
 DATASET_SHARE = 0.5
 
+P_VALUE_TESTS = ("z", "chi2", "ks")  # a low score is drift
+DISTANCE_TESTS = ("jensenshannon", "wasserstein")  # a high score is drift
+
 
 @dataclass(frozen=True)
 class DriftConfig:
@@ -191,21 +192,32 @@ def drift_psi(
     return per_bucket.groupBy("column").agg(F.sum((p - q) * F.ln(p / q)).alias("psi"))
 
 
+def default_tests(df: DataFrame, columns: list[str]) -> dict[str, str]:
+    """Test per column by its declared kind: distances that mean the same at any number of rows."""
+    measured = ("double", "float", "bigint", "int", "smallint", "tinyint")
+    kinds = dict(df.dtypes)
+    return {
+        c: "wasserstein" if kinds[c] in measured or kinds[c].startswith("decimal") else "jensenshannon"
+        for c in columns
+    }
+
+
 def drift_table(
     reference: DataFrame, current: DataFrame, columns: list[str],
-    config: DriftConfig = DriftConfig(),
+    config: DriftConfig = DriftConfig(), tests: dict[str, str] | None = None,
 ) -> DataFrame:
-    """One row per column: the test chosen by size and number of values, its score and the flag."""
+    """One row per column: its test, the score and the flag.
+
+    ``tests`` names the test of a column; the others take the default of their kind. The number of
+    rows or values never changes the test.
+    """
+    named = {**default_tests(reference, columns), **(tests or {})}
+    unknown = set(named.values()) - {*P_VALUE_TESTS, *DISTANCE_TESTS}
+    if unknown or set(named) - set(columns):
+        raise ValueError(f"unknown tests {sorted(unknown)} or columns {sorted(set(named) - set(columns))}")
     out = measures(value_totals(reference, current, columns))
-    small = F.col("n_reference") <= SMALL_SAMPLE
-    few = F.col("n_values") <= FEW_VALUES
-    test = (
-        F.when(small & few & (F.col("n_values") <= 2), "z")
-        .when(small & few, "chi2")
-        .when(small, "ks")
-        .when(few, "jensenshannon")
-        .otherwise("wasserstein")
-    )
+    pairs = F.create_map(*[F.lit(x) for pair in named.items() for x in pair])
+    test = F.element_at(pairs, F.col("column"))
     # equal constant columns have no test statistic: nothing moved
     z_p = F.coalesce(normal_pvalue("z"), F.lit(1.0))
     score = (
@@ -217,7 +229,7 @@ def drift_table(
     )
     limit = config.stattest_threshold
     scored = out.select("column", test.alias("test"), score.alias("score"))
-    is_pvalue = F.col("test").isin("z", "chi2", "ks")
+    is_pvalue = F.col("test").isin(*P_VALUE_TESTS)
     drifted = F.when(is_pvalue, F.col("score") < limit).otherwise(F.col("score") >= limit)
     return scored.withColumn("drifted", drifted)
 
@@ -259,8 +271,12 @@ def ordered_split(
     so that both parts are plain filters, which reach the scan.
     """
     pair = [key, order] if by == "ticker" else [order, key]
-    levels = [key, STRETCH, order] if by == "ticker" else [STRETCH, order, key]
-    rows = df.select(key, order, stretch_of(order).alias(STRETCH), F.lit(0).alias("_all"))
+    fine = [STRETCH, *TIME_LEVELS, order]
+    first_letters = F.substring(F.col(key).cast("string"), 1, 3)
+    levels = ["_letters", key, *fine] if by == "ticker" else [*fine, "_letters", key]
+    rows = with_time_levels(df.select(key, order), order).withColumns(
+        {"_letters": first_letters, "_all": F.lit(0)}
+    )
     size = rows.agg(F.count(F.lit(1)).alias("n"))
     ranks = size.select(
         F.lit(0).alias("_all"), F.lit("cut").alias("cut"),

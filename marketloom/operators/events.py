@@ -138,23 +138,22 @@ def rate_limit(
 
 def limited_requests(
     df: DataFrame, address: str, endpoint: str, order: list[str], ts: str = "ts",
-    max_limit: int = DEFAULT_LIMIT, limit: Column | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
     """Add ``rejected`` to each request: all but the first ``limit`` of its minute.
 
-    Only the last accepted request of a full minute is searched for. The ranking keeps at most
-    ``max_limit`` rows per group in every task before the shuffle, so a flood from one address is
-    cut down where it is read. A ``limit`` above ``max_limit`` is an error.
+    Only the last accepted request of a full minute is searched for. The ranking keeps at most as
+    many rows per group as the highest limit allows, in every task before the shuffle, so a flood
+    from one address is cut down where it is read.
     """
-    allowed = limit_of(F.col(endpoint)) if limit is None else limit
-    too_high = F.raise_error(F.lit(f"a limit lies above max_limit = {max_limit}"))
-    allowed = F.when(allowed <= max_limit, allowed).otherwise(too_high)
+    allowed = limit_of(F.col(endpoint)) if limit is None else F.lit(limit)
+    highest = max(DEFAULT_LIMIT, *LIMITS_PER_MINUTE.values()) if limit is None else limit
     rows = df.withColumn("_minute", F.date_trunc("minute", ts))
     keys = [address, endpoint, "_minute"]
     ranked = rows.select(*keys, F.struct(*order).alias("_order")).withColumn(
         "_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("_order"))
     )
-    cuts = ranked.filter(F.col("_rank") <= max_limit).filter(F.col("_rank") == allowed)
+    cuts = ranked.filter(F.col("_rank") <= highest).filter(F.col("_rank") == allowed)
     cuts = cuts.select(*keys, F.col("_order").alias("_last"))
     joined = rows.join(cuts, keys, "left")
     late = F.coalesce(F.struct(*order) > F.col("_last"), F.lit(False))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.operators.ordering import rank_cuts, running_totals
-from marketloom.operators.series import STRETCH, stretch_of
+from marketloom.operators.series import STRETCH, TIME_LEVELS, with_time_levels
 
 # Parameters of the baselines.
 SEED = 42
@@ -89,7 +89,7 @@ def time_split(df: DataFrame, order: str = "date", shares: tuple = (0.6, 0.2)) -
 
     The cut dates are those of the rows at the two ranks; all rows of a date stay together.
     """
-    rows = df.withColumns({STRETCH: stretch_of(order), "_all": F.lit(0)})
+    rows = with_time_levels(df.select(order), order).withColumn("_all", F.lit(0))
     n = F.count(F.lit(1))
     ranks = rows.agg(
         F.array(
@@ -97,7 +97,7 @@ def time_split(df: DataFrame, order: str = "date", shares: tuple = (0.6, 0.2)) -
             F.struct(F.lit("validation").alias("cut"), F.floor(n * sum(shares)).alias("k")),
         ).alias("_cuts")
     ).select(F.lit(0).alias("_all"), F.inline("_cuts"))
-    cuts = rank_cuts(rows, ["_all"], [STRETCH, order], ranks)
+    cuts = rank_cuts(rows, ["_all"], [STRETCH, *TIME_LEVELS, order], ranks)
     ends = cuts.agg(
         F.struct(
             F.max(F.when(F.col("cut") == "train", F.col(order))).alias("train"),

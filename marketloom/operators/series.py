@@ -31,6 +31,20 @@ def stretch_of(order: str, days: float = STRETCH_DAYS) -> Column:
     return F.floor(F.unix_seconds(F.col(order).cast("timestamp")) / F.lit(int(days * DAY)))
 
 
+TIME_LEVELS = ["_day", "_minute", "_second"]
+
+
+def with_time_levels(df: DataFrame, order: str, days: float = STRETCH_DAYS) -> DataFrame:
+    """Add the stretch, day, minute and second of ``order``: levels of a search for a rank."""
+    at = F.unix_seconds(F.col(order).cast("timestamp"))
+    return df.withColumns(
+        {
+            STRETCH: stretch_of(order, days), "_day": F.floor(at / DAY), "_minute": F.floor(at / 60),
+            "_second": at,
+        }
+    )
+
+
 def with_position(
     df: DataFrame, key: str = "ticker", order: str = "date", days: float = STRETCH_DAYS
 ) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marketloom.functions.columns import feature_columns
 from marketloom.operators import drift as dr
 from marketloom.operators import indicators as ind
 from marketloom.operators import models as ml
 from marketloom.operators import timeseries as ts
 from marketloom.operators.signals import prediction_band
+from marketloom.plans.market import INDICATOR_SQL, TARGET
 from marketloom.plans.registry import query
 from marketloom.plans.tables import BARS_SQL, daily_bars, rounded, stored_bars, table
 from marketloom.session import stage
@@ -174,10 +176,17 @@ def q_z(spark, sf):
     return rounded(dr.drift_z(old, new, ["quality", "toxic"]), 6)
 
 
-TABLE = """
+LINE_TESTS = {"l_returned": "jensenshannon", "l_halves": "jensenshannon", "l_tax": "ks"}
+LABEL_TESTS = {"quality": "z", "toxic": "z", "n_lang": "chi2", "n_chars": "ks"}
+
+
+def table_sql(tests):
+    """SQL of the drift table; columns without a named test take the distance of numbers."""
+    cases = " ".join(f"WHEN '{c}' THEN '{t}'" for c, t in tests.items())
+    test = f"CASE col {cases} ELSE 'wasserstein' END" if tests else "'wasserstein'"
+    return f"""
 picked AS (
-  SELECT col, CASE WHEN nr <= 1000 AND k <= 2 THEN 'z' WHEN nr <= 1000 AND k <= 5 THEN 'chi2'
-    WHEN nr <= 1000 THEN 'ks' WHEN k <= 5 THEN 'jensenshannon' ELSE 'wasserstein' END AS test, *
+  SELECT col, {test} AS test, *
   FROM pvalues),
 scores AS (
   SELECT col, test, CASE test WHEN 'z' THEN z_p WHEN 'chi2' THEN chi_p WHEN 'ks' THEN ks_p
@@ -187,22 +196,25 @@ flags AS (
   FROM scores)"""
 
 
+LINE_TABLE, LABEL_TABLE = table_sql(LINE_TESTS), table_sql(LABEL_TESTS)
+
+
 @query(
     "drift_table",
-    f"""WITH {LINE_LONG}, {MEASURES}, {TABLE} SELECT col AS "column", test,
+    f"""WITH {LINE_LONG}, {MEASURES}, {LINE_TABLE} SELECT col AS "column", test,
     round(score, 6) AS score, drifted FROM flags""",
 )
 def q_table(spark, sf):
-    return rounded(dr.drift_table(*line_samples(spark, sf)), 6)
+    return rounded(dr.drift_table(*line_samples(spark, sf), tests=LINE_TESTS), 6)
 
 
 @query(
     "drift_table_labels",
-    f"""WITH {LABEL_LONG}, {MEASURES}, {TABLE} SELECT col AS "column", test,
+    f"""WITH {LABEL_LONG}, {MEASURES}, {LABEL_TABLE} SELECT col AS "column", test,
     round(score, 6) AS score, drifted FROM flags""",
 )
 def q_table_small(spark, sf):
-    return rounded(dr.drift_table(*label_samples(spark, sf)), 6)
+    return rounded(dr.drift_table(*label_samples(spark, sf), tests=LABEL_TESTS), 6)
 
 
 SUMMARY = """
@@ -228,9 +240,12 @@ def summary_columns(summary):
     )
 
 
-@query("drift_summary", f"WITH {LINE_LONG}, {MEASURES}, {TABLE} {SUMMARY}")
+@query("drift_summary", f"WITH {LINE_LONG}, {MEASURES}, {LINE_TABLE} {SUMMARY}")
 def q_drift_summary(spark, sf):
-    return summary_columns(dr.drift_summary(dr.drift_table(*line_samples(spark, sf))))
+    return summary_columns(dr.drift_summary(dr.drift_table(*line_samples(spark, sf), tests=LINE_TESTS)))
+
+
+REPORT_COLUMNS = ["open", "high", "low", "close", "volume", *ind.INDICATOR_COLUMNS, "target"]
 
 
 SPLIT = f"""
@@ -252,17 +267,22 @@ def q_split(spark, sf):
 
 @query(
     "drift_report",
-    f"""WITH {SPLIT.format('date, ticker')},
-    lines AS (SELECT *, pos < floor(n * 0.7) AS old FROM ordered),
-    long AS ({' UNION ALL '.join(f"SELECT '{c}' AS col, {c}::DOUBLE AS v, old FROM lines"
-                                 for c in ('open', 'high', 'low', 'close', 'volume'))}),
-    {MEASURES}, {TABLE} {SUMMARY}""",
+    f"""{INDICATOR_SQL}, complete AS (
+      SELECT *, {TARGET} FROM indicators),
+    ordered AS (
+      SELECT *, row_number() OVER (ORDER BY date, ticker) - 1 AS pos, count(*) OVER () AS n
+      FROM complete WHERE {' AND '.join(f'{c} IS NOT NULL' for c in ind.INDICATOR_COLUMNS)}),
+    sides AS (SELECT *, pos < floor(n * 0.7) AS old FROM ordered),
+    long AS ({' UNION ALL '.join(f"SELECT '{c}' AS col, round({c}::DOUBLE, 4) AS v, old FROM sides"
+                                 for c in REPORT_COLUMNS)}),
+    {MEASURES}, {table_sql({"target": "jensenshannon"})} {SUMMARY}""",
 )
 def q_report(spark, sf):
-    """Bars split by date, then all features compared."""
-    columns = ["open", "high", "low", "close", "volume"]
-    first, rest = dr.ordered_split(stored_bars(spark, sf), by="date")
-    return summary_columns(dr.drift_summary(dr.drift_table(first, rest, columns)))
+    """The training table split by date, then all features and the target compared."""
+    data = stage(rounded(ind.training_table(stored_bars(spark, sf))), "training")
+    first, rest = dr.ordered_split(data, by="date")
+    table_ = dr.drift_table(first, rest, REPORT_COLUMNS, tests={"target": "jensenshannon"})
+    return summary_columns(dr.drift_summary(table_))
 
 
 # --- model preparation -------------------------------------------------------------------------
@@ -399,8 +419,8 @@ def q_bands(spark, sf):
 
 def _model_query(train):
     def run(spark, sf):
-        features = ["sma_5", "sma_20", "rsi_14", "macd", "bb_width", "atr_14", "price_change"]
-        data = ind.training_table(stored_bars(spark, sf)).select("ticker", "date", "target", *features)
+        data = ind.training_table(stored_bars(spark, sf))
+        features = feature_columns(data)
         rows = stage(data.withColumn("row", F.concat_ws("|", "ticker", "date")), "training")
         stored = stage(ml.stratified_split(rows, "target", "row"), "parts")
         fit_rows = stored.filter("part = 'train'")
@@ -415,8 +435,8 @@ def _model_query(train):
 
 
 query("model_logistic")(_model_query(ml.train_logistic))
-query("model_forest")(_model_query(lambda train, f: ml.train_forest(train, f, trees=20)))
-query("model_perceptron")(_model_query(lambda train, f: ml.train_perceptron(train, f, epochs=20)))
+query("model_forest")(_model_query(ml.train_forest))
+query("model_perceptron")(_model_query(ml.train_perceptron))
 
 
 # --- exploration -------------------------------------------------------------------------------

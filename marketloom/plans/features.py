@@ -143,19 +143,21 @@ def q_view(spark, sf):
     return joined.na.fill(0, ["n_rows"])
 
 
-FEATURE_ROWS = ", ".join(
-    f"({i}, '{c}', '{'bigint' if c == 'volume' else 'double'}')"
+DATASET_SQL = " UNION ALL ".join(
+    f"SELECT {i}::BIGINT AS position, '{c}' AS feature, "
+    f"'{'bigint' if c == 'volume' else 'double'}' AS type, count({c})::BIGINT AS n_values, "
+    f"round(min({c})::DOUBLE, 4) AS least, round(max({c})::DOUBLE, 4) AS greatest FROM complete"
     for i, c in enumerate(["open", "high", "low", "close", "volume", *ind.INDICATOR_COLUMNS])
 )
 
 
 @query(
     "dataset_features",
-    f"""SELECT position::BIGINT AS position, feature, type FROM
-    (VALUES {FEATURE_ROWS}) t(position, feature, type)""",
+    f"""{INDICATOR_SQL}, complete AS (SELECT * FROM indicators
+      WHERE {' AND '.join(f'{c} IS NOT NULL' for c in ind.INDICATOR_COLUMNS)}) {DATASET_SQL}""",
 )
 def q_dataset_features(spark, sf):
-    return describe_features(ind.training_table(daily_bars(spark, sf)))
+    return rounded(describe_features(ind.training_table(stored_bars(spark, sf))))
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marketloom.operators import events as ev
 from marketloom.operators.drift import drift_table
-from marketloom.plans.analysis import LINE_LONG, MEASURES, TABLE, line_samples
+from marketloom.plans.analysis import LINE_LONG, LINE_TABLE, LINE_TESTS, MEASURES, line_samples
 from marketloom.plans.registry import query
 from marketloom.plans.tables import HOURLY_SQL, daily_bars, hourly_bars, rounded, table
 from marketloom.plans.tables import BARS_SQL
@@ -33,6 +33,11 @@ log AS (SELECT event_id, ts, event_type AS endpoint, user_id AS address, value /
   json_extract_string(props, '$.k')::BIGINT AS tokens FROM events)"""
 
 
+LIMIT_SQL = "CASE endpoint " + " ".join(
+    f"WHEN '{name}' THEN {limit}" for name, limit in ev.LIMITS_PER_MINUTE.items()
+) + f" ELSE {ev.DEFAULT_LIMIT} END"
+
+
 def latency():
     return F.col("latency")
 
@@ -134,27 +139,47 @@ def q_p95(spark, sf):
 @query(
     "rate_limit",
     f"""WITH {LOG}, c AS (SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS window_start,
-      time_bucket(INTERVAL 1 MINUTE, ts) + INTERVAL 1 MINUTE AS window_end, endpoint, 'all' AS address, count(*) AS n
-      FROM log GROUP BY 1, 2, 3)
+      time_bucket(INTERVAL 1 MINUTE, ts) + INTERVAL 1 MINUTE AS window_end, endpoint, address, count(*) AS n
+      FROM log GROUP BY 1, 2, 3, 4)
+    SELECT window_start, window_end, address, endpoint, n::BIGINT AS n, least(n, l)::BIGINT AS accepted,
+      greatest(n - l, 0)::BIGINT AS rejected FROM (SELECT *, {LIMIT_SQL} AS l FROM c)""",
+)
+def q_limit(spark, sf):
+    return naive(ev.rate_limit(log(spark, sf), "address", "endpoint"))
+
+
+@query(
+    "rate_limit_shared",
+    f"""WITH {LOG}, c AS (SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS window_start,
+      time_bucket(INTERVAL 1 MINUTE, ts) + INTERVAL 1 MINUTE AS window_end, endpoint, address % 10 AS address, count(*) AS n
+      FROM log GROUP BY 1, 2, 3, 4)
     SELECT window_start, window_end, address, endpoint, n::BIGINT AS n, least(n, 1)::BIGINT AS accepted,
       greatest(n - 1, 0)::BIGINT AS rejected FROM c""",
 )
-def q_limit(spark, sf):
-    """One address for all requests and one request per minute, so that many are rejected."""
-    rows = log(spark, sf).withColumn("address", F.lit("all"))
+def q_limit_shared(spark, sf):
+    """Addresses that many users share, and one request per minute, so that some are rejected."""
+    rows = log(spark, sf).withColumn("address", F.col("address") % 10)
     return naive(ev.rate_limit(rows, "address", "endpoint", limit=F.lit(1)))
 
 
 @query(
     "limited_requests",
-    f"""WITH {LOG} SELECT event_id, row_number() OVER (PARTITION BY endpoint, date_trunc('minute', ts)
-      ORDER BY ts, event_id) > 1 AS rejected FROM log""",
+    f"""WITH {LOG} SELECT event_id, row_number() OVER (PARTITION BY address, endpoint, date_trunc('minute', ts)
+      ORDER BY ts, event_id) > {LIMIT_SQL} AS rejected FROM log""",
 )
 def q_limited(spark, sf):
-    rows = log(spark, sf).withColumn("address", F.lit("all"))
-    out = ev.limited_requests(
-        rows, "address", "endpoint", ["ts", "event_id"], max_limit=1, limit=F.lit(1)
-    )
+    out = ev.limited_requests(log(spark, sf), "address", "endpoint", ["ts", "event_id"])
+    return out.select("event_id", "rejected")
+
+
+@query(
+    "limited_requests_shared",
+    f"""WITH {LOG} SELECT event_id, row_number() OVER (PARTITION BY address % 10, endpoint, date_trunc('minute', ts)
+      ORDER BY ts, event_id) > 1 AS rejected FROM log""",
+)
+def q_limited_shared(spark, sf):
+    rows = log(spark, sf).withColumn("address", F.col("address") % 10)
+    out = ev.limited_requests(rows, "address", "endpoint", ["ts", "event_id"], limit=1)
     return out.select("event_id", "rejected")
 
 
@@ -176,11 +201,11 @@ def q_alerts(spark, sf):
 
 @query(
     "drift_alerts",
-    f"""WITH {LINE_LONG}, {MEASURES}, {TABLE} SELECT col AS feature, CASE WHEN score > 0.3 THEN 'critical' ELSE 'warning' END AS severity,
+    f"""WITH {LINE_LONG}, {MEASURES}, {LINE_TABLE} SELECT col AS feature, CASE WHEN score > 0.3 THEN 'critical' ELSE 'warning' END AS severity,
     round(score, 6) AS score FROM flags WHERE score > 0.15""",
 )
 def q_drift_alerts(spark, sf):
-    return rounded(ev.drift_alerts(drift_table(*line_samples(spark, sf))), 6)
+    return rounded(ev.drift_alerts(drift_table(*line_samples(spark, sf), tests=LINE_TESTS)), 6)
 
 
 @query(
@@ -396,11 +421,11 @@ def q_golden_load(spark, sf):
 
 @query(
     "drift_sink",
-    f"""WITH {LINE_LONG}, {MEASURES}, {TABLE} SELECT col AS "column", test, round(score, 6) AS score, drifted FROM flags""",
+    f"""WITH {LINE_LONG}, {MEASURES}, {LINE_TABLE} SELECT col AS "column", test, round(score, 6) AS score, drifted FROM flags""",
 )
 def q_drift_sink(spark, sf):
     path = work_path(spark, "drift")
-    out = drift_table(*line_samples(spark, sf))
+    out = drift_table(*line_samples(spark, sf), tests=LINE_TESTS)
     io.write_json(out, path)
     return rounded(io.read_json(spark, path, out.schema), 6)
 

@@ -16,12 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A text table for work that is heavy per row.
 
-    A small file comes as one or few partitions and would keep most cores idle, so it is spread;
-    a table with enough partitions of its own is read as it is, without a shuffle.
+    It is read as it is stored. A session whose files are too few to keep its cores busy may ask for
+    a number of parts (``marketloom.text.parts``), which costs one shuffle of the texts.
     """
     df = table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() > cores else df.repartition(cores)
+    parts = spark.conf.get("marketloom.text.parts", None)
+    return df.repartition(int(parts)) if parts else df
 
 
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -784,10 +784,9 @@ def q_conversation_tools(spark, sf):
 
 @query(
     "ticker_cap",
-    """SELECT conv_id, array_to_string(list_slice(string_split(text, ' '), 1, 5), ' ') AS tickers FROM conversations WHERE turn = 0""",
+    """SELECT conv_id, turn, array_to_string(list_slice(string_split(text, ' '), 1, 5), ' ') AS tickers FROM conversations""",
 )
 def q_cap(spark, sf):
-    first = texts(spark, sf, "conversations").filter("turn = 0")
-    return first.select(
-        "conv_id", F.array_join(tr.compared_tickers(F.split("text", " ")), " ").alias("tickers")
+    return texts(spark, sf, "conversations").select(
+        "conv_id", "turn", F.array_join(tr.compared_tickers(F.split("text", " ")), " ").alias("tickers")
     )

@@ -107,10 +107,23 @@ def test_heavy_and_similar_samples(spark):
     heavy = drift.drift_summary(drift.drift_table(*samples(spark, True), columns)).collect()[0]
     assert heavy["drift_detected"] and heavy["alert_level"] == "red"
     assert set(heavy["features_drifted"]) >= {"rsi_14", "sma_20"}
-    similar = drift.drift_summary(drift.drift_table(*samples(spark, False), columns)).collect()[0]
+    tests = {"rsi_14": "ks", "macd": "ks", "sma_20": "ks", "target": "z"}
+    table = drift.drift_table(*samples(spark, False), columns, tests=tests)
+    similar = drift.drift_summary(table).collect()[0]
     assert similar["overall_drift_score"] < 1.0 and set(similar["drift_scores"]) == set(columns)
 
 
+def test_number_of_rows_does_not_change_the_test(spark):
+    columns = ["rsi_14", "macd", "sma_20", "target"]
+    old, new = samples(spark, False)
+    tenfold = [df.crossJoin(spark.range(10).select(F.lit(1).alias("_x"))).drop("_x") for df in (old, new)]
+    small, large = (
+        {r["column"]: (r["test"], round(r["score"], 9)) for r in drift.drift_table(*pair, columns).collect()}
+        for pair in ((old, new), tenfold)
+    )
+    assert small == large and set(t for t, _ in small.values()) == {"wasserstein"}
+
+
 def test_ks_against_ecdf(spark):
     old, new = samples(spark, False)
     a, b = old.toPandas()["macd"].to_numpy(), new.toPandas()["macd"].to_numpy()
