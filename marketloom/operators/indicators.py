@@ -7,7 +7,7 @@ first price: y0 = x0, y = a*x + (1-a)*y(prev), a = 2/(span+1). Prices must not b
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -16,11 +16,11 @@ from marketloom.operators.series import (
     BLOCK,
     BLOCK_ROWS,
     POSITION,
-    block_bases,
     is_own,
     over_series,
     with_position,
 )
+from marketloom.session import stage
 
 # Default periods.
 SMA_PERIODS = [5, 10, 20, 50]
@@ -39,17 +39,17 @@ INDICATOR_COLUMNS = [
     "volume_ma_20", "price_change", "price_change_5d",
 ]
 
-FORGET = 40.0  # an exponential mean has forgotten rows of weight below exp(-40)
 LARGEST = 650.0  # exponent that a double still holds with room for the prices
+VANISHED = 746.0  # a weight below exp(-746) is zero in a double
 
 
 def _decay(span: float) -> float:
     return -math.log(1 - 2 / (span + 1))
 
 
-def _memory(span: float) -> int:
-    """Rows back that can still change the exponential mean within double precision."""
-    return math.ceil(FORGET / _decay(span))
+def _block_rows(spans: Sequence[float]) -> int:
+    """Rows of a block in which the weights of all spans stay within a double."""
+    return min(BLOCK_ROWS, int(LARGEST / max(_decay(s) for s in spans)))
 
 
 def rolling(agg: Callable[[Column], Column], value: Column, n: int, w: WindowSpec) -> Column:
@@ -62,19 +62,53 @@ def sma_column(value: Column, n: int, w: WindowSpec) -> Column:
     return rolling(F.avg, value, n, w)
 
 
-def ema_column(value: Column, span: float, w: WindowSpec, before: int, rows: int) -> Column:
-    """Exponential mean as a running sum of weighted prices inside a block.
+def _place(rows: int) -> Column:
+    """0-based place of a row in its block; negative for copies of earlier rows."""
+    return (F.col(POSITION) - F.col(BLOCK) * rows).cast("double")
 
-    With q = 1-a and j the index in the block, y(j) = q^j * sum(u(i) * q^-i), where u is a*x, and x
-    on the first row of the series. The block carries ``before`` earlier rows, enough for the sum
-    to be exact in double precision.
+
+def local_ema(value: Column, span: float, w: WindowSpec, rows: int) -> Column:
+    """Exponential mean over the own rows of a block, as if nothing came before it.
+
+    With q = 1-a and j the place in the block it is q^j * sum(u(i) * q^-i), where u is a*x, and x on
+    the first row of the series. The mean over all rows is this plus q^(j+1) times the mean at the
+    end of the block before.
     """
     alpha = 2 / (span + 1)
-    q = F.lit(1 - alpha)
-    j = (F.col(POSITION) - F.col(BLOCK) * rows + before).cast("double")
+    q, j = F.lit(1 - alpha), _place(rows)
     update = F.when(F.col(POSITION) == 0, value).otherwise(value * alpha)
-    total = F.sum(update * F.pow(q, -j)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return F.pow(q, j) * total
+    weighted = F.when(is_own(rows), update * F.pow(q, -j)).otherwise(0.0)
+    return F.pow(q, j) * F.sum(weighted).over(w.rowsBetween(Window.unboundedPreceding, 0))
+
+
+def _carry(end: str, span: float, rows: int) -> Column:
+    """Exponential mean before a block, from the local means at the ends of the earlier blocks.
+
+    Every block but the last has ``rows`` rows, so an end counts q^rows less per block. The frame
+    reaches back until that weight is zero in a double.
+    """
+    reach = math.ceil(VANISHED / (rows * _decay(span))) + 1
+    fade = (1 - 2 / (span + 1)) ** rows
+    blocks = Window.partitionBy("ticker").orderBy(BLOCK).rowsBetween(-reach, -1)
+    ends = F.collect_list(end).over(blocks)
+    return F.aggregate(ends, F.lit(0.0), lambda mean, x: mean * fade + x)
+
+
+def _faded(span: float, j: Column) -> Column:
+    return F.pow(F.lit(1 - 2 / (span + 1)), j + 1)
+
+
+def _response(span: float, signal: float, j: Column) -> Column:
+    """What a mean that fades with ``span`` from 1 adds to a local mean over ``signal`` rows."""
+    q, p, alpha = 1 - 2 / (span + 1), 1 - 2 / (signal + 1), 2 / (signal + 1)
+    if q == p:
+        return alpha * (j + 1) * F.pow(F.lit(q), j + 1)
+    return (F.pow(F.lit(p), j + 1) - F.pow(F.lit(q), j + 1)) * (alpha * q / (p - q))
+
+
+def _block_ends(built: DataFrame, columns: list[str]) -> DataFrame:
+    """(ticker, block) with the values of ``columns`` on the last row; one row per block."""
+    return built.groupBy("ticker", BLOCK).agg(*[F.max_by(c, POSITION).alias(c) for c in columns])
 
 
 def rsi_columns(frame: DataFrame, value: str, n: int, w: WindowSpec, alias: str) -> DataFrame:
@@ -123,33 +157,30 @@ def sma(df: DataFrame, periods: list[int] = SMA_PERIODS, value: str = "close") -
     )
 
 
-def _span_groups(spans: list[float]) -> list[list[float]]:
-    """Spans that can share one pass: the slowest memory must fit the fastest one's exponent."""
-    groups: list[list[float]] = []
-    for span in sorted(set(spans)):
-        fits = groups and (_memory(span) + 64) * _decay(groups[-1][0]) <= LARGEST
-        if fits:
-            groups[-1].append(span)
-        else:
-            groups.append([span])
-    return groups
-
-
 def ema(df: DataFrame, spans: list[float] = EMA_SPANS, value: str = "close") -> DataFrame:
-    """``ema_n`` for each span."""
-    flat = [s for s in spans if s <= 1]
-    out = df.withColumns({f"ema_{s:g}": F.col(value) for s in flat})
-    for group in _span_groups([s for s in spans if s > 1]):
-        before = _memory(group[-1])
-        rows = max(64, min(BLOCK_ROWS, int(LARGEST / _decay(group[0])) - before))
+    """``ema_n`` for each span, over all earlier rows, in one pass whatever the spans."""
+    out = df.withColumns({f"ema_{s:g}": F.col(value) for s in spans if s <= 1})
+    slow = sorted({s for s in spans if s > 1})
+    if not slow:
+        return out
+    rows = _block_rows(slow)
+    local = {s: f"_local_{i}" for i, s in enumerate(slow)}
 
-        def build(frame, w, group=group, before=before, rows=rows):
-            return frame.withColumns(
-                {f"ema_{s:g}": ema_column(F.col(value), s, w, before, rows) for s in group}
-            )
+    def build(frame: DataFrame, w: WindowSpec) -> DataFrame:
+        return frame.withColumns({c: local_ema(F.col(value), s, w, rows) for s, c in local.items()})
 
-        out = over_series(out, build, before=before, block_rows=rows)
-    return out
+    built = stage(
+        over_series(with_position(out), build, before=0, block_rows=rows, keep_block=True), "blocks"
+    )
+    carries = _block_ends(built, list(local.values())).select(
+        "ticker", BLOCK, *[_carry(c, s, rows).alias(f"_carry{c}") for s, c in local.items()]
+    )
+    means = {
+        f"ema_{s:g}": F.col(c) + _faded(s, _place(rows)) * F.col(f"_carry{c}")
+        for s, c in local.items()
+    }
+    joined = built.join(carries, ["ticker", BLOCK]).withColumns(means)
+    return joined.select(*[F.col(f"`{c}`") for c in [*out.columns, *means]])
 
 
 def rsi(df: DataFrame, period: int = RSI_PERIOD, value: str = "close") -> DataFrame:
@@ -158,32 +189,66 @@ def rsi(df: DataFrame, period: int = RSI_PERIOD, value: str = "close") -> DataFr
     )
 
 
-def _macd_columns(frame, w, value, spans, before, rows) -> DataFrame:
+MACD_LOCAL = ("_fast", "_slow", "_signal")
+
+
+def _local_macd(frame: DataFrame, w: WindowSpec, value: str, spans: tuple, rows: int) -> DataFrame:
     fast, slow, signal = spans
-    line = ema_column(F.col(value), fast, w, before, rows) - ema_column(
-        F.col(value), slow, w, before, rows
+    frame = frame.withColumns(
+        {
+            "_fast": local_ema(F.col(value), fast, w, rows),
+            "_slow": local_ema(F.col(value), slow, w, rows),
+        }
     )
-    frame = frame.withColumn("macd", line)
-    frame = frame.withColumn("macd_signal", ema_column(F.col("macd"), signal, w, before, rows))
-    return frame.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
+    return frame.withColumn("_signal", local_ema(F.col("_fast") - F.col("_slow"), signal, w, rows))
 
 
-def macd(df: DataFrame, spans: tuple = MACD_SPANS, value: str = "close") -> DataFrame:
-    """``macd``, ``macd_signal`` and ``macd_histogram``.
+def _macd_carries(ends: DataFrame, spans: tuple, rows: int, keep: list[Column]) -> DataFrame:
+    """Means before each block; the signal's ends need the other two first."""
+    fast, slow, signal = spans
+    last = F.lit(rows - 1.0)
+    both = ends.withColumns(
+        {"_carry_fast": _carry("_fast", fast, rows), "_carry_slow": _carry("_slow", slow, rows)}
+    )
+    whole_end = (
+        F.col("_signal") + F.col("_carry_fast") * _response(fast, signal, last)
+        - F.col("_carry_slow") * _response(slow, signal, last)
+    )
+    return both.withColumn("_signal_end", whole_end).select(
+        "ticker", BLOCK, "_carry_fast", "_carry_slow",
+        _carry("_signal_end", signal, rows).alias("_carry_signal"), *keep,
+    )
 
-    The block reaches back over the memory of the slow mean plus that of the signal.
-    """
-    before = _memory(max(spans[:2])) + _memory(spans[2])
-    rows = int(LARGEST / _decay(min(spans))) - before
-    if rows < 64:
-        raise ValueError(f"spans {spans} lie too far apart for one pass; use ema() twice")
-    rows = min(BLOCK_ROWS, rows)
-    return over_series(
-        df,
-        lambda frame, w: _macd_columns(frame, w, value, spans, before, rows),
-        before=before,
-        block_rows=rows,
+
+def _whole_macd(joined: DataFrame, spans: tuple, rows: int) -> DataFrame:
+    fast, slow, signal = spans
+    j = _place(rows)
+    line = (
+        F.col("_fast") - F.col("_slow") + F.col("_carry_fast") * _faded(fast, j)
+        - F.col("_carry_slow") * _faded(slow, j)
+    )
+    mean = (
+        F.col("_signal") + F.col("_carry_fast") * _response(fast, signal, j)
+        - F.col("_carry_slow") * _response(slow, signal, j)
+        + F.col("_carry_signal") * _faded(signal, j)
     )
+    joined = joined.withColumns({"macd": line, "macd_signal": mean})
+    return joined.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
+
+
+def macd(df: DataFrame, spans: tuple = MACD_SPANS, value: str = "close") -> DataFrame:
+    """``macd``, ``macd_signal`` and ``macd_histogram``, for any spans above 1, in one pass."""
+    rows = _block_rows(spans)
+    built = stage(
+        over_series(
+            with_position(df), lambda frame, w: _local_macd(frame, w, value, spans, rows),
+            before=0, block_rows=rows, keep_block=True,
+        ),
+        "blocks",
+    )
+    carries = _macd_carries(_block_ends(built, list(MACD_LOCAL)), spans, rows, [])
+    whole = _whole_macd(built.join(carries, ["ticker", BLOCK]), spans, rows)
+    return whole.select(*df.columns, "macd", "macd_signal", "macd_histogram")
 
 
 def _bollinger_columns(frame, w, value, n, k) -> DataFrame:
@@ -236,27 +301,28 @@ def _obv_in_block(w: WindowSpec, rows: int) -> Column:
     return F.sum(F.when(is_own(rows), F.col("_sv")).otherwise(F.lit(0))).over(frame)
 
 
-def _add_obv_base(built: DataFrame, placed: DataFrame, rows: int) -> DataFrame:
-    """Add the volume signed in all earlier blocks; the result is a double, as in the contract."""
-    bases = block_bases(
-        placed.select("ticker", POSITION, "close", "volume"), _signed_volume, 1, block_rows=rows
-    )
-    joined = built.join(bases, ["ticker", BLOCK])
-    return joined.withColumn("obv", (F.col("_obv") + F.col("_base")).cast("double")).drop(
-        "_obv", "_base", "_sv"
-    )
+def _obv_base() -> Column:
+    """Volume signed in all earlier blocks, from the running sums at the ends of the blocks."""
+    earlier = Window.partitionBy("ticker").orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("_obv").over(earlier), F.lit(0)).alias("_obv_base")
+
+
+def _whole_obv() -> Column:
+    """The result is a double, as in the contract."""
+    return (F.col("_obv") + F.col("_obv_base")).cast("double")
 
 
 def obv(df: DataFrame) -> DataFrame:
     """On-balance volume: running sum of volume signed by the price move; starts at 0."""
-    placed = with_position(df)
 
     def build(rows: DataFrame, w: WindowSpec) -> DataFrame:
         rows = rows.withColumn("_sv", _signed_volume(w))
         return rows.withColumn("_obv", _obv_in_block(w, BLOCK_ROWS))
 
-    built = over_series(placed, build, before=1, keep_block=True)
-    return _add_obv_base(built, placed, BLOCK_ROWS).drop(BLOCK, POSITION)
+    built = stage(over_series(with_position(df), build, before=1, keep_block=True), "blocks")
+    bases = _block_ends(built, ["_obv"]).select("ticker", BLOCK, _obv_base())
+    joined = built.join(bases, ["ticker", BLOCK]).withColumn("obv", _whole_obv())
+    return joined.select(*df.columns, "obv")
 
 
 def volume_ma(df: DataFrame, period: int = VOLUME_PERIOD) -> DataFrame:
@@ -301,18 +367,19 @@ def _target_columns(rows: DataFrame, w: WindowSpec, horizon: int) -> DataFrame:
 def add_indicators(df: DataFrame, horizon: int | None = None) -> DataFrame:
     """All 19 indicator columns, and with ``horizon`` the target, in one pass over the blocks.
 
-    The rows shuffle twice: once for their positions, once into blocks. OBV adds a running total
-    over one row per block.
+    The rows shuffle twice: once for their positions, once into blocks with the few earlier rows
+    that trailing frames reach. The blocks are stored; exponential means and OBV then add what the
+    earlier blocks carry, from one row per block.
     """
-    before = _memory(max(EMA_SPANS)) + _memory(MACD_SPANS[2])
-    rows = min(BLOCK_ROWS, int(LARGEST / _decay(MACD_SPANS[2])) - before)
-    placed = with_position(df)
+    spans = [*EMA_SPANS, *MACD_SPANS]
+    before, rows = max(SMA_PERIODS) + 1, _block_rows(spans)
+    local = {s: f"_local_{s}" for s in EMA_SPANS}
 
     def build(frame: DataFrame, w: WindowSpec) -> DataFrame:
         close = F.col("close")
         frame = frame.withColumns(
             {f"sma_{n}": sma_column(close, n, w) for n in SMA_PERIODS}
-            | {f"ema_{s}": ema_column(close, s, w, before, rows) for s in EMA_SPANS}
+            | {c: local_ema(close, s, w, rows) for s, c in local.items()}
             | {
                 f"volume_ma_{VOLUME_PERIOD}": sma_column(F.col("volume"), VOLUME_PERIOD, w),
                 "price_change": change_column("close", 1, w),
@@ -322,15 +389,30 @@ def add_indicators(df: DataFrame, horizon: int | None = None) -> DataFrame:
         )
         frame = frame.withColumn("_obv", _obv_in_block(w, rows))
         frame = rsi_columns(frame, "close", RSI_PERIOD, w, f"rsi_{RSI_PERIOD}")
-        frame = _macd_columns(frame, w, "close", MACD_SPANS, before, rows)
+        frame = _local_macd(frame, w, "close", MACD_SPANS, rows)
         frame = _bollinger_columns(frame, w, "close", *BOLLINGER)
         frame = _atr_columns(frame, w, ATR_PERIOD)
         return frame if horizon is None else _target_columns(frame, w, horizon)
 
-    built = over_series(placed, build, before, horizon or 0, block_rows=rows, keep_block=True)
+    built = stage(
+        over_series(with_position(df), build, before, horizon or 0, block_rows=rows, keep_block=True),
+        "blocks",
+    )
+    ends = _block_ends(built, ["_obv", *local.values(), *MACD_LOCAL])
+    carries = _macd_carries(
+        ends, MACD_SPANS, rows,
+        [_obv_base(), *[_carry(c, s, rows).alias(f"_carry{c}") for s, c in local.items()]],
+    )
+    whole = _whole_macd(built.join(carries, ["ticker", BLOCK]), MACD_SPANS, rows).withColumns(
+        {
+            f"ema_{s}": F.col(c) + _faded(s, _place(rows)) * F.col(f"_carry{c}")
+            for s, c in local.items()
+        }
+        | {"obv": _whole_obv()}
+    )
     carried = [c for c in df.columns if c not in INDICATOR_COLUMNS]
     labels = [] if horizon is None else ["close_future", "target"]
-    return _add_obv_base(built, placed, rows).select(*carried, *INDICATOR_COLUMNS, *labels)
+    return whole.select(*carried, *INDICATOR_COLUMNS, *labels)
 
 
 def add_target(df: DataFrame, horizon: int = HORIZON, tail: str = "zero") -> DataFrame:

@@ -114,24 +114,3 @@ def over_series(
     if not keep_block:
         built = built.drop(BLOCK)
     return built if POSITION in df.columns else built.drop(POSITION)
-
-
-def block_bases(
-    placed: DataFrame,
-    step: Callable[[WindowSpec], Column],
-    before: int,
-    key: str = "ticker",
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """(key, ``_block``, ``_base``): the sum of ``step`` over all rows before each block.
-
-    With it a running sum from the start of the series is the base plus a sum inside the block. The
-    sum over blocks works on one row per ``block_rows`` rows.
-    """
-    window = Window.partitionBy(key, BLOCK).orderBy(POSITION)
-    earlier = Window.partitionBy(key).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    steps = spread_blocks(placed, before, 0, block_rows).withColumn("_step", step(window))
-    totals = own_rows(steps, block_rows).groupBy(key, BLOCK).agg(F.sum("_step").alias("_total"))
-    return totals.select(
-        key, BLOCK, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_base")
-    )

@@ -89,6 +89,27 @@ def test_ema_of_far_apart_spans(spark, bars, spans):
             np.testing.assert_allclose(mine[f"ema_{s:g}"], want, rtol=1e-12)
 
 
+def test_macd_of_far_apart_spans(spark, bars):
+    spans = (3, 2000, 9)
+    got = ind.macd(to_spark(spark, bars), spans).toPandas().sort_values("date")
+    for ticker, g in bars.groupby("ticker"):
+        close = g.sort_values("date")["close"]
+        line = close.ewm(span=3, adjust=False).mean() - close.ewm(span=2000, adjust=False).mean()
+        mine = got[got.ticker == ticker]
+        np.testing.assert_allclose(mine["macd"], line, rtol=1e-9, atol=1e-9)
+        np.testing.assert_allclose(
+            mine["macd_signal"], line.ewm(span=9, adjust=False).mean(), rtol=1e-9, atol=1e-9
+        )
+
+
+def test_first_price_of_any_size_still_counts(spark, bars):
+    one = bars[bars.ticker == bars.ticker.iloc[0]].sort_values("date").copy()
+    one.loc[one.index[0], "close"] = 1e30
+    got = ind.ema(to_spark(spark, one), [26]).toPandas().sort_values("date")
+    want = one["close"].ewm(span=26, adjust=False).mean()
+    np.testing.assert_allclose(got["ema_26"], want, rtol=1e-9)
+
+
 def test_position_over_many_stretches(spark, bars):
     got = series.with_position(to_spark(spark, bars), days=30).toPandas()
     for _, g in got.groupby("ticker"):
