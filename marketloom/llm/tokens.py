@@ -16,59 +16,69 @@ class PieceEncoder:
     """Ids of whole texts with a byte-level BPE file of the tokenizers library.
 
     Its pre-tokenizer always starts a new token at a single blank between two other characters, so
-    a text may be cut there, and a piece seen before need not be encoded again. A piece is cut
-    further, at a single line feed and before closing punctuation, where tokens never cross either.
-    Other white space stays inside the pieces. ``add_special_tokens`` is false.
+    a text may be cut there, and a piece seen before need not be encoded again. New pieces are
+    encoded many in one text: a single line feed between them is a token of its own. Other white
+    space stays inside the pieces. ``add_special_tokens`` is false.
     """
 
     BETWEEN = re.compile(r"(?<=\S) (?=\S)")
-    ODD = re.compile(r"\A |\s | \s| \Z")
-    LINES = re.compile(r"\S+(?:\n\S+)+")
-    CLOSED = re.compile(r"(\S*[^\W_])([.,!#*%$&|]+)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        feed = self._ids(["\n"])[0]
+        self.feed = feed[0] if len(feed) == 1 else None
         self.first: dict[str, bytes] = {}
         self.after_blank: dict[str, bytes] = {}
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut = [self.BETWEEN.split(t) if self.ODD.search(t) else t.split(" ") for t in texts]
+        texts = list(texts)
+        cut = [t.split(" ") for t in texts]
         if len(self.first) + len(self.after_blank) > MOST_PIECES:
             self.first, self.after_blank = {}, {}
         self._learn(self.first, "", {parts[0] for parts in cut})
         self._learn(self.after_blank, " ", {p for parts in cut for p in parts[1:]})
+        return [self._joined(t, parts) for t, parts in zip(texts, cut)]
+
+    def _joined(self, text: str, parts: list[str]) -> bytes:
         known = self.after_blank
-        return [
-            self.first[parts[0]] + b"".join([known[p] for p in parts[1:]]) for parts in cut
-        ]
+        try:
+            return self.first[parts[0]] + b"".join([known[p] for p in parts[1:]])
+        except KeyError:  # white space other than single blanks: cut between other characters only
+            head, *rest = self.BETWEEN.split(text)
+            ids = self._ids([head, *[" " + p for p in rest]])
+            return b"".join([array("I", x).tobytes() for x in ids])
 
     def _learn(self, known: dict[str, bytes], before: str, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in known]
-        atoms = [self._atoms(p) for p in new]
-        self._look_up(known, before, {a[0] for a in atoms})
-        self._look_up(self.first, "", {x for a in atoms for x in a[1:]})
-        for piece, (head, *rest) in zip(new, atoms):
-            if rest:
-                known[piece] = known[head] + b"".join([self.first[x] for x in rest])
-
-    def _atoms(self, piece: str) -> list[str]:
-        """The parts of a piece; all but the first are encoded without a blank before them."""
-        out = []
-        for line in piece.split("\n") if self.LINES.fullmatch(piece) else [piece]:
-            if out:
-                out.append("\n")
-            closed = self.CLOSED.fullmatch(line)
-            out.extend(closed.groups() if closed else (line,))
-        return out
-
-    def _look_up(self, known: dict[str, bytes], before: str, atoms: set[str]) -> None:
-        new = [a for a in atoms if a not in known]
-        found = self.tokenizer.encode_batch_fast([before + a for a in new], add_special_tokens=False)
-        for atom, encoding in zip(new, found):
-            known[atom] = array("I", encoding.ids).tobytes()
+        """Remember the ids of new pieces that begin and end without white space."""
+        new = [p for p in pieces if p not in known and p and p == p.strip()]
+        sizes = [p.count("\n") + 1 for p in new]
+        plain = [
+            self.feed is not None and len(p.split()) == n and "<|" not in p
+            for p, n in zip(new, sizes)
+        ]
+        apart = [p for p, together in zip(new, plain) if not together]
+        for piece, ids in zip(apart, self._ids([before + p for p in apart])):
+            known[piece] = array("I", ids).tobytes()
+        joined = [(p, n) for p, n, together in zip(new, sizes, plain) if together]
+        groups = [joined[i : i + GROUP] for i in range(0, len(joined), GROUP)]
+        texts = ["\n".join([before + p for p, _ in group]) for group in groups]
+        for group, ids in zip(groups, self._ids(texts)):
+            data, low = array("I", ids).tobytes(), 0
+            ends = [i for i, x in enumerate(ids) if x == self.feed] + [len(ids)]
+            if len(ends) != sum(n for _, n in group):
+                raise ValueError("line feeds are not tokens of their own with this tokenizer")
+            at = -1
+            for piece, n in group:
+                at += n
+                known[piece] = data[4 * low : 4 * ends[at]]
+                low = ends[at] + 1
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        encodings = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [e.ids for e in encodings]
 
 
 def shared_encoder(path: str) -> PieceEncoder:
