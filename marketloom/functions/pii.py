@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marketloom.functions.arrays import chunks, running, running_sums
 from marketloom.functions.text import bind
 
 
@@ -63,58 +64,115 @@ def no_findings() -> Column:
     return F.array().cast(kind)
 
 
+def _possible(text: Column, r: Recognizer) -> Column:
+    """Most texts have no match; the cheap tests keep the span work away from them."""
+    found = F.rlike(text, F.lit(r.pattern))
+    return text.contains(r.hint) & found if r.hint else found
+
+
 def _matches(text: Column, r: Recognizer) -> Column:
     """Findings of one recogniser; start and end count characters from 0, end exclusive.
 
-    The pieces between matches and the matches alternate, so summed lengths give the spans.
+    The pieces between matches and the matches alternate, so running sums of lengths give the spans.
     """
     parts = F.struct(
         F.regexp_extract_all(text, F.lit(r.pattern), F.lit(0)).alias("found"),
-        F.transform(F.split(text, r.pattern, -1), lambda piece: F.length(piece)).alias("between"),
+        F.split(text, r.pattern, -1).alias("between"),
     )
 
-    def total(lengths: Column) -> Column:
-        return F.aggregate(lengths, F.lit(0), lambda a, b: a + b)
-
-    def finding(p: Column, m: Column, i: Column) -> Column:
-        passed = F.transform(F.slice(p["found"], F.lit(1), i), lambda x: F.length(x))
-        start = total(F.slice(p["between"], F.lit(1), i + 1)) + total(passed)
-        return F.struct(
-            F.lit(r.kind).alias("type"),
-            start.alias("start"),
-            (start + F.length(m)).alias("end"),
-            F.lit(r.score).alias("score"),
-            m.alias("text"),
+    def spans(p: Column) -> Column:
+        steps = F.zip_with(
+            p["found"], F.slice(p["between"], F.lit(1), F.size(p["found"])),
+            lambda m, piece: (F.length(piece) + F.length(m)).cast("long"),
+        )
+        return bind(
+            running_sums(steps),
+            lambda ends: F.transform(
+                p["found"],
+                lambda m, i: F.struct(
+                    F.lit(r.kind).alias("type"),
+                    (ends[i] - F.length(m)).cast("int").alias("start"),
+                    ends[i].cast("int").alias("end"),
+                    F.lit(r.score).alias("score"),
+                    m.alias("text"),
+                ),
+            ),
         )
 
-    spans = bind(parts, lambda p: F.transform(p["found"], lambda m, i: finding(p, m, i)))
+    found = bind(parts, spans)
     if r.kind in CHECKED:
-        spans = F.filter(spans, lambda f: CHECKED[r.kind](f["text"]))
-    # most texts have no match; the cheap tests keep the span work away from them
-    possible = F.rlike(text, F.lit(r.pattern))
-    if r.hint:
-        possible = text.contains(r.hint) & possible
-    return F.when(possible, spans).otherwise(no_findings())
+        found = F.filter(found, lambda f: CHECKED[r.kind](f["text"]))
+    return F.when(_possible(text, r), found).otherwise(no_findings())
+
+
+def holds_pii(text: Column, threshold: float = DEFAULT_THRESHOLD) -> Column:
+    """Whether ``detect`` has a finding of at least ``threshold``; needs no spans.
+
+    The finding of the greatest score is never dropped for another one, so any match will do.
+    """
+    out = F.lit(False)
+    for r in RECOGNIZERS:
+        if r.score >= threshold:
+            hit = _possible(text, r)
+            if r.kind in CHECKED:
+                every = F.regexp_extract_all(text, F.lit(r.pattern), F.lit(0))
+                hit = hit & F.exists(every, CHECKED[r.kind])
+            out = out | hit
+    return out
 
 
 def detect(text: Column) -> Column:
     """Array of (type, start, end, score, text) ordered by start; empty for blank texts.
 
-    Of overlapping findings the one with the greater score, then the longer one, is kept.
+    Of overlapping findings the one with the greater score, then the longer one, is kept. Findings
+    are compared only inside a run of overlapping ones.
     """
     each = F.concat(*[_matches(text, r) for r in RECOGNIZERS])
+    placed = F.sort_array(
+        F.transform(each, lambda f: F.struct(f["start"].alias("at"), f["type"].alias("kind"), f.alias("f")))
+    )
 
     def beats(g: Column, f: Column) -> Column:
         overlap = (g["start"] < f["end"]) & (f["start"] < g["end"])
         longer = (g["end"] - g["start"]) > (f["end"] - f["start"])
         return overlap & ((g["score"] > f["score"]) | ((g["score"] == f["score"]) & longer))
 
-    kept = bind(
-        each, lambda all_: F.filter(all_, lambda f: ~F.exists(all_, lambda g: beats(g, f)))
-    )
-    return F.array_sort(
-        kept,
-        lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0),
+    def unbeaten(run: Column) -> Column:
+        return F.filter(run, lambda f: ~F.exists(run, lambda g: beats(g, f)))
+
+    def kept(ordered: Column) -> Column:
+        ends = running(
+            F.transform(ordered, lambda f: f["end"]), lambda a, v: F.greatest(a, v), F.lit(-1)
+        )
+
+        def runs(reach: Column) -> Column:
+            first = F.filter(
+                F.transform(
+                    ordered,
+                    lambda f, i: F.when((i == 0) | (f["start"] >= F.get(reach, i - 1)), i),
+                ),
+                lambda i: i.isNotNull(),
+            )
+            return bind(
+                first,
+                lambda s: F.flatten(
+                    F.transform(
+                        s,
+                        lambda at, i: bind(
+                            F.slice(
+                                ordered, at + 1,
+                                F.coalesce(F.get(s, i + 1), F.size(ordered)) - at,
+                            ),
+                            unbeaten,
+                        ),
+                    )
+                ),
+            )
+
+        return bind(ends, runs)
+
+    return F.when(F.size(each) < 2, each).otherwise(
+        bind(F.transform(placed, lambda x: x["f"]), kept)
     )
 
 
@@ -123,17 +181,36 @@ def has_pii(findings: Column, threshold: float = DEFAULT_THRESHOLD) -> Column:
 
 
 def redact(text: Column, findings: Column) -> Column:
-    """The text with each finding replaced by ``<TYPE>``."""
-    start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
-
-    def step(acc: Column, f: Column) -> Column:
-        before = F.substr(text, acc["at"] + 1, f["start"] - acc["at"])
-        return F.struct(
-            F.concat(acc["done"], before, F.lit("<"), f["type"], F.lit(">")).alias("done"),
-            f["end"].alias("at"),
-        )
+    """The text with each finding replaced by ``<TYPE>``.
+
+    The text is cut once per chunk of findings, and the findings of a chunk inside that piece.
+    """
 
-    replaced = F.aggregate(
-        findings, start, step, lambda acc: F.concat(acc["done"], F.substr(text, acc["at"] + 1))
+    def piece(parts: Column, part: Column, i: Column) -> Column:
+        low = F.when(i == 0, F.lit(0)).otherwise(F.element_at(F.get(parts, i - 1), -1)["end"])
+        high = F.element_at(part, -1)["end"]
+
+        def replaced(cut: Column) -> Column:
+            before = F.transform(
+                part,
+                lambda f, k: F.concat(
+                    F.substr(
+                        cut,
+                        F.coalesce(F.get(part, k - 1)["end"], low) - low + 1,
+                        f["start"] - F.coalesce(F.get(part, k - 1)["end"], low),
+                    ),
+                    F.lit("<"), f["type"], F.lit(">"),
+                ),
+            )
+            return F.array_join(before, "")
+
+        return bind(F.substr(text, low + 1, high - low), replaced)
+
+    def whole(parts: Column) -> Column:
+        done = F.array_join(F.transform(parts, lambda part, i: piece(parts, part, i)), "")
+        rest = F.substr(text, F.element_at(F.element_at(parts, -1), -1)["end"] + 1)
+        return F.concat(done, rest)
+
+    return F.when(F.size(findings) == 0, text).otherwise(
+        bind(findings, lambda f: bind(chunks(f), whole))
     )
-    return F.when(F.size(findings) == 0, text).otherwise(replaced)

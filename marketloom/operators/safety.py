@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.functions.pii import STRICT_THRESHOLD, detect, has_pii, redact
+from marketloom.functions.pii import STRICT_THRESHOLD, detect, has_pii, holds_pii, redact
 from marketloom.functions.text import SPACE, word_count, words
 
 # Limits, words and patterns of the guardrails. White space is Unicode-aware.
@@ -95,7 +95,7 @@ def violation(text: Column, check_pii: bool = True, config: GuardrailConfig = Gu
             "toxic_content", F.lit("Input contains potentially harmful content")))
     )
     if check_pii:
-        chain = chain.when(has_pii(detect(text), config.pii_threshold), rule(
+        chain = chain.when(holds_pii(text, config.pii_threshold), rule(
             "pii_detected", F.lit("Input contains personally identifiable information")))
     return chain.otherwise(nothing)
 
