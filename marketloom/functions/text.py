@@ -74,3 +74,13 @@ def similarity(expected: Column, actual: Column) -> Column:
     e, a = normalize_text(expected), normalize_text(actual)
     return F.when(e == a, F.lit(1.0)).otherwise(sequence_ratio(e, a))
 
+
+
+def edit_similarity(expected: Column, actual: Column) -> Column:
+    """1 less the edit distance over the longer length, on normal forms with ASCII characters.
+
+    Other characters count as one placeholder. Two empty texts are equal.
+    """
+    e, a = (F.regexp_replace(normalize_text(x), r"[^\x00-\x7F]", "?") for x in (expected, actual))
+    longer = F.greatest(F.length(e), F.length(a))
+    return F.when(longer == 0, 1.0).otherwise(1 - F.levenshtein(e, a) / longer)

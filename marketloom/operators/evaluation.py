@@ -41,14 +41,22 @@ VARIANTS = [
 ]
 
 
-def score_answers(df: DataFrame, expected: str = "expected_answer", actual: str = "answer") -> DataFrame:
-    """Add exact_match, token_overlap, similarity and score, each rounded to three digits."""
+def score_answers(
+    df: DataFrame, expected: str = "expected_answer", actual: str = "answer",
+    likeness: Column | None = None,
+) -> DataFrame:
+    """Add exact_match, token_overlap, similarity and score, each rounded to three digits.
+
+    ``likeness`` is the similarity of the two texts, from 0 to 1; by default the matching ratio of
+    their normal forms. ``edit_similarity`` needs no Python.
+    """
     e, a = F.col(expected), F.col(actual)
+    likeness = similarity(e, a) if likeness is None else likeness
     parts = df.withColumns(
         {
             "exact_match": normalize_text(e) == normalize_text(a),
             "_overlap": token_overlap(e, a),
-            "_similarity": similarity(e, a),
+            "_similarity": likeness,
         }
     )
     total = (
@@ -65,12 +73,16 @@ def score_answers(df: DataFrame, expected: str = "expected_answer", actual: str
     ).drop("_overlap", "_similarity")
 
 
-def golden_eval(entries: DataFrame, responses: DataFrame) -> DataFrame:
+def golden_eval(
+    entries: DataFrame, responses: DataFrame, likeness: Column | None = None
+) -> DataFrame:
     """Scores of the responses (id, answer) to the entries of a golden set with the same id.
 
-    Entries without a response and responses to unknown ids give no row.
+    All columns of the entries stay. Entries without a response and responses to unknown ids give no
+    row. ``likeness`` as in ``score_answers``.
     """
-    return score_answers(entries.join(responses.select("id", "answer"), "id"))
+    joined = entries.join(responses.select("id", "answer"), "id")
+    return score_answers(joined, likeness=likeness)
 
 
 def golden_summary(entries: DataFrame, scored: DataFrame) -> DataFrame:
