@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Columns that identify a row or label it.
 ID_COLUMNS = ("date", "ticker", "target")
-FEATURE_KINDS = ("double", "float", "bigint")
+FEATURE_KINDS = ("double", "float", "bigint", "int")
 
 
 def feature_columns(df: DataFrame, exclude: tuple[str, ...] = ID_COLUMNS) -> list[str]:

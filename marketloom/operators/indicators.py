@@ -424,10 +424,11 @@ def add_target(df: DataFrame, horizon: int = HORIZON, tail: str = "zero") -> Dat
     labelled = over_series(
         df, lambda rows, w: _target_columns(rows, w, horizon), before=0, after=horizon
     )
-    return _tail(labelled, tail)
+    return with_tail(labelled, tail)
 
 
-def _tail(labelled: DataFrame, tail: str) -> DataFrame:
+def with_tail(labelled: DataFrame, tail: str) -> DataFrame:
+    """Keep (``zero``) or drop (``drop``) the rows without a future close."""
     if tail not in ("zero", "drop"):
         raise ValueError(f"tail must be 'zero' or 'drop', not {tail!r}")
     return labelled if tail == "zero" else labelled.filter(F.col("close_future").isNotNull())
@@ -440,7 +441,7 @@ def drop_nulls(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
 
 def training_table(bars: DataFrame, horizon: int = HORIZON, tail: str = "zero") -> DataFrame:
     """Bars to indicators to target, without warm-up rows."""
-    labelled = _tail(add_indicators(bars, horizon), tail)
+    labelled = with_tail(add_indicators(bars, horizon), tail)
     return drop_nulls(labelled.drop("close_future"))
 
 

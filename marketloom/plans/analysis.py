@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marketloom.functions.columns import feature_columns
+from marketloom.jobs import drift_job, feature_job
 from marketloom.operators import drift as dr
 from marketloom.operators import indicators as ind
 from marketloom.operators import models as ml
@@ -13,7 +14,7 @@ from marketloom.operators.signals import prediction_band
 from marketloom.plans.market import INDICATOR_SQL, TARGET
 from marketloom.plans.registry import query
 from marketloom.plans.tables import BARS_SQL, daily_bars, rounded, stored_bars, table
-from marketloom.session import stage
+from marketloom.session import stage, work_path
 
 # --- drift -------------------------------------------------------------------------------------
 LINE_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
@@ -285,6 +286,32 @@ def q_report(spark, sf):
     return summary_columns(dr.drift_summary(table_))
 
 
+@query(
+    "feature_pipeline",
+    f"""{INDICATOR_SQL}, kept AS (SELECT count(*) AS n FROM indicators
+      WHERE {' AND '.join(f'{c} IS NOT NULL' for c in ind.INDICATOR_COLUMNS)})
+    SELECT count(DISTINCT ticker)::BIGINT AS tickers, count(*)::BIGINT AS rows_read,
+      (count(*) - max(n))::BIGINT AS rows_dropped, max(n)::BIGINT AS rows_written FROM bars, kept""",
+)
+def q_feature_pipeline(spark, sf):
+    source, target = work_path(spark, "bars"), work_path(spark, "features")
+    daily_bars(spark, sf).write.parquet(source)
+    return feature_job(spark, source, target)
+
+
+@query(
+    "drift_pipeline",
+    f"""WITH {LINE_LONG}, {MEASURES}, {table_sql({})} {SUMMARY}""",
+)
+def q_drift_pipeline(spark, sf):
+    """Two stored samples, all their numeric columns, the summary read back from its JSON."""
+    old, new, columns = line_samples(spark, sf)
+    paths = [work_path(spark, name) for name in ("reference", "current", "drift")]
+    for sample, path in zip((old, new), paths):
+        sample.select(*columns).write.parquet(path)
+    return summary_columns(drift_job(spark, paths[0], paths[2], current=paths[1]))
+
+
 # --- model preparation -------------------------------------------------------------------------
 SCALED = ["l_quantity", "l_extendedprice", "l_discount"]
 

@@ -121,6 +121,16 @@ def read_bytes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(require(spark, path)).select("path", "length", "content")
 
 
+def write_bytes(spark: SparkSession, content: bytes, path: str) -> None:
+    """Write one small file as it is, with the file system that the path names."""
+    fs, target = _file_system(spark, path)
+    stream = fs.create(target, True)
+    try:
+        stream.write(bytearray(content))
+    finally:
+        stream.close()
+
+
 def load_golden(spark: SparkSession, path: str) -> DataFrame:
     """Entries of a golden set in JSON lines; blank lines are skipped."""
     return read_json(spark, path, GOLDEN).filter("id IS NOT NULL")

@@ -185,3 +185,10 @@ def test_stream_upsert_over_batches(spark):
         query.awaitTermination()
     got = stream_features.read_latest(spark, target, spark.read.parquet(source).schema, 2).collect()
     assert {(r["ticker"], r["close"]) for r in got} == {("A", 2.0), ("B", 3.0)}
+
+
+def test_write_bytes_round_trip(spark, tmp_path):
+    content = bytes(range(256)) * 3
+    io.write_bytes(spark, content, f"{tmp_path}/x.bin")
+    row = io.read_bytes(spark, f"{tmp_path}/x.bin").collect()[0]
+    assert bytes(row["content"]) == content and row["length"] == len(content)
