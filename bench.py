@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from marketloom.plans.catalog import QUERIES
@@ -17,14 +18,15 @@ HEADLINE = [
     "acf", "seasonal_decompose", "validate_input", "pii_redact", "pii_counts", "sanitize_output",
     "vector_topk", "rag_context", "golden_eval", "judge_parse", "ab_compare", "parse_actions",
     "latency_histogram", "latency_p95", "sliding_rate", "limited_requests", "alerts",
-    "request_rate_stream", "materialize_stream",
+    "request_rate_stream", "materialize_stream", "feature_pipeline", "model_logistic",
 ]
 
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = local_session(cpus)
+    folder = tempfile.TemporaryDirectory(prefix="bench-")
+    spark = local_session(cpus, folder=folder.name)
     run = lambda name: QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
     run("ohlcv_bars")  # start the executors and compile the common code
     seconds = {}
@@ -33,6 +35,7 @@ def main() -> None:
         run(name)
         seconds[name] = round(time.perf_counter() - start, 3)
     spark.stop()
+    folder.cleanup()
     print(json.dumps({
         "metric": "headline queries, total time",
         "value": round(sum(seconds.values()), 3),

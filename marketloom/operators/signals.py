@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.operators.features import latest_per_key
 from marketloom.operators.indicators import add_indicators
+from marketloom.operators.ordering import running_totals
 
 # Period name -> calendar span as (months, days); None means no limit.
 PERIODS = {
@@ -73,7 +74,8 @@ def price_summary(bars: DataFrame, period: str = "1mo") -> DataFrame:
 def compare_stocks(bars: DataFrame, period: str = "1mo", tickers: list[str] | None = None) -> DataFrame:
     """Summaries ranked by change, best first; equal changes keep the order of ``tickers``.
 
-    One row per ticker enters the ranking window. Tickers without data give no row.
+    Ranks come from running counts over ranges of the order, so no task holds all tickers. Tickers
+    without data give no row.
     """
     if tickers:
         bars = bars.filter(F.col("ticker").isin(tickers))
@@ -81,15 +83,16 @@ def compare_stocks(bars: DataFrame, period: str = "1mo", tickers: list[str] | No
     else:
         position = F.col("ticker")
     summary = price_summary(bars, period).withColumn("_position", position)
-    order = Window.orderBy(F.desc("price_change_pct"), "_position")
-    back = Window.orderBy(F.asc("price_change_pct"), F.desc("_position"))
-    return summary.withColumns(
-        {
-            "rank": F.row_number().over(order).cast("long"),
-            "is_best": F.row_number().over(order) == 1,
-            "is_worst": F.row_number().over(back) == 1,
-        }
-    ).drop("_position")
+    change = F.col("price_change_pct")
+    order = F.struct(change.isNull().alias("none"), (-change).alias("change"), F.col("_position"))
+    ranked = running_totals(
+        summary.withColumns({"_order": order, "_one": F.lit(1)}), [], "_order", ["_one"]
+    )
+    rank, size = F.col("cum__one"), F.col("total__one")
+    return ranked.select(
+        *[c for c in summary.columns if c != "_position"],
+        rank.cast("long").alias("rank"), (rank == 1).alias("is_best"), (rank == size).alias("is_worst"),
+    )
 
 
 def indicator_snapshot(bars: DataFrame, period: str = "3mo", min_rows: int = MIN_ROWS) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from functools import lru_cache
@@ -9,10 +11,15 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
-    """Session for tests and benchmarks on one machine."""
+def local_session(
+    cpus: int | str = 8, shuffle_partitions: int = 8, folder: str | None = None
+) -> SparkSession:
+    """Session for tests and benchmarks on one machine; ``folder`` holds the work tables."""
+    builder = SparkSession.builder if folder is None else SparkSession.builder.config(
+        "spark.checkpoint.dir", folder
+    )
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder.master(f"local[{cpus}]")
         .appName("marketloom")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
@@ -43,8 +50,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 @lru_cache
 def _own_folder(application: str) -> str:
-    """One temporary folder per local application."""
-    return tempfile.mkdtemp(prefix="marketloom-")
+    """One temporary folder per local application; it goes when the program ends."""
+    folder = tempfile.mkdtemp(prefix="marketloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def work_path(spark: SparkSession, name: str) -> str:

@@ -9,7 +9,7 @@ from marketloom.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(8, 8)
+def spark(tmp_path_factory):
+    session = local_session(8, 8, str(tmp_path_factory.mktemp("work")))
     yield session
     session.stop()
