@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.operators.ordering import exact_quantiles, long_form
+from marketloom.functions.text import bind
+from marketloom.operators.ordering import long_form, quantiles_of_totals, running_totals
 from marketloom.operators.series import POSITION, over_series, with_position
 
 # Defaults, and Dickey-Fuller critical values (constant, large samples).
@@ -104,33 +103,64 @@ def acf(df: DataFrame, value: str = "close", max_lag: int = MAX_LAG) -> DataFram
 
 
 def pacf(df: DataFrame, value: str = "close", max_lag: int = MAX_LAG) -> DataFrame:
-    """Partial autocorrelation per ticker from the autocorrelations of at most ``max_lag`` lags."""
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("lag")
-        r = group["acf"].to_numpy()
-        partial = [1.0]
-        for k in range(1, len(r)):
-            toeplitz = r[np.abs(np.subtract.outer(np.arange(k), np.arange(k)))]
-            partial.append(float(np.linalg.lstsq(toeplitz, r[1 : k + 1], rcond=None)[0][-1]))
-        return group[["ticker", "lag"]].assign(pacf=partial)
+    """Partial autocorrelation per ticker and lag, by the recursion over the autocorrelations.
 
-    return acf(df, value, max_lag).groupBy("ticker").applyInPandas(
-        solve, "ticker string, lag long, pacf double"
+    With f the weights for k - 1 lags and v the variance they leave, the partial value at lag k is
+    (r(k) - sum f(j) r(k - j)) / v. One array of ``max_lag`` + 1 values per ticker.
+    """
+    rows = acf(df, value, max_lag).groupBy("ticker").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("lag", "acf"))), lambda x: x["acf"]).alias("r")
     )
+    none = F.array().cast("array<double>")
+    start = F.struct(none.alias("f"), F.lit(1.0).alias("v"), F.array(F.lit(1.0)).alias("out"))
+
+    def step(state: Column, k: Column) -> Column:
+        earlier = F.reverse(F.slice("r", F.lit(2), k - 1))
+        known = F.aggregate(
+            F.zip_with(state["f"], earlier, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x
+        )
+        partial = F.coalesce(F.try_divide(F.col("r")[k] - known, state["v"]), F.lit(0.0))
+
+        def advanced(p: Column) -> Column:
+            weights = F.zip_with(state["f"], F.reverse(state["f"]), lambda x, y: x - p * y)
+            return F.struct(
+                F.concat(weights, F.array(p)).alias("f"), (state["v"] * (1 - p * p)).alias("v"),
+                F.concat(state["out"], F.array(p)).alias("out"),
+            )
+
+        return bind(partial, advanced)
+
+    solved = F.aggregate(F.sequence(F.lit(1), F.lit(max_lag)), start, step, lambda s: s["out"])
+    found = rows.filter(F.col("r")[0].isNotNull()).select("ticker", F.posexplode(solved).alias("lag", "pacf"))
+    return found.select("ticker", F.col("lag").cast("long").alias("lag"), "pacf")
+
+
+def _totals(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value, n) with running totals, stored: all that follows reads it, not the rows."""
+    counts = long_form(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return running_totals(counts, ["column"], "value", ["n"])
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, std, min, exact quartiles and max: one row per column."""
-    basic = long_form(df, columns).groupBy("column").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        F.max("value").alias("max"),
+    totals = _totals(df, columns)
+    n, value = F.col("n"), F.col("value")
+    basic = totals.groupBy("column").agg(
+        F.sum(n).alias("count"), (F.sum(n * value) / F.sum(n)).alias("mean"),
+        F.min(value).alias("min"), F.max(value).alias("max"),
+    )
+    away = value - F.col("mean")
+    spread = totals.join(basic.select("column", "mean"), "column").groupBy("column").agg(
+        F.sqrt(F.try_divide(F.sum(n * away * away), F.sum(n) - 1)).alias("std")
+    )
+    return (
+        basic.join(spread, "column").join(_quartiles(totals), "column")
+        .select("column", "count", "mean", "std", "min", "max", "q25", "q50", "q75")
     )
-    return basic.join(_quartiles(df, columns), "column")
 
 
-def _quartiles(df: DataFrame, columns: list[str]) -> DataFrame:
-    at = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
+def _quartiles(totals: DataFrame) -> DataFrame:
+    at = quantiles_of_totals(totals, "n", [0.25, 0.5, 0.75])
     return at.groupBy("column").agg(
         *[
             F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(name)
@@ -157,26 +187,29 @@ def histogram(df: DataFrame, columns: list[str], bins: int = BINS) -> DataFrame:
     )
 
 
-def fences(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Quartiles and the bounds 1.5 interquartile ranges beyond them: one row per column."""
+def _fences(totals: DataFrame) -> DataFrame:
     reach = (F.col("q75") - F.col("q25")) * WHISKER
-    return _quartiles(df, columns).withColumns(
+    return _quartiles(totals).withColumns(
         {"lower_fence": F.col("q25") - reach, "upper_fence": F.col("q75") + reach}
     )
 
 
+def fences(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Quartiles and the bounds 1.5 interquartile ranges beyond them: one row per column."""
+    return _fences(_totals(df, columns))
+
+
 def iqr_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
     """Quartiles, whiskers (outermost values inside the fences) and number of outliers."""
-    bounds = fences(df, columns)
+    totals = _totals(df, columns)
     inside = F.col("value").between(F.col("lower_fence"), F.col("upper_fence"))
     return (
-        long_form(df, columns)
-        .join(bounds, "column")
+        totals.join(_fences(totals), "column")
         .groupBy("column", "q25", "q50", "q75")
         .agg(
             F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
             F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
-            F.count_if(~inside).alias("n_outliers"),
+            F.coalesce(F.sum(F.when(~inside, F.col("n"))), F.lit(0)).alias("n_outliers"),
         )
     )
 

@@ -121,8 +121,10 @@ def q_wasserstein(spark, sf):
       UNION ALL SELECT 'l_linenumber', l_linenumber::VARCHAR, l_linestatus = 'O' FROM lineitem),
     counts AS (SELECT col, v, count_if(NOT cur) AS r, count_if(cur) AS c FROM long GROUP BY 1, 2),
     t AS (SELECT *, sum(r) OVER (PARTITION BY col) AS nr, sum(c) OVER (PARTITION BY col) AS nc FROM counts)
-    SELECT col AS "column", round(sum((c - r * nc / nr) ** 2 / (r * nc / nr)), 6) AS chi2,
-      (count(*) - 1)::BIGINT AS dof FROM t GROUP BY col""",
+    , m AS (SELECT col, sum((c - r * nc / nr) ** 2 / (r * nc / nr)) AS chi2, count(*) AS k FROM t GROUP BY col)
+    SELECT col AS "column", round(chi2, 6) AS chi2, (k - 1)::BIGINT AS dof,
+      round(CASE WHEN chi2 = 0 THEN 1.0 ELSE greatest(0, 1 - list_sum(list_transform(range(0, 400), lambda i:
+        exp(((k - 1) / 2 + i) * ln(chi2 / 2) - chi2 / 2 - lgamma((k - 1) / 2 + i + 1))))) END, 6) AS p_value FROM m""",
 )
 def q_chi2(spark, sf):
     lines = table(spark, sf, "lineitem")
@@ -130,7 +132,7 @@ def q_chi2(spark, sf):
     out = dr.drift_chi2(
         lines.filter(~current), lines.filter(current), ["l_returnflag", "l_linenumber"]
     )
-    return rounded(out.select("column", "chi2", "dof"), 6)
+    return rounded(out.select("column", "chi2", "dof", "p_value"), 6)
 
 
 @query(
@@ -516,7 +518,23 @@ def q_acf(spark, sf):
     return rounded(ts.acf(stored_bars(spark, sf)), 6)
 
 
-@query("pacf")
+@query(
+    "pacf",
+    f"""WITH RECURSIVE {BARS_SQL}, x AS (SELECT ticker, date, close - avg(close) OVER (PARTITION BY ticker) AS x,
+      row_number() OVER (PARTITION BY ticker ORDER BY date) AS rn FROM bars),
+    s AS (SELECT a.ticker, l.k AS lag, sum(a.x * b.x) AS p FROM x a, range(0, 31) l(k), x b
+      WHERE b.ticker = a.ticker AND b.rn = a.rn - l.k GROUP BY 1, 2),
+    r AS (SELECT s.ticker, list(s.p / z.p ORDER BY s.lag) AS r
+      FROM s JOIN s z ON z.ticker = s.ticker AND z.lag = 0 GROUP BY 1),
+    step AS (
+      SELECT ticker, r, 0 AS k, []::DOUBLE[] AS f, 1.0::DOUBLE AS v, 1.0::DOUBLE AS p FROM r
+      UNION ALL
+      SELECT ticker, r, k + 1,
+        list_append(list_transform(range(1, k + 1), lambda j: f[j] - a * f[k + 1 - j]), a), v * (1 - a * a), a
+      FROM (SELECT *, (r[k + 2] - coalesce(list_sum(list_transform(range(1, k + 1),
+              lambda j: f[j] * r[k + 2 - j])), 0)) / v AS a FROM step WHERE k < 30))
+    SELECT ticker, k::BIGINT AS lag, round(p, 6) AS pacf FROM step""",
+)
 def q_pacf(spark, sf):
     return rounded(ts.pacf(stored_bars(spark, sf)), 6)
 
