@@ -84,11 +84,11 @@ _FITS = " OR ".join(
 )
 SQL["op5_url_filters"] = rf"""
 WITH located AS (
-  SELECT page_id, CASE WHEN strpos(url, '://') > 0
+  SELECT page_id, row_number() OVER () AS r, CASE WHEN strpos(url, '://') > 0
                        THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
   FROM pages),
 cut AS (
-  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  SELECT page_id, r, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                             'abcdefghijklmnopqrstuvwxyz') AS host,
          substr(regexp_extract(rest, '^[^?#]*'),
                 length(regexp_extract(rest, '^[^/?#]*')) + 1) AS path
@@ -97,7 +97,7 @@ rules(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'
   ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
 ranked AS (
   SELECT page_id, host, path, h || p AS rule, v,
-         row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC) AS rn
+         row_number() OVER (PARTITION BY r ORDER BY length(h || p) DESC) AS rn
   FROM cut LEFT JOIN rules
     ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
 SELECT page_id, host, path, rule,
@@ -195,7 +195,7 @@ def _spans_sql(turns: str) -> str:
 
 SQL["op10_preferences"] = rf"""
 WITH convs AS (
-  SELECT conv_id, list({{'role': role, 'txt': txt}} ORDER BY turn, role, txt) AS turns
+  SELECT conv_id, list({{'role': role, 'txt': txt}} ORDER BY turn NULLS FIRST, role, txt) AS turns
   FROM (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS txt
         FROM conversations WHERE conv_id IS NOT NULL)
   GROUP BY conv_id),
