@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import bounded_parts, let, lower_ascii, whole
+from marketloom.llm.common import bounded_parts, constant_rows, let, lower_ascii, whole
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -38,7 +36,7 @@ def license_words(text: Column) -> Column:
 
 def templates(spark: SparkSession) -> DataFrame:
     rows = [(i, label, text) for i, (label, text) in enumerate(TEMPLATES)]
-    return spark.createDataFrame(rows, "template int, label string, text string")
+    return constant_rows(spark, rows, "template int, label string, text string")
 
 
 def phrase_places(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -184,8 +182,3 @@ def license_scan(
         F.array_join("base.base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"),
         score.alias("score"),
     )
-
-
-def need_of(size: int, threshold: float = CONTAINMENT) -> int:
-    """Words that a template of ``size`` distinct words asks for."""
-    return math.ceil(size * threshold - 1e-9)

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import lower_ascii, whole
+from marketloom.llm.common import constant_rows, lower_ascii, whole
 
 ALLOW, BLOCK = "allow", "block"
 
@@ -46,7 +46,7 @@ def rules(spark: SparkSession) -> DataFrame:
         rows.append((f"{host}{path}", len(host) + len(path), verdict, True, whole_tokens, pattern))
     for name, tokens, pattern in PATTERN_RULES:
         rows.append((name, 0, BLOCK, False, tokens, pattern))
-    return spark.createDataFrame(rows, RULE_SCHEMA)
+    return constant_rows(spark, rows, RULE_SCHEMA)
 
 
 def with_host_path(urls: DataFrame, url: str = "url") -> DataFrame:
