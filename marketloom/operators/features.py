@@ -73,7 +73,7 @@ def asof_features(
     buckets that its ttl reaches. An entity row then joins exactly one packed row, so no pairs are
     built, and since that side is unique, Spark can split a hot (key, bucket) of entities.
     """
-    size = bucket_seconds or max(1, ttl_seconds // 24)
+    size = bucket_seconds or max(1, ttl_seconds)  # then a row reaches the next bucket at most
     reach = -(-ttl_seconds // size)
 
     def bucket(c: str):
@@ -152,10 +152,15 @@ def merge_latest(
 def materialize_incremental(
     old: DataFrame, df: DataFrame, key: str = "ticker", order: str = "date"
 ) -> DataFrame:
-    """Bring a table of latest rows up to date with the rows past its own high-water mark."""
-    mark = old.agg(F.max(order)).scalar()
-    fresh = df.filter(mark.isNull() | (F.col(order) > mark))
-    return merge_latest(old, latest_per_key(fresh, key, order), key, order)
+    """Bring a table of latest rows up to date with the rows past the high-water mark of their key.
+
+    A key that the table does not have yet counts from its first row.
+    """
+    marks = old.groupBy(key).agg(F.max(order).alias("_mark"))
+    fresh = df.join(marks, key, "left").filter(
+        F.col("_mark").isNull() | (F.col(order) > F.col("_mark"))
+    )
+    return merge_latest(old, latest_per_key(fresh.select(df.columns), key, order), key, order)
 
 
 def features_with_fallback(
@@ -180,10 +185,14 @@ def features_with_fallback(
 def insert_if_absent(existing: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """Existing rows plus the new rows whose id is not there yet; the first of equal new ids wins.
 
-    ``new`` may carry ``position``, its input order, which decides among equal ids.
+    ``new`` may carry ``position``, its input order, which decides among equal ids; without it the
+    row that comes first as JSON does.
     """
     if "position" in new.columns:
         first = new.groupBy(key).agg(F.min("position").alias("position"))
         new = new.join(first, [key, "position"], "left_semi").drop("position")
+    else:
+        rest = F.struct(*[c for c in new.columns if c != key])
+        new = new.groupBy(key).agg(F.min_by(rest, F.to_json(rest)).alias("_row")).select(key, "_row.*")
     fresh = new.join(existing.select(key), key, "left_anti")
     return existing.unionByName(fresh, allowMissingColumns=True)

@@ -192,3 +192,19 @@ def test_write_bytes_round_trip(spark, tmp_path):
     io.write_bytes(spark, content, f"{tmp_path}/x.bin")
     row = io.read_bytes(spark, f"{tmp_path}/x.bin").collect()[0]
     assert bytes(row["content"]) == content and row["length"] == len(content)
+
+
+def test_late_key_is_refreshed(spark):
+    schema = "ticker string, date timestamp_ntz, x double"
+    day = lambda d: dt.datetime(2024, 1, d)
+    old = spark.createDataFrame([("a", day(20), 1.0)], schema)
+    new = spark.createDataFrame([("a", day(10), 2.0), ("a", day(21), 3.0), ("b", day(5), 4.0)], schema)
+    got = {r["ticker"]: (r["date"].day, r["x"]) for r in features.materialize_incremental(old, new).collect()}
+    assert got == {"a": (21, 3.0), "b": (5, 4.0)}
+
+
+def test_equal_new_ids_without_position(spark):
+    existing = spark.createDataFrame([("1", "old")], "id string, text string")
+    new = spark.createDataFrame([("1", "x"), ("2", "b"), ("2", "a")], "id string, text string")
+    got = sorted(tuple(r) for r in features.insert_if_absent(existing, new).collect())
+    assert got == [("1", "old"), ("2", "a")]
