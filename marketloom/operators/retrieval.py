@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.session import stage
+
 # Defaults and texts.
 TOP_K = 5
 CONTEXT_K = 3
 NO_CONTEXT = "No relevant context found."
-QUERY_BATCH = 512  # queries that travel together to every task
+PIVOTS = 64  # documents that the others are grouped around
+SLACK = 1e-9  # relative and absolute room for rounding of distances
 
 
 def squared_l2(a: Column, b: Column) -> Column:
@@ -21,44 +22,83 @@ def squared_l2(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v)
 
 
+def _distance(a: Column, b: Column) -> Column:
+    return F.sqrt(squared_l2(a, b))
+
+
 def vector_topk(
     documents: DataFrame,
     queries: DataFrame,
     k: int = TOP_K,
     where: dict[str, str] | None = None,
     metadata: str = "metadata",
+    pivots: int = PIVOTS,
 ) -> DataFrame:
     """The ``k`` nearest documents of each query: (query_id, id, distance, rank), exact.
 
     ``documents`` has ``id`` and ``embedding``, ``queries`` has ``query_id`` and ``embedding``.
     Distance is squared L2, ties go to the smaller id. ``where`` filters on metadata entries first.
-    A batch of queries of bounded size goes to every task as one array, so documents are scanned
-    where they lie; larger query tables are worked off in several batches. Each task keeps its own
-    ``k`` best per query before the shuffle (the ranking filter is applied on both sides of it).
+
+    Every document goes to the cell of its nearest pivot; pivots are ``pivots`` documents, the first
+    by a hash of their id. A cell keeps its number of documents and its radius. By the triangle
+    inequality a query knows the least and greatest distance to the documents of a cell: the nearest
+    cells with ``k`` documents bound its k-th distance, and it visits only cells that may lie
+    within this bound. Documents and visits meet in an equi-join on the cell, whose large cells
+    Spark splits. Each task keeps its own ``k`` best per query before the shuffle (the ranking
+    filter is applied on both sides of it).
     """
     for name, value in (where or {}).items():
         documents = documents.filter(F.try_element_at(F.col(metadata), F.lit(name)) == value)
-    batches = max(1, math.ceil(queries.count() / QUERY_BATCH))
-    best = None
-    for batch in range(batches):
-        part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(batches)) == batch)
-        packed = part.agg(F.collect_list(F.struct("query_id", "embedding"))).scalar()
-        pairs = documents.withColumn("_queries", packed).select(
-            "id",
-            F.inline(
-                F.transform(
-                    "_queries",
-                    lambda q: F.struct(
-                        q["query_id"].alias("query_id"),
-                        squared_l2(q["embedding"], F.col("embedding")).alias("distance"),
-                    ),
-                )
-            ),
+    docs = documents.select("id", "embedding")
+    first = docs.orderBy(F.xxhash64("id"), "id").limit(pivots)
+    centres = first.agg(F.sort_array(F.collect_list("embedding")).alias("_p")).scalar()
+    own = F.array_min(
+        F.transform(
+            "_centres",
+            lambda p, i: F.struct(_distance(p, F.col("embedding")).alias("d"), i.alias("cell")),
+        )
+    )
+    placed = stage(
+        docs.withColumn("_centres", centres).select("id", "embedding", own.alias("_own")).select(
+            "id", "embedding", F.col("_own.cell").alias("_cell"), F.col("_own.d").alias("_d")
+        ),
+        "placed_vectors",
+    )
+    cells = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_d").alias("r"))
+    packed = cells.agg(F.collect_list(F.struct("_cell", "n", "r")).alias("_c")).scalar()
+
+    def reach(c: Column) -> Column:
+        away = _distance(F.col("_centres")[c["_cell"]], F.col("embedding"))
+        return F.struct(
+            (away + c["r"]).alias("high"), (away - c["r"]).alias("low"), c["n"].alias("n"),
+            c["_cell"].alias("cell"),
         )
-        order = Window.partitionBy("query_id").orderBy("distance", "id")
-        top = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        best = top if best is None else best.unionByName(top)
-    return best.select("query_id", "id", "distance", F.col("rank").cast("long").alias("rank"))
+
+    far = F.lit(float("inf"))
+    start = F.struct(F.lit(0).cast("long").alias("seen"), far.alias("bound"))
+    counted = F.aggregate(
+        "_reach", start,
+        lambda a, c: F.when(a["seen"] >= k, a).otherwise(
+            F.struct((a["seen"] + c["n"]).alias("seen"), c["high"].alias("bound"))
+        ),
+        lambda a: F.when(a["seen"] >= k, a["bound"]).otherwise(far),
+    )
+    bounded = (
+        queries.select("query_id", "embedding")
+        .withColumns({"_centres": centres, "_cells": packed})
+        .withColumn("_reach", F.sort_array(F.transform("_cells", reach)))
+        .withColumn("_bound", counted * (1 + SLACK) + SLACK)
+    )
+    visits = bounded.select(
+        "query_id", F.col("embedding").alias("_query"),
+        F.explode(F.filter("_reach", lambda c: c["low"] <= F.col("_bound"))["cell"]).alias("_cell"),
+    )
+    pairs = placed.join(visits, "_cell").select(
+        "query_id", "id", squared_l2(F.col("_query"), F.col("embedding")).alias("distance")
+    )
+    order = Window.partitionBy("query_id").orderBy("distance", "id")
+    top = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return top.select("query_id", "id", "distance", F.col("rank").cast("long").alias("rank"))
 
 
 def rag_context(

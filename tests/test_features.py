@@ -115,11 +115,10 @@ def test_short_ticker_gets_error(spark):
     assert row["error"] == "Insufficient data for A" and row["sma_20"] is None
 
 
-def test_topk_in_batches(spark, monkeypatch):
+def test_topk_by_cells(spark):
     docs = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(50)], "id long, embedding array<double>")
     asks = spark.createDataFrame([(q, [q + 0.4, 0.0]) for q in range(20)], "query_id long, embedding array<double>")
-    monkeypatch.setattr(retrieval, "QUERY_BATCH", 3)
-    got = retrieval.vector_topk(docs, asks, k=2).orderBy("query_id", "rank").collect()
+    got = retrieval.vector_topk(docs, asks, k=2, pivots=5).orderBy("query_id", "rank").collect()
     assert [(r["query_id"], r["id"]) for r in got] == [(q, i) for q in range(20) for i in (q, q + 1)]
     plan = retrieval.vector_topk(docs, asks, k=2)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Cartesian" not in plan and "NestedLoop" not in plan
