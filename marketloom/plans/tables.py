@@ -17,10 +17,10 @@ def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A text table for work that is heavy per row.
 
     It is read as it is stored. A session whose files are too few to keep its cores busy may ask for
-    a number of parts (``marketloom.text.parts``), which costs one shuffle of the texts.
+    a number of parts (``spark.marketloom.text.parts``), which costs one shuffle of the texts.
     """
     df = table(spark, sf_dir, name)
-    parts = spark.conf.get("marketloom.text.parts", None)
+    parts = spark.conf.get("spark.marketloom.text.parts", None)
     return df.repartition(int(parts)) if parts else df
 
 

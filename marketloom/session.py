@@ -27,7 +27,7 @@ def local_session(
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
-        .config("marketloom.text.parts", str(cpus))  # the test tables are single files
+        .config("spark.marketloom.text.parts", str(cpus))  # the test tables are single files
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
