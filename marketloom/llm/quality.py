@@ -307,8 +307,7 @@ def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     ids = rejected.select(
         F.col("doc_id.id").alias("id"), F.col("doc_id.hash").alias("hash")
     ).distinct().alias("bad")
-    rows = docs.withColumn("_quality_hash", F.xxhash64(text)).alias("rows")
     same = F.col(f"rows.{doc_id}").eqNullSafe(F.col("bad.id")) & (
-        F.col("rows._quality_hash") == F.col("bad.hash")
+        F.xxhash64(F.col(f"rows.{text}")) == F.col("bad.hash")
     )
-    return rows.join(ids, same, "left_anti").select(*[F.col(f"rows.`{c}`") for c in docs.columns])
+    return docs.alias("rows").join(ids, same, "left_anti")
