@@ -8,12 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import let, total, whole
+from marketloom.functions.arrays import running_sums
+from marketloom.llm.common import let, whole
 
 THRESHOLD = 0.5
 CONTEXT_CHARS = 40
 CONTEXT_BONUS = 0.35
-CHUNK = 256  # positions are summed up in chunks, so that cost grows in proportion to the findings
 
 # A match of a run of characters starts where the run starts, or where the last match ended. This
 # is what a leftmost search gives anyway; stated in the pattern, a long run is read only once.
@@ -93,34 +93,6 @@ KINDS = [
 ]
 
 
-def running_sums(numbers: Column) -> Column:
-    """Sums of all prefixes of an array of longs."""
-
-    def run(part: Column, start: Column) -> Column:
-        return F.aggregate(
-            part, F.array(start), lambda a, v: F.concat(a, F.array(F.element_at(a, -1) + v))
-        )
-
-    def of(chunks: Column) -> Column:
-        starts = run(F.transform(chunks, total), F.lit(0).cast("long"))
-        return let(
-            starts,
-            lambda s: F.flatten(
-                F.transform(
-                    chunks, lambda c, i: F.slice(run(c, s[i]), F.lit(2), F.size(c))
-                )
-            ),
-        )
-
-    def chunked(d: Column) -> Column:
-        places = F.sequence(F.lit(0), F.floor((F.size(d) - 1) / CHUNK).cast("int"))
-        return let(F.transform(places, lambda c: F.slice(d, c * CHUNK + 1, F.lit(CHUNK))), of)
-
-    return F.when(F.size(numbers) == 0, F.array().cast("array<bigint>")).otherwise(
-        let(numbers, chunked)
-    )
-
-
 FINDING = "array<struct<start:bigint,place:int,end:bigint,kind:string,score:double,text:string>>"
 
 

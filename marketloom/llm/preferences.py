@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.functions.arrays import running_sums
 from marketloom.llm.common import let, whole
-from marketloom.llm.pii_spans import running_sums
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 TRAINED = "assistant"
