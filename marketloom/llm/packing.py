@@ -13,6 +13,8 @@ from marketloom.llm.tokens import encoded_rows
 
 LENGTH = 2048
 OPEN_BINS = 1024
+LOOK_AHEAD = 1024  # documents that are read before their pieces are placed
+MOST_BYTES = 1 << 24  # ids held for that
 END = 0
 EMIT = 2000  # pieces per output batch
 
@@ -72,6 +74,21 @@ def pieces_of(size: int, length: int) -> list[tuple[int, int]]:
     return cuts + [(start, length) for start in range(first, size, length)]
 
 
+def _looked_ahead(
+    docs: Iterator[tuple[int | None, bytes]], length: int
+) -> Iterator[list[tuple[int | None, int, int, bytes]]]:
+    """(doc_id, piece, start, ids) of some documents at a time, longest pieces first."""
+    pieces, held, count = [], 0, 0
+    for name, ids in docs:
+        for piece, (start, size) in enumerate(pieces_of(len(ids) // 4, length)):
+            pieces.append((name, piece, start, ids[4 * start : 4 * (start + size)]))
+        held, count = held + len(ids), count + 1
+        if count == LOOK_AHEAD or held > MOST_BYTES:
+            yield sorted(pieces, key=lambda p: -len(p[3]))
+            pieces, held, count = [], 0, 0
+    yield sorted(pieces, key=lambda p: -len(p[3]))
+
+
 def pack_documents(
     docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text",
     length: int = LENGTH, open_bins: int = OPEN_BINS, end: int = END,
@@ -79,8 +96,9 @@ def pack_documents(
     """One row per piece: (doc_id, piece, start, length, ids, sequence_id, offset).
 
     A document is its ids and ``end``. Only documents longer than ``length`` are cut. Each task
-    packs the rows of its partition as they come and keeps ``open_bins`` open sequences, so nothing
-    is shuffled or gathered; what is left open at the end costs each partition a few sequences,
+    packs the rows of its partition as they come, ``LOOK_AHEAD`` documents at a time and of these
+    the longest pieces first, and keeps ``open_bins`` open sequences. So nothing is shuffled or
+    gathered; what is left open at the end costs each partition a few sequences,
     whatever its size. ``ids`` are little-endian unsigned 32-bit. A sequence belongs to one
     partition, so a task that is run again yields its sequences anew.
 
@@ -91,10 +109,10 @@ def pack_documents(
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 40
         bins, rows = OpenBins(length, open_bins), []
-        for name, ids in encoded_rows(batches, tokenizer, end):
-            for piece, (start, size) in enumerate(pieces_of(len(ids) // 4, length)):
+        for pieces in _looked_ahead(encoded_rows(batches, tokenizer, end), length):
+            for name, piece, start, part in pieces:
+                size = len(part) // 4
                 number, offset = bins.place(size)
-                part = ids[4 * start : 4 * (start + size)]
                 rows.append((name, piece, start, size, part, base + number, offset))
                 if len(rows) == EMIT:
                     yield _batch(rows)
