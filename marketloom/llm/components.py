@@ -13,7 +13,7 @@ MAX_ROUNDS = 50
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node links its larger neighbours to the least node around it."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    least = stage(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
     return both.join(least, "a").filter(F.col("b") > F.col("a")).select(
         F.col("b").alias("a"), F.col("m").alias("b")
     ).distinct()
@@ -21,7 +21,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node links itself and its smaller neighbours to the least of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = stage(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
     own = least.select("a", F.col("m").alias("b"))
     rest = edges.join(least, "a").filter(F.col("b") != F.col("m")).select(
         F.col("b").alias("a"), F.col("m").alias("b")
@@ -33,8 +33,8 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for every node with an edge; the component is its least node.
 
     Large-star and small-star steps alternate until the edges stay as they are. A node with very
-    many neighbours is never gathered: its least neighbour is a partial aggregate, and the join back
-    is split by adaptive execution, since the other side is unique. Every round is stored, so the
+    many neighbours is never gathered: its least neighbour is a partial aggregate, which is stored, so
+    that adaptive execution can split the join back (the other side is unique). Every round is stored, so the
     plan stays short and a lost executor costs one round. An edge table without rows gives none.
     """
     larger, smaller = F.greatest(a, b), F.least(a, b)
