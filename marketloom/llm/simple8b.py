@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK = 1024  # numbers per block; the offset of each block's first word is kept
+BLOCK = 1024  # numbers per block, 30000 at most; the offset of each block's first word is kept
 
 # Numbers per word and bits per number, by selector. Selector 0 is the escape: the
 # number follows in the next word, in full.
@@ -33,10 +33,13 @@ def encode(numbers: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndar
     sizes[-1] = len(values) - (blocks - 1) * block
 
     selector = np.zeros((blocks, block), np.int8)
+    bits = np.frexp(grid.astype(np.float64))[1].astype(np.int8)  # rounds up at most, which is safe
+    over = np.zeros((blocks, width + 1), np.int16)
     for s in range(len(COUNTS) - 1, 0, -1):
-        over = np.zeros((blocks, width + 1), np.int32)
-        np.cumsum(grid >> np.uint64(BITS[s]) != 0, axis=1, out=over[:, 1:])
+        np.cumsum(bits > BITS[s], axis=1, dtype=np.int16, out=over[:, 1:])
         fits = over[:, COUNTS[s] : COUNTS[s] + block] == over[:, :block]
+        if not fits.any():
+            break  # more numbers of fewer bits fit nowhere either
         selector[fits] = s
 
     at = np.zeros(blocks, np.int64)
@@ -64,9 +67,10 @@ def encode(numbers: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndar
         if s == 0:
             words[places[mine] + 1] = flat[first[mine]]
             continue
-        packed = np.full(int(mine.sum()), int(s) << 60, np.uint64)
+        begin = first[mine]
+        packed = np.full(len(begin), int(s) << 60, np.uint64)
         for k in range(COUNTS[s] if BITS[s] else 0):
-            packed |= flat[first[mine] + k] << np.uint64(BITS[s] * k)
+            packed |= flat[begin + k] << np.uint64(BITS[s] * k)
         words[places[mine]] = packed
     offsets = places[np.searchsorted(rows, np.arange(blocks))]
     return words, offsets
@@ -94,9 +98,9 @@ def decode(words: np.ndarray, offsets: np.ndarray, count: int, block: int = BLOC
         if s == 0:
             out[target[mine]] = words[mine + 1]
             continue
-        mask = np.uint64((1 << int(BITS[s])) - 1)
+        mask, packed = np.uint64((1 << int(BITS[s])) - 1), words[mine]
+        begin, room = target[mine], limit[mine] - target[mine]
         for k in range(COUNTS[s] if BITS[s] else 0):
-            to = target[mine] + k
-            good = to < limit[mine]
-            out[to[good]] = (words[mine[good]] >> np.uint64(BITS[s] * k)) & mask
+            good = room > k
+            out[begin[good] + k] = (packed[good] >> np.uint64(BITS[s] * k)) & mask
     return out

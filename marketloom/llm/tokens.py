@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import pyarrow as pa
 
@@ -22,6 +23,7 @@ class PieceEncoder:
     """
 
     BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+    ODD = re.compile(r"[^\S\n]|\n\n|\A\n|\n\Z|<\|")  # white space but single line feeds; a special token
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -29,6 +31,7 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         feed = self._ids(["\n"])[0]
         self.feed = feed[0] if len(feed) == 1 else None
+        self.closing = {c: array("I", self._ids([c])[0]).tobytes() for c in ".,"}
         self.first: dict[str, bytes] = {}
         self.after_blank: dict[str, bytes] = {}
 
@@ -39,13 +42,13 @@ class PieceEncoder:
         if len(self.first) + len(self.after_blank) > MOST_PIECES:
             self.first, self.after_blank = {}, {}
         self._learn(self.first, "", {parts[0] for parts in cut})
-        self._learn(self.after_blank, " ", {p for parts in cut for p in parts[1:]})
+        self._learn(self.after_blank, " ", set(chain.from_iterable(cut)))
         return [self._joined(t, parts) for t, parts in zip(texts, cut)]
 
     def _joined(self, text: str, parts: list[str]) -> bytes:
-        known = self.after_blank
         try:
-            return self.first[parts[0]] + b"".join([known[p] for p in parts[1:]])
+            rest = map(self.after_blank.__getitem__, islice(parts, 1, None))
+            return self.first[parts[0]] + b"".join(rest)
         except KeyError:  # white space other than single blanks: cut between other characters only
             head, *rest = self.BETWEEN.split(text)
             ids = self._ids([head, *[" " + p for p in rest]])
@@ -53,28 +56,35 @@ class PieceEncoder:
 
     def _learn(self, known: dict[str, bytes], before: str, pieces: set[str]) -> None:
         """Remember the ids of new pieces that begin and end without white space."""
-        new = [p for p in pieces if p not in known and p and p == p.strip()]
-        sizes = [p.count("\n") + 1 for p in new]
-        plain = [
-            self.feed is not None and len(p.split()) == n and "<|" not in p
-            for p, n in zip(new, sizes)
-        ]
-        apart = [p for p, together in zip(new, plain) if not together]
-        for piece, ids in zip(apart, self._ids([before + p for p in apart])):
-            known[piece] = array("I", ids).tobytes()
-        joined = [(p, n) for p, n, together in zip(new, sizes, plain) if together]
-        groups = [joined[i : i + GROUP] for i in range(0, len(joined), GROUP)]
-        texts = ["\n".join([before + p for p, _ in group]) for group in groups]
-        for group, ids in zip(groups, self._ids(texts)):
-            data, low = array("I", ids).tobytes(), 0
-            ends = [i for i, x in enumerate(ids) if x == self.feed] + [len(ids)]
-            if len(ends) != sum(n for _, n in group):
-                raise ValueError("line feeds are not tokens of their own with this tokenizer")
-            at = -1
-            for piece, n in group:
-                at += n
-                known[piece] = data[4 * low : 4 * ends[at]]
-                low = ends[at] + 1
+        found = pieces.difference(known, ("",))
+        closed = [p for p in found if p[-1] in self.closing and p[-2:-1].isalnum()]
+        found.difference_update(closed)
+        found.update([p[:-1] for p in closed])
+        new = list(found.difference(known))
+        for i in range(0, len(new), GROUP):
+            group = new[i : i + GROUP]
+            if self.feed is None or self.ODD.search("\n".join(group)):
+                apart = [p for p in group if self.feed is None or self.ODD.search(p)]
+                fit = [p for p in apart if p == p.strip()]
+                for piece, ids in zip(fit, self._ids([before + p for p in fit])):
+                    known[piece] = array("I", ids).tobytes()
+                group = list(set(group).difference(apart))
+            if group:
+                self._learn_together(known, before, group)
+        for piece in closed:  # a closing mark after a letter or digit is a token of its own
+            if piece[:-1] in known:
+                known[piece] = known[piece[:-1]] + self.closing[piece[-1]]
+
+    def _learn_together(self, known: dict[str, bytes], before: str, group: list[str]) -> None:
+        ids = self._ids([before + f"\n{before}".join(group)])[0]
+        data, low, at = array("I", ids).tobytes(), 0, -1
+        ends = [i for i, x in enumerate(ids) if x == self.feed] + [len(ids)]
+        for piece in group:
+            at += piece.count("\n") + 1
+            known[piece] = data[4 * low : 4 * ends[at]]
+            low = ends[at] + 1
+        if at != len(ends) - 1:
+            raise ValueError("line feeds are not tokens of their own with this tokenizer")
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         encodings = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
