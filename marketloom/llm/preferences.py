@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions.arrays import running_sums
 from marketloom.llm.common import let, whole
+from marketloom.operators.ordering import running_totals
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 TRAINED = "assistant"
-STRETCH = 1000  # conversation ids that are paired with each other
 
 
 def conversations(
@@ -104,8 +104,9 @@ def pairs_of_table(turns: DataFrame) -> DataFrame:
 
     A conversation with a reply is preferred to itself with the last reply replaced by the reply
     before it (an empty one if there is none); ``rejected_id`` is null there. Conversations with the
-    same first turn are also paired, each with the next one; this is done per stretch of
-    ``STRETCH`` ids, which bounds a group also if very many conversations begin alike.
+    same first turn are also paired, each with the next one by id, however far away that is. Ids are
+    range-partitioned by (first turn, id), so a first turn of very many conversations is spread over
+    the partitions; turns are joined to the paired ids afterwards.
     """
     convs = conversations(turns)
     is_reply = F.transform("turns", lambda t: t["role"] == TRAINED)
@@ -127,13 +128,20 @@ def pairs_of_table(turns: DataFrame) -> DataFrame:
         worse.alias("rejected"),
     )
     first = F.col("turns")[0]
-    near = Window.partitionBy(
-        first["role"], first["text"], F.floor(F.col("conv_id") / STRETCH)
-    ).orderBy("conv_id")
-    neighbours = convs.select(
-        "conv_id", F.lead("conv_id").over(near).alias("rejected_id"), F.col("turns").alias("chosen"),
-        F.lead("turns").over(near).alias("rejected"),
-    ).filter(F.col("rejected_id").isNotNull())
+    by_prompt = convs.select(
+        F.sha2(F.concat_ws(":", F.length(first["role"]).cast("string"), first["role"], first["text"]), 256)
+        .alias("prompt"),
+        "conv_id", F.lit(1).alias("n"),
+    )
+    following = running_totals(by_prompt, ["prompt"], "conv_id", ["n"]).filter(
+        F.col("next_value").isNotNull()
+    ).select("conv_id", F.col("next_value").alias("rejected_id"))
+    neighbours = (
+        following.join(convs.withColumnRenamed("turns", "chosen"), "conv_id")
+        .join(convs.select(F.col("conv_id").alias("rejected_id"), F.col("turns").alias("rejected")),
+              "rejected_id")
+        .select("conv_id", "rejected_id", "chosen", "rejected")
+    )
     return own.unionByName(neighbours)
 
 
