@@ -104,3 +104,34 @@ def test_odd_rows(spark):
     texts = [r.text for r in kept.collect()]
     assert PROSE in texts and None not in texts and "" not in texts
     assert sum(t == PROSE for t in texts) == 3  # both repeated rows and the row without an id
+
+
+def de_bruijn(names):
+    """Words in an order in which no three-word window comes twice."""
+    seen, out = set(), [names[0], names[0]]
+    while True:
+        for n in reversed(names):
+            if (*out[-2:], n) not in seen:
+                seen.add((*out[-2:], n))
+                out.append(n)
+                break
+        else:
+            return out
+
+
+JUNK = {
+    "symbols": lambda w, i: w[:-1] + ["|" * round(0.065 * len("".join(w)))] + [f"t{i}"],
+    "lines": lambda w, i: "\n".join(de_bruijn([f"abc{k}x{i}" for k in range(6)]) + [f"line{k}x{i}" for k in range(12)]).split(" "),
+    "repeats": lambda w, i: w[:64] + w[:21] + [f"t{i}"],
+    "word_length": lambda w, i: [x + x[:6] for x in w] + [f"t{i}"],
+}
+
+
+@pytest.mark.parametrize("kind", sorted(JUNK))
+def test_one_statistic_rejects_alone(spark, kind):
+    good = [(i, PROSE + f" tail{i} end{i * 7}") for i in range(40) if i != 3]
+    bad = [(100 + i, " ".join(JUNK[kind](PROSE.split(), i))) for i in range(3)]
+    rows = quality.quality_rules(documents(spark, good + bad)).collect()
+    assert not any(r.base_failed for r in rows)
+    assert {r.doc_id for r in rows if r.kept} == {i for i, _ in good}
+    assert all(r.distance < 38.2 for r in rows)  # all of these were kept at a tail of 1e-7
