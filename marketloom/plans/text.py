@@ -153,6 +153,15 @@ def q_spans(spark, sf):
                       F.col("end").cast("long").alias("end_at"))
 
 
+@query("pii_spans_all")
+def q_spans_all(spark, sf):
+    """Spans of all texts, whatever their number of findings."""
+    found = messages(spark, sf).withColumn("_f", pii.detect(F.col("text")))
+    every = found.select("conv_id", "turn", F.inline("_f"))
+    return every.select("conv_id", "turn", "type", F.col("start").cast("long").alias("start_at"),
+                        F.col("end").cast("long").alias("end_at"))
+
+
 DOC_FINDINGS = """
 found AS (""" + " UNION ALL ".join(
     f"SELECT doc_id, '{r.kind}' AS type, unnest({found_sql(r, 'text')}) AS m FROM documents"
