@@ -23,10 +23,24 @@ EMAIL = (
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
+# Characters after country and check digits, by country. A number of a known country ends there if a
+# border follows; other countries take all that may belong to them.
+IBAN_REST = {
+    11: "NO", 12: "BE", 14: "DK FI FO GL NL", 15: "MK SI", 16: "AT BA EE KZ LT LU XK",
+    17: "CH CR HR LI LV", 18: "BG BH DE GB GE IE ME RS VA", 19: "AE GI IL IQ TL",
+    20: "AD CZ ES MD PK RO SA SE SK TN VG", 21: "LY PT ST", 22: "IS TR", 23: "FR GR IT MC MR SM",
+    24: "AL AZ BY CY DO GT HU LB PL SV", 25: "BR EG PS QA UA", 26: "JO KW MU",
+    27: "MT SC", 28: "LC",
+}
+_KNOWN = "|".join(
+    rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{rest}}}" for rest, codes in IBAN_REST.items()
+)
+IBAN = (
+    rf"(?<![A-Za-z0-9])(?:(?:{_KNOWN})|[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}})(?![A-Za-z0-9])"
+)
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 MAC = r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:])"
-SECRET = r"(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])"
+SECRET = r"(?<![A-Za-z0-9])[0-9A-Fa-f]{32,64}(?![A-Za-z0-9])"
 
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
@@ -88,7 +102,7 @@ KINDS = [
          lambda m: ~m.rlike(r"\A(?:000|666|9)|-00-|-0000\z"), 0.3, "ssn|social security|tax id"),
     Kind("mac", MAC, lambda t: t.rlike("[0-9A-Fa-f]:[0-9A-Fa-f]{2}:"), lambda m: F.lit(True),
          0.5, "mac|device|hardware"),
-    Kind("secret", SECRET, lambda t: t.rlike("[0-9a-f]{32}"), lambda m: F.lit(True),
+    Kind("secret", SECRET, lambda t: t.rlike("[0-9A-Fa-f]{32}"), lambda m: F.lit(True),
          0.3, "token|key|secret|password"),
 ]
 

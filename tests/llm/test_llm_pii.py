@@ -83,3 +83,15 @@ def test_cost_follows_the_findings(spark):
     start = time.time()
     row = pii_digest(documents(spark, [(1, text)])).collect()[0]
     assert row.n_email == 30000 and time.time() - start < 90
+
+
+def test_numbers_with_text_behind_them(spark):
+    de, gb, no = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO9386011117947"
+    secret = "9233A8EC" * 4
+    texts = [
+        f"{de} BIC COBADEFFXXX", f"pay {gb} 12345 NOW", f"TO {no} BY {de} END", f'TOKEN = "{secret}"',
+        "DE88370400440532013000 BIC COBADEFFXXX", f"iban {de}.",
+    ]
+    rows = personal_data(documents(spark, [(10 + i, t) for i, t in enumerate(texts)])).collect()
+    got = {r.doc_id - 10: [f.text for f in r.findings if f.kind in ("iban", "secret")] for r in rows}
+    assert got == {0: [de], 1: [gb], 2: [no, de], 3: [secret], 4: [], 5: [de]}
