@@ -10,7 +10,6 @@ from marketloom.session import stage
 
 MIN_CHARS = 20
 MIN_DOCS = 3
-HOT_SHARE = 4096  # a key with more than rows / HOT_SHARE lines is hot; fewer than HOT_SHARE are
 
 
 def _lines(text: Column) -> Column:
@@ -23,7 +22,7 @@ def _key(line: Column) -> Column:
 
 def line_bitmaps(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-    min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
+    min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, hot_rows: float | None = None,
 ) -> DataFrame:
     """Dropped lines as bitmaps: (doc_id, text_hash, n_dropped, bitmap), only where lines go.
 
@@ -35,9 +34,9 @@ def line_bitmaps(
 
     Key hashes (128 bits) are range-partitioned and each partition is read in the order of hash,
     document (largest first) and position: the first document of a key keeps its lines. A key with
-    more than a fixed share of all rows would fill one partition; such keys (fewer than
-    ``HOT_SHARE``, found by a frequent-items sketch whose error only decides the way, never the result) are
-    aggregated with partial sums instead, and joined back by broadcast.
+    more lines than a task's share of all lines (``hot_rows``; by default all lines over the number
+    of shuffle partitions, so there are fewer such keys than partitions) is aggregated with partial
+    sums instead, and joined back by broadcast. Both ways give the same result.
 
     Null text counts as one empty line. Rows without an id, short lines and empty tables give no
     bitmap. Rows that share an id count as one document; repeated rows share one bitmap.
@@ -61,7 +60,9 @@ def line_bitmaps(
         ),
         "line_places",
     )
-    hot = _hot_keys(places)
+    if hot_rows is None:
+        hot_rows = places.count() / int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = _hot_keys(places, hot_rows)
     spread = places.join(F.broadcast(hot), "h1", "left_anti")
     crowd = places.join(F.broadcast(hot), "h1", "left_semi")
     return _bitmaps(
@@ -69,25 +70,27 @@ def line_bitmaps(
     )
 
 
-def _hot_keys(places: DataFrame) -> DataFrame:
-    """First hash of the keys that hold more than their share of the lines; fewer than HOT_SHARE rows."""
-    sketch = places.agg(
-        F.expr(f"approx_top_k(h1, {HOT_SHARE}, {8 * HOT_SHARE})").alias("top"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    items = sketch.select("n", F.explode("top").alias("t"))
-    return items.filter(F.col("t.count") * HOT_SHARE > F.col("n")).select(F.col("t.item").alias("h1"))
+def _hot_keys(places: DataFrame, hot_rows: float) -> DataFrame:
+    """First hash of the keys with more than ``hot_rows`` lines, counted exactly."""
+    counts = places.groupBy("h1").agg(F.count(F.lit(1)).alias("n"))
+    return counts.filter(F.col("n") > hot_rows).select("h1")
 
 
 def _dropped_in_order(places: DataFrame, min_docs: int) -> DataFrame:
-    """Range-partitioned by hash, sorted by document and position; all but the first document go."""
-    ranged = places.repartitionByRange("h1")
+    """Range-partitioned by hash, sorted by document and position; all but the first document go.
+
+    ``nth`` counts the documents of a key as they begin, so all lines of a document share it.
+    """
     key = Window.partitionBy("h1", "h2")
     order = key.orderBy(F.desc("doc_id"), "pos")
-    ranked = ranged.withColumn("rank", F.dense_rank().over(order)).withColumn(
-        "n_docs", F.max("rank").over(key)
+    begins = F.coalesce(F.lag("doc_id").over(order) != F.col("doc_id"), F.lit(True))
+    ranked = (
+        places.repartitionByRange("h1")
+        .withColumn("begins", begins.cast("long"))
+        .withColumn("nth", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("n_docs", F.max("nth").over(key))
     )
-    return ranked.filter((F.col("n_docs") >= min_docs) & (F.col("rank") > 1)).select(
+    return ranked.filter((F.col("n_docs") >= min_docs) & (F.col("nth") > 1)).select(
         "doc_id", "text_hash", "pos"
     )
 

@@ -30,9 +30,11 @@ def kept_texts(rows):
     return out
 
 
-@pytest.mark.parametrize("share", [4096, 8])
-def test_kept_text(spark, monkeypatch, share):
-    monkeypatch.setattr(lines, "HOT_SHARE", share)  # 8: shared lines take the way of hot keys
+@pytest.mark.parametrize("hot_rows", [None, 0, 10**9])  # as it comes, all keys hot, no key hot
+def test_kept_text(spark, monkeypatch, hot_rows):
+    if hot_rows is not None:
+        counted = lines._hot_keys
+        monkeypatch.setattr(lines, "_hot_keys", lambda places, _: counted(places, hot_rows))
     common = [(100 + i, f"own line number {i} of this text\nA line that all of them have here") for i in range(40)]
     rows = odd_rows() + common
     docs = documents(spark, rows)
@@ -51,3 +53,12 @@ def test_bitmap_of_many_lines(spark):
     assert set(found) == {1, 2} and found[1].n_dropped == 300
     assert sum(bin(b.bits & (2**64 - 1)).count("1") for b in found[1].bitmap) == 300
     assert len(found[1].bitmap) == 5
+
+
+@pytest.mark.parametrize("hot_rows", [0, 10**9])
+def test_lines_repeated_inside_one_document(spark, hot_rows):
+    line = "a line of more than twenty letters"
+    alone, twice = f"{line} x\n{line} x\n{line} x", f"{line}\nother\n{line}"
+    docs = documents(spark, [(1, alone), (2, line), (3, line), (9, twice)])
+    found = {r.doc_id: r.n_dropped for r in lines.line_bitmaps(docs, hot_rows=hot_rows).collect()}
+    assert found == {2: 1, 3: 1}
