@@ -75,27 +75,33 @@ def preference_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "
     conversation is its completion, masked by (start, end) spans of the text to train on. Without a
     common turn the prompt is empty. If one conversation is the beginning of the other, its
     completion is empty; equal conversations have two empty completions. A null conversation counts
-    as one without turns. The two turn arrays are dropped, other columns stay.
+    as one without turns. The two turn arrays are dropped; other columns stay, but for those that
+    have the name of an added one, which is replaced. An empty table gives no rows.
     """
     none = F.array().cast(pairs.schema[chosen].dataType)
-    rest = [F.col(f"`{c}`") for c in pairs.columns if c not in (chosen, rejected)]
+    others = [c for c in pairs.columns if c not in (chosen, rejected)]
     both = pairs.select(
-        *rest, F.coalesce(chosen, none).alias("_a"), F.coalesce(rejected, none).alias("_b")
+        F.struct(*[F.col(f"`{c}`") for c in others]).alias("_others") if others
+        else F.lit(None).alias("_others"),
+        F.coalesce(chosen, none).alias("_a"), F.coalesce(rejected, none).alias("_b"),
     )
-    cut = both.withColumn("n_common", common_turns(F.col("_a"), F.col("_b")))
+    cut = both.withColumn("_n", common_turns(F.col("_a"), F.col("_b")))
 
     def tail(side: str) -> Column:
-        return F.slice(side, F.col("n_common") + 1, F.size(side))
+        return F.slice(side, F.col("_n") + 1, F.size(side))
 
     parts = cut.select(
-        *rest, "n_common", render(F.slice("_a", F.lit(1), F.col("n_common"))).alias("prompt"),
+        "_others", "_n", render(F.slice("_a", F.lit(1), F.col("_n"))).alias("_prompt"),
         tail("_a").alias("_a"), tail("_b").alias("_b"),
     )
+    made = {
+        "n_common": F.col("_n"), "prompt": F.col("_prompt"),
+        "chosen": render(F.col("_a")), "rejected": render(F.col("_b")),
+        "chosen_spans": trained_spans(F.col("_a")), "rejected_spans": trained_spans(F.col("_b")),
+    }
     return parts.select(
-        *rest, "n_common", "prompt",
-        render(F.col("_a")).alias("chosen"), render(F.col("_b")).alias("rejected"),
-        trained_spans(F.col("_a")).alias("chosen_spans"),
-        trained_spans(F.col("_b")).alias("rejected_spans"),
+        *[F.col(f"_others.`{c}`").alias(c) for c in others if c not in made],
+        *[value.alias(name) for name, value in made.items()],
     )
 
 

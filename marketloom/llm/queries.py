@@ -212,7 +212,7 @@ pairs AS (
   UNION ALL
   SELECT * FROM (
     SELECT conv_id, lead(conv_id) OVER w AS rejected_id, turns AS a, lead(turns) OVER w AS b
-    FROM convs WINDOW w AS (PARTITION BY turns[1], conv_id // 1000 ORDER BY conv_id))
+    FROM convs WINDOW w AS (PARTITION BY turns[1] ORDER BY conv_id))
   WHERE rejected_id IS NOT NULL),
 cut AS (
   SELECT *, len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[1:i] = b[1:i])) AS n

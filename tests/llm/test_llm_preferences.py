@@ -2,7 +2,7 @@
 
 import pytest
 
-from marketloom.llm.preferences import pairs_of_table, preference_digest
+from marketloom.llm.preferences import pairs_of_table, preference_digest, preference_pairs
 
 SCHEMA = "conv_id bigint, turn bigint, role string, text string"
 
@@ -37,3 +37,12 @@ def test_digest_of_distant_pairs(spark):
     rows = preference_digest(turns_of(spark, [(5, "a"), (1500, "a"), (9000, "a")])).collect()
     got = {(r.conv_id, r.rejected_id): r.n_common for r in rows}
     assert got == {(5, None): 1, (1500, None): 1, (9000, None): 1, (5, 1500): 1, (1500, 9000): 1}
+
+
+def test_clashing_columns(spark):
+    turn = "array<struct<role: string, text: string>>"
+    rows = [(1, "p", "n", "s", "_x", [("user", "q"), ("assistant", "a")], [("user", "q"), ("assistant", "b")])]
+    schema = f"id int, prompt string, n_common string, chosen_spans string, _a string, chosen {turn}, rejected {turn}"
+    got = preference_pairs(spark.createDataFrame(rows, schema)).collect()
+    assert len(got) == 1 and (got[0].id, got[0]["_a"], got[0].n_common) == (1, "_x", 1)
+    assert "q" in got[0].prompt and got[0].chosen_spans != "s"
