@@ -25,7 +25,8 @@ INSIDE = 0.975  # reweighting: rows within this probability form the final estim
 # Rows beyond this tail probability are rejected: 4.85 deviations, so that with the least deviations
 # above each statistic can reject alone (repeated lines at most 1.57 away, repeated words 0.79).
 OUTSIDE = 1e-4
-MAX_STEPS = 12
+SHRINK = 20  # a group's estimate counts as its rows, its language's as so many rows
+MAX_STEPS = 100
 
 
 def text_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -105,8 +106,13 @@ def quality_rules(
     ``base_failed``: fewer than 50 words, or more than half of the words in repeated windows.
     The others are judged by the minimum covariance determinant: statistics are transformed (log of
     the mean word length, arcsine of the square root of the shares of symbols, repeated lines and
-    repeated words); per (lang, source) concentration steps start from the medians and go to the
-    ``core_share`` of rows with least distance until the subset stays; a reweighting step follows.
+    repeated words); per (lang, source), and per lang over all its sources, concentration steps go
+    to the ``core_share`` of rows with least distance while the determinant gets smaller. They start
+    from the medians and from the moments of all rows; of the two ends the one of smaller determinant
+    counts. A reweighting step follows. The estimate of a source is then drawn towards that of its
+    language, as if ``SHRINK`` rows of the language were added to it; a source whose centre itself
+    lies outside of the inner part of its language is judged by the language's estimate alone. So a
+    source of few rows, or of junk only, does not set its own norm.
     ``kept`` is false where the squared Mahalanobis distance exceeds the chi-square quantile of
     ``1 - outside``. All rows enter: equal vectors are counted once with their number, so the steps
     run over few vectors per group, and all sums are whole numbers, the same in any order.
@@ -154,29 +160,92 @@ def _with_vector(stats: DataFrame) -> DataFrame:
 
 
 def _estimate(vectors: DataFrame, group: list[str], core_share: float) -> DataFrame:
-    """Centre and inverse Cholesky factor per group."""
-    start = vectors.groupBy(*group).agg(
-        *[F.percentile(f, 0.5, F.col("n")).alias(f"m_{f}") for f in FEATURES]
+    """Centre and inverse Cholesky factor per group of (lang, source)."""
+    copies = F.explode(
+        F.array(*[
+            F.struct(
+                F.lit(level).alias("level"), F.lit(start).alias("start"),
+                (F.col("source") if level == "source" else F.lit(None).cast("string")).alias("of"),
+            )
+            for level in ("source", "lang") for start in ("medians", "all")
+        ])
+    )
+    rows = vectors.select("lang", copies.alias("c"), *FEATURES, "n").select(
+        "lang", "c.*", *FEATURES, "n"
     )
-    zero = {f"s_{a}_{b}": F.lit(0.0) for a, b in pairs_of(FEATURES, 2)}
-    params = stage(_factors(start.withColumns(zero).withColumn("size", F.lit(0).cast("long"))), "mcd")
+    group_of, keys = ["lang", "of", "level"], ["lang", "of", "level", "start"]
+    params = _concentrated(rows, keys, core_share)
+    best = params.groupBy(*group_of).agg(
+        F.min_by(F.struct(*[c for c in params.columns if c not in group_of]), F.struct("det", "start"))
+        .alias("p")
+    ).select(*group_of, "p.*")
+    near = F.col("distance") <= chi2_quantile(INSIDE, len(FEATURES))
+    ours = rows.filter(F.col("start") == "all").drop("start")
+    inner = _joined(ours, best, group_of).filter(near)
+    weighted = stage(_moments(_sums(inner, group_of), group_of, INSIDE), "mcd")
+    return stage(_factors(_shrunk(weighted, group)), "mcd")
+
+
+def _concentrated(rows: DataFrame, keys: list[str], core_share: float) -> DataFrame:
+    """Concentration steps per group of ``keys`` until no determinant gets smaller."""
+    first = rows.filter(F.col("start") == "medians").groupBy(*keys).agg(
+        F.sum("n").alias("size"),
+        *[F.percentile(f, 0.5, F.col("n")).alias(f"m_{f}") for f in FEATURES],
+    ).withColumns({f"s_{a}_{b}": F.lit(0.0) for a, b in pairs_of(FEATURES, 2)})
+    second = _moments(_sums(rows.filter(F.col("start") == "all"), keys), keys, INSIDE)
+    params = _factors(first.unionByName(second)).withColumn("det", F.lit(float("inf")))
+    params = stage(params.withColumn("moving", F.lit(True)), "mcd")
     for _ in range(MAX_STEPS):
-        moved = stage(
-            _factors(_moments(_core(vectors, params, group, core_share), group, core_share)), "mcd"
+        stepped = _with_determinant(
+            _factors(_moments(_core(rows, params, keys, core_share), keys, core_share))
+        ).withColumn("moving", F.lit(True))
+        same = _all([F.col(f"new.{c}").eqNullSafe(F.col(f"old.{c}")) for c in keys])
+        lower = F.col("new.det") < F.col("old.det") * (1 - 1e-9)
+        params = stage(
+            params.alias("old").join(stepped.alias("new"), same, "left").select(
+                *[F.col(f"old.{c}") for c in keys],
+                *[
+                    F.when(lower, F.col(f"new.{c}"))
+                    .otherwise(F.lit(False) if c == "moving" else F.col(f"old.{c}")).alias(c)
+                    for c in params.columns if c not in keys
+                ],
+            ),
+            "mcd",
         )
-        before = params.select(*group, *[F.col(f"m_{f}").alias(f"b_{f}") for f in FEATURES])
-        same = [F.col(f"new.{c}").eqNullSafe(F.col(f"old.{c}")) for c in group]
-        shift = F.array(*[F.col(f"m_{f}") != F.col(f"b_{f}") for f in FEATURES])
-        changed = moved.alias("new").join(before.alias("old"), _all(same)).filter(
-            F.exists(shift, lambda x: x)
-        )
-        params = moved
-        if changed.isEmpty():
-            break
-    near = F.col("distance") <= chi2_quantile(INSIDE, len(FEATURES))
-    inner = _joined(vectors, params, group).filter(near)
-    weighted = _moments(_sums(inner, group), group, INSIDE)
-    return stage(_factors(weighted), "mcd")
+        if params.filter("moving").isEmpty():
+            return params
+    raise RuntimeError(f"a group has not settled after {MAX_STEPS} concentration steps")
+
+
+def _with_determinant(factors: DataFrame) -> DataFrame:
+    det = F.lit(1.0)
+    for i in range(len(FEATURES)):
+        det = det / (F.col(f"r_{i}_{i}") * F.col(f"r_{i}_{i}"))
+    return factors.withColumn("det", det)
+
+
+def _shrunk(moments: DataFrame, group: list[str]) -> DataFrame:
+    """Moments per (lang, source), drawn towards those of the language."""
+    values = [f"m_{f}" for f in FEATURES] + [f"s_{a}_{b}" for a, b in pairs_of(FEATURES, 2)]
+    pooled = moments.filter(F.col("level") == "lang").select("lang", "of", "level", *values)
+    sources = moments.filter(F.col("level") == "source").withColumnRenamed("of", "source")
+    centres = sources.select(
+        *group, "size", *values, F.lit("lang").alias("level"), F.lit(None).cast("string").alias("of"),
+        *[F.col(f"m_{f}").alias(f) for f in FEATURES],
+    )
+    away = _joined(centres, _factors(pooled), ["lang", "of", "level"])
+    same = F.col("own.lang").eqNullSafe(F.col("pooled.lang"))
+    own = F.when(
+        F.col("own.distance") <= chi2_quantile(INSIDE, len(FEATURES)),
+        F.col("own.size") / (F.col("own.size") + SHRINK),
+    ).otherwise(0.0)
+    return away.alias("own").join(pooled.alias("pooled"), same).select(
+        *[F.col(f"own.{c}") for c in group], F.col("own.size").alias("size"),
+        *[
+            (F.col(f"pooled.{v}") + own * (F.col(f"own.{v}") - F.col(f"pooled.{v}"))).alias(v)
+            for v in values
+        ],
+    )
 
 
 def _all(conditions: list[Column]) -> Column:

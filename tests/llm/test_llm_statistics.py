@@ -31,29 +31,47 @@ def vector(numbers, n_lines):
     return np.floor(np.array(values) * quality.GRID + 0.5)
 
 
-def robust_distances(x):
-    """Minimum covariance determinant by concentration steps, one group, dense matrices."""
-    least = np.diag((np.array(quality.LEAST_DEVIATION) * quality.GRID) ** 2)
-    p = x.shape[1]
-
-    def moments(rows, share):
-        factor = share / quality.chi2_cdf(quality.chi2_quantile(share, p), p + 2)
-        return rows.mean(0), np.cov(rows.T, bias=True).reshape(p, p) * factor
-
-    def distance(center, cov):
-        away = x - center
-        return np.einsum("ij,jk,ik->i", away, np.linalg.inv(cov + least), away)
-
-    center, cov = np.median(x, axis=0), np.zeros((p, p))
-    for _ in range(quality.MAX_STEPS):
-        step = np.floor(np.log2(distance(center, cov) + 1 / 1024) * 64)
-        cut = np.sort(step)[int(np.ceil(len(x) * quality.CORE_SHARE - 1e-9)) - 1]
-        new, cov = moments(x[step <= cut], quality.CORE_SHARE)
-        if (new == center).all():
-            break
-        center = new
-    near = distance(center, cov) <= quality.chi2_quantile(quality.INSIDE, p)
-    return distance(*moments(x[near], quality.INSIDE))
+P = len(quality.FEATURES)
+LEAST = np.diag((np.array(quality.LEAST_DEVIATION) * quality.GRID) ** 2)
+
+
+def distances(x, center, cov):
+    away = x - center
+    return np.einsum("ij,jk,ik->i", away, np.linalg.inv(cov + LEAST), away)
+
+
+def moments(rows, share):
+    factor = share / quality.chi2_cdf(quality.chi2_quantile(share, P), P + 2)
+    return rows.mean(0), np.cov(rows.T, bias=True).reshape(P, P) * factor
+
+
+def robust_moments(x):
+    """Minimum covariance determinant by concentration steps from two starts, dense matrices."""
+    ends = []
+    for center, cov in ((np.median(x, axis=0), np.zeros((P, P))), moments(x, quality.INSIDE)):
+        det = np.inf
+        while True:
+            step = np.floor(np.log2(distances(x, center, cov) + 1 / 1024) * 64)
+            cut = np.sort(step)[int(np.ceil(len(x) * quality.CORE_SHARE - 1e-9)) - 1]
+            moved = moments(x[step <= cut], quality.CORE_SHARE)
+            lower = np.linalg.det(moved[1] + LEAST)
+            if not lower < det * (1 - 1e-9):
+                break
+            det, (center, cov) = lower, moved
+        ends.append((det, center, cov))
+    _, center, cov = min(reversed(ends), key=lambda e: e[0])
+    inner = x[distances(x, center, cov) <= quality.chi2_quantile(quality.INSIDE, P)]
+    return len(inner), *moments(inner, quality.INSIDE)
+
+
+def robust_distances(x, language):
+    size, center, cov = robust_moments(x)
+    _, pooled_center, pooled_cov = robust_moments(language)
+    inside = distances(center[None], pooled_center, pooled_cov)[0] <= quality.chi2_quantile(quality.INSIDE, P)
+    own = size / (size + quality.SHRINK) if inside else 0
+    return distances(
+        x, pooled_center + own * (center - pooled_center), pooled_cov + own * (cov - pooled_cov)
+    )
 
 
 @pytest.fixture(scope="module")
@@ -76,8 +94,10 @@ def test_distances(judged):
         if not judged[1][doc.doc_id].base_failed:
             groups[doc.lang, doc.source].append(doc)
     limit = quality.chi2_quantile(1 - quality.OUTSIDE, 4)
-    for docs in groups.values():
-        expected = robust_distances(np.array([vector(*statistics(d.text)) for d in docs]))
+    vectors = lambda docs: np.array([vector(*statistics(d.text)) for d in docs])
+    for (lang, _), docs in groups.items():
+        language = [d for (other, _), some in groups.items() if other == lang for d in some]
+        expected = robust_distances(vectors(docs), vectors(language))
         for doc, distance in zip(docs, expected):
             r = judged[1][doc.doc_id]
             assert r.distance == pytest.approx(distance, abs=1e-6)
@@ -135,3 +155,17 @@ def test_one_statistic_rejects_alone(spark, kind):
     assert not any(r.base_failed for r in rows)
     assert {r.doc_id for r in rows if r.kept} == {i for i, _ in good}
     assert all(r.distance < 38.2 for r in rows)  # all of these were kept at a tail of 1e-7
+
+
+def grouped(spark, rows):
+    """(doc_id, text, source) rows of one language."""
+    return spark.createDataFrame([(i, t, "en", s) for i, t, s in rows], "doc_id bigint, text string, lang string, source string")
+
+
+@pytest.mark.parametrize("n_junk, n_good", [(1, 0), (2, 0), (2, 1), (5, 0), (3, 2), (30, 0)])
+def test_small_and_one_sided_sources(spark, n_junk, n_good):
+    good = [(i, PROSE + f" tail{i} end{i * 7}", f"s{i % 3}") for i in range(60)]
+    few = [(200 + i, PROSE + f" tail{i} end{i * 5}", "odd") for i in range(n_good)]
+    bad = [(300 + i, " ".join(JUNK["symbols"](PROSE.split(), i)), "odd") for i in range(n_junk)]
+    rows = quality.quality_rules(grouped(spark, good + few + bad)).collect()
+    assert {r.doc_id for r in rows if r.kept} == {i for i, _, _ in good + few}
