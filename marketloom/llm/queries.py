@@ -15,12 +15,15 @@ from marketloom.llm.packing import pack_documents, piece_digest
 from marketloom.llm.pii_spans import pii_digest
 from marketloom.llm.preferences import preference_digest
 from marketloom.llm.quality import quality_rules
+from marketloom.llm.resampling import resample
 from marketloom.llm.token_files import read_token_files, write_token_files
 from marketloom.llm.urls import PATTERN_RULES, judge_pages, rules
+from marketloom.llm.word_bpe import word_digest
 from marketloom.plans.registry import Query
 from marketloom.session import work_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -224,3 +227,73 @@ SELECT conv_id, rejected_id, n AS n_common, {_rendered_sql("p")} AS prompt,
        {_spans_sql("a")} AS chosen_spans, {_spans_sql("b")} AS rejected_spans
 FROM parts
 """
+
+
+@_query
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_digest(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+
+
+@_query
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_features", "weight", "score", "rank"
+    )
+
+
+SQL["op13_resampling"] = rf"""
+WITH docs AS (
+  SELECT doc_id, row_number() OVER () AS r, {_SPLIT.format(_LOWER.format("coalesce(text, '')"))} AS w
+  FROM documents),
+items AS (
+  SELECT row_number() OVER () AS r, {_SPLIT.format(_LOWER.format("coalesce(text, '')"))} AS w
+  FROM benchmark),
+tab AS (
+  SELECT list(list_reduce(list_prepend(b, range(8)),
+                          lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+              ORDER BY b) AS t
+  FROM range(256) v(b)),
+runs AS (
+  SELECT 'd' AS side, r, unnest(w) AS f FROM docs
+  UNION ALL SELECT 'd', r, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM docs
+  UNION ALL SELECT 't', r, unnest(w) FROM items
+  UNION ALL SELECT 't', r, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM items),
+coded AS (
+  SELECT f, list_transform(range(octet_length(encode(f))),
+                           lambda i: ('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::BIGINT) AS b
+  FROM (SELECT DISTINCT f FROM runs)),
+hashed AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295, b),
+                            lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM coded, tab),
+found AS (SELECT side, r, bucket, count(*) AS n FROM runs JOIN hashed USING (f) GROUP BY ALL),
+totals AS (
+  SELECT coalesce(sum(n) FILTER (WHERE side = 'd'), 0)::DOUBLE AS big_s,
+         coalesce(sum(n) FILTER (WHERE side = 't'), 0)::DOUBLE AS big_t FROM found),
+counts AS (
+  SELECT bucket, coalesce(sum(n) FILTER (WHERE side = 'd'), 0)::DOUBLE AS s,
+         coalesce(sum(n) FILTER (WHERE side = 't'), 0)::DOUBLE AS t FROM found GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * (big_s + 10000) / ((s + 1) * (big_t + 10000))))::BIGINT AS gain
+  FROM counts, totals),
+summed AS (
+  SELECT r, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS g
+  FROM found JOIN gains USING (bucket) WHERE side = 'd' GROUP BY r),
+weighted AS (
+  SELECT doc_id, r, len(w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features,
+         CASE WHEN n_features IS NULL THEN 0
+              ELSE (g - (((g % n_features) + n_features) % n_features)) // n_features END::BIGINT AS weight,
+         ('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+  FROM docs LEFT JOIN summed USING (r)),
+scored AS (
+  SELECT doc_id, r, n_words, n_features, weight,
+         weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+  FROM weighted),
+ranked AS (
+  SELECT *, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST) AS place,
+         floor(25 * count(*) OVER () / 100) AS most
+  FROM scored WHERE n_words >= 20)
+SELECT s.doc_id, s.n_features, s.weight, s.score,
+       CASE WHEN place <= most THEN place END::BIGINT AS rank
+FROM scored s LEFT JOIN ranked USING (r)
+"""
