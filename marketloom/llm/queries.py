@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from marketloom.llm.common import table
 from marketloom.llm.decontaminate import contaminated
+from marketloom.llm.lexical_search import lexical_search
 from marketloom.llm.licenses import CONTAINMENT, TEMPLATES, license_scan, templates
 from marketloom.llm.lines import line_digest
 from marketloom.llm.near_duplicates import near_duplicates
@@ -229,6 +230,41 @@ FROM parts
 """
 
 
+@_query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SQL["op11_lexical_search"] = rf"""
+WITH docs AS (
+  SELECT doc_id, row_number() OVER () AS r, {_SPLIT.format(_LOWER.format("coalesce(text, '')"))} AS w
+  FROM documents),
+items AS (
+  SELECT item_id, row_number() OVER () AS i, {_SPLIT.format(_LOWER.format("coalesce(text, '')"))} AS w
+  FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+asked AS (SELECT i, item_id, term, count(*) AS k FROM (SELECT i, item_id, unnest(w) AS term FROM items) GROUP BY ALL),
+size AS (SELECT count(*) AS big_n, sum(len(w))::BIGINT AS big_l FROM docs WHERE len(w) > 0),
+uses AS (
+  SELECT r, doc_id, term, n, count(*) AS tf
+  FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM docs) SEMI JOIN asked USING (term)
+  GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight
+  FROM uses, size GROUP BY term, big_n),
+parts AS (
+  SELECT r, doc_id, term, (1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l)) AS s
+  FROM uses, size),
+scored AS (
+  SELECT i, item_id, r, doc_id, sum(k * weight * s)::BIGINT AS score
+  FROM asked JOIN parts USING (term) JOIN weights USING (term) GROUP BY i, item_id, r, doc_id),
+ranked AS (
+  SELECT item_id, doc_id, score,
+         row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST) AS rank
+  FROM scored WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 @_query
 def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_digest(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
