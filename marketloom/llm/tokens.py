@@ -1,4 +1,4 @@
-"""Token ids of texts, inside tasks: every distinct piece of text is encoded once per task."""
+"""Token ids of texts, inside tasks: parts of texts that come again are encoded once."""
 
 from __future__ import annotations
 
@@ -9,21 +9,45 @@ from itertools import chain, islice
 
 import pyarrow as pa
 
-GROUP = 256  # texts that are encoded together
-MOST_PIECES = 800_000  # pieces remembered before the memory is emptied
+GROUP = 256  # texts or pieces that are encoded together
+MOST_PIECES = 400_000  # pieces remembered before they become the older half of the memory
+
+
+class Memory(dict):
+    """What was found before; of the older half only what is asked for again stays."""
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict[str, bytes] = {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """The keys that are not known; known ones of the older half are taken over."""
+        if len(self) > MOST_PIECES:
+            self.older = dict(self)
+            self.clear()
+        out = []
+        for key in keys:
+            if key in self:
+                continue
+            value = self.older.get(key)
+            if value is None:
+                out.append(key)
+            else:
+                self[key] = value
+        return out
 
 
 class PieceEncoder:
     """Ids of whole texts with a byte-level BPE file of the tokenizers library.
 
-    Its pre-tokenizer always starts a new token at a single blank between two other characters, so
-    a text may be cut there, and a piece seen before need not be encoded again. New pieces are
-    encoded many in one text: a single line feed between them is a token of its own. Other white
-    space stays inside the pieces. ``add_special_tokens`` is false.
+    Its pre-tokenizer always starts a new token at a single blank between two other characters, and
+    at a single line feed between them, which is a token of its own. So a text may be cut there, and
+    a piece seen before need not be encoded again. New pieces are encoded many in one text, with line
+    feeds between them. Other white space stays inside the pieces. ``add_special_tokens`` is false.
     """
 
     BETWEEN = re.compile(r"(?<=\S) (?=\S)")
-    ODD = re.compile(r"[^\S\n]|\n\n|\A\n|\n\Z|<\|")  # white space but single line feeds; a special token
+    ODD = re.compile(r"[^\S\n]|<\|")  # white space but line feeds; a special token
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -32,17 +56,21 @@ class PieceEncoder:
         feed = self._ids(["\n"])[0]
         self.feed = feed[0] if len(feed) == 1 else None
         self.closing = {c: array("I", self._ids([c])[0]).tobytes() for c in ".,"}
-        self.first: dict[str, bytes] = {}
-        self.after_blank: dict[str, bytes] = {}
+        self.first, self.after_blank = Memory(), Memory()
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         texts = list(texts)
-        cut = [t.split(" ") for t in texts]
-        if len(self.first) + len(self.after_blank) > MOST_PIECES:
-            self.first, self.after_blank = {}, {}
-        self._learn(self.first, "", {parts[0] for parts in cut})
-        self._learn(self.after_blank, " ", set(chain.from_iterable(cut)))
+        before_feed = " \n" if self.feed is not None else "\n"
+        cut = [t.replace("\n", before_feed).split(" ") for t in texts]
+        new = self.after_blank.missing(set(chain.from_iterable(cut)) - {""})
+        lines = [p for p in new if p[0] == "\n"]
+        self._learn(self.first, "", {parts[0] for parts in cut}.union([p[1:] for p in lines]))
+        self._learn(self.after_blank, " ", set(new).difference(lines))
+        for line in lines:
+            ids = self.first.get(line[1:])
+            if ids is not None and self.feed is not None:
+                self.after_blank[line] = self.feed.to_bytes(4, "little") + ids
         return [self._joined(t, parts) for t, parts in zip(texts, cut)]
 
     def _joined(self, text: str, parts: list[str]) -> bytes:
@@ -54,15 +82,15 @@ class PieceEncoder:
             ids = self._ids([head, *[" " + p for p in rest]])
             return b"".join([array("I", x).tobytes() for x in ids])
 
-    def _learn(self, known: dict[str, bytes], before: str, pieces: set[str]) -> None:
+    def _learn(self, known: Memory, before: str, pieces: set[str]) -> None:
         """Remember the ids of new pieces that begin and end without white space."""
-        found = pieces.difference(known, ("",))
-        closed = [p for p in found if p[-1] in self.closing and p[-2:-1].isalnum()]
-        found.difference_update(closed)
-        found.update([p[:-1] for p in closed])
-        new = list(found.difference(known))
-        for i in range(0, len(new), GROUP):
-            group = new[i : i + GROUP]
+        new = known.missing(pieces - {""})
+        closed = [p for p in new if p[-1] in self.closing and p[-2:-1].isalnum()]
+        found = set(new).difference(closed)
+        found.update(known.missing({p[:-1] for p in closed}))
+        parts = list(found)
+        for i in range(0, len(parts), GROUP):
+            group = parts[i : i + GROUP]
             if self.feed is None or self.ODD.search("\n".join(group)):
                 apart = [p for p in group if self.feed is None or self.ODD.search(p)]
                 fit = [p for p in apart if p == p.strip()]
@@ -75,30 +103,29 @@ class PieceEncoder:
             if piece[:-1] in known:
                 known[piece] = known[piece[:-1]] + self.closing[piece[-1]]
 
-    def _learn_together(self, known: dict[str, bytes], before: str, group: list[str]) -> None:
+    def _learn_together(self, known: Memory, before: str, group: list[str]) -> None:
         ids = self._ids([before + f"\n{before}".join(group)])[0]
-        data, low, at = array("I", ids).tobytes(), 0, -1
+        data, low = array("I", ids).tobytes(), 0
         ends = [i for i, x in enumerate(ids) if x == self.feed] + [len(ids)]
-        for piece in group:
-            at += piece.count("\n") + 1
-            known[piece] = data[4 * low : 4 * ends[at]]
-            low = ends[at] + 1
-        if at != len(ends) - 1:
+        if len(ends) != len(group):
             raise ValueError("line feeds are not tokens of their own with this tokenizer")
+        for part, end in zip(group, ends):
+            known[part] = data[4 * low : 4 * end]
+            low = end + 1
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         encodings = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [e.ids for e in encodings]
 
 
-def shared_encoder(path: str) -> PieceEncoder:
-    """One encoder per Python worker, kept with the library: Spark reuses a worker for many tasks."""
-    import tokenizers
+_held: dict[str, PieceEncoder] = {}
+
 
-    held = vars(tokenizers).setdefault("_kept_encoders", {})
-    if path not in held:
-        held[path] = PieceEncoder(path)
-    return held[path]
+def shared_encoder(path: str) -> PieceEncoder:
+    """One encoder per Python worker: Spark reuses a worker for many tasks."""
+    if path not in _held:
+        _held[path] = PieceEncoder(path)
+    return _held[path]
 
 
 def encoded_rows(

@@ -15,10 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import whole
+from marketloom.llm.tokens import Memory
 
 GROUP = 256  # texts that are encoded together
-MOST_WORDS = 500_000  # pieces, words and token pairs remembered before the memory is emptied
-MOST_CHARS = 1 << 25  # characters of remembered pieces
+MOST_PAIRS = 500_000  # answers for token pairs that are remembered
+LONGEST_KEPT = 100  # characters of a piece that is remembered
+# Latin letters alone, and with the marks behind them: both are cut into these parts.
+LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)")
+WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
 END = "\x00"  # stands for the end of a word; the byte alphabet of the vocabulary does not hold it
 
 
@@ -64,7 +68,7 @@ class Merges:
         key = (left, right)
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > MOST_WORDS:
+            if len(self.pairs) > MOST_PAIRS:
                 self.pairs.clear()
             known = self.pairs[key] = not self._joined(left, right)
         return known
@@ -139,40 +143,53 @@ class WordEncoder:
         self.normalizer, self.cutter = tokenizer.normalizer, tokenizer.pre_tokenizer
         self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
         self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self._forget()
-
-    def _forget(self) -> None:
-        self.pieces: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
-        self.held = 0
+        self.symbols = _byte_symbols()
+        self.pieces, self.words = Memory(), Memory()
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.pieces) > MOST_WORDS or self.held > MOST_CHARS:
-            self._forget()
-        for piece in set(chain.from_iterable(cut)).difference(self.pieces):
-            self.pieces[piece] = self._piece(piece)
-            self.held += len(piece)
-        return [b"".join(map(self.pieces.__getitem__, parts)) for parts in cut]
-
-    def _piece(self, piece: str) -> bytes:
-        if self.marks is None:
-            return self._plain(piece)
-        return b"".join(
-            self.special[part].to_bytes(4, "little") if part in self.special else self._plain(part)
-            for part in self.marks.split(piece) if part
-        )
-
-    def _plain(self, text: str) -> bytes:
-        cut = self.cutter.pre_tokenize_str(self.normalizer.normalize_str(text))
-        return b"".join([self._word(word) for word, _ in cut])
-
-    def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            ids = self.words[word] = array("I", self.merges.encode(word)).tobytes()
-        return ids
+        new = self.pieces.missing(set(chain.from_iterable(cut)))
+        plain: dict[str, list[str]] = {}
+        for piece in new:
+            both = WORD_AND_MARKS.fullmatch(piece) or LETTERS.fullmatch(piece)
+            plain[piece] = (
+                [self._symbols(p.lower()) for p in both.groups()] if both else self._cut(piece)
+            )
+        asked = {w for parts in plain.values() for w in parts if w not in self.special}
+        for word in self.words.missing(asked):
+            self.words[word] = array("I", self.merges.encode(word)).tobytes()
+        for piece, parts in plain.items():
+            self.pieces[piece] = b"".join(
+                [self.special[w].to_bytes(4, "little") if w in self.special else self.words[w] for w in parts]
+            )
+        out = [b"".join(map(self.pieces.__getitem__, parts)) for parts in cut]
+        for memory in (self.pieces, self.words):
+            for long in [p for p in (new if memory is self.pieces else asked) if len(p) > LONGEST_KEPT]:
+                memory.pop(long, None)
+        return out
+
+    def _symbols(self, word: str) -> str:
+        return word if word.isascii() else "".join([self.symbols[b] for b in word.encode()])
+
+    def _cut(self, piece: str) -> list[str]:
+        """Words of a piece in byte symbols; strings of special tokens stay as they are."""
+        parts = self.marks.split(piece) if self.marks is not None and "<|" in piece else [piece]
+        out = []
+        for part in parts:
+            if part in self.special:
+                out.append(part)
+            elif part:
+                out += [w for w, _ in self.cutter.pre_tokenize_str(self.normalizer.normalize_str(part))]
+        return out
+
+
+def _byte_symbols() -> list[str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in kept]
+    symbol = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(others)}
+    return [symbol[b] for b in range(256)]
 
 
 class Decoder:
@@ -185,6 +202,7 @@ class Decoder:
         strings = [b""] * (max(tokens.values()) + 1)
         for token, i in tokens.items():
             strings[i] = token.encode() + b" "
+        self.numbers = [str(i) for i in range(len(strings))]
         sizes = np.array([len(s) for s in strings], np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(sizes)])
         self.table = np.frombuffer(b"".join(strings), np.uint8)
@@ -265,11 +283,12 @@ def word_digest(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: s
     """
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = _shared(Decoder, tokenizer).numbers.__getitem__
         for batch in batches:
             for at in range(0, batch.num_rows, GROUP):
                 part = batch.slice(at, GROUP)
                 numbers = [
-                    " ".join(map(str, np.frombuffer(x, "<u4").tolist())) for x in part.column(1).to_pylist()
+                    " ".join(map(number, array("I", x))) for x in part.column(1).to_pylist()
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(numbers, pa.string()), part.column(2)],
