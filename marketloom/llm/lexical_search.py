@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from marketloom.llm.treap import Treap, best_columns
 from marketloom.session import stage
 
-SHARD_DOCS = 4096  # documents of one treap
-SHARD_BYTES = 1 << 24  # bytes of text of one treap, unless a single text is longer
+SHARD_DOCS = 2048  # documents of one treap
+SHARD_BYTES = 1 << 23  # bytes of text of one treap, unless a single text is longer
+SHARDS_TOGETHER = 4  # treaps that a task of the search reads, which bounds its memory
 BLOCK_ITEMS = 1024  # items that are searched together
 HELD_ITEMS = 1 << 16  # items whose best documents a task holds at once
 TOP = 20
@@ -176,7 +177,8 @@ def search(
 ) -> DataFrame:
     """(item_id, rank, doc_id, score): the ``top`` documents of every item with a score above 0.
 
-    Items go in blocks of about ``BLOCK_ITEMS`` to every stored block of documents. In a block the
+    Items go in blocks of about ``BLOCK_ITEMS`` to every stored block of documents, which are dealt
+    out evenly, since stored files may hold many. In a block the
     paths of an item's terms go down the treap together, best range of documents first, and stop at
     the score that the ``top`` best documents of the task have so far. A task hands on its ``top`` per
     item, of which the best are taken.
@@ -185,7 +187,7 @@ def search(
     blocks = max(-(-weighted.count() // BLOCK_ITEMS), 1)
     packed = weighted.groupBy(
         F.pmod(F.xxhash64("item_id", "item_key"), F.lit(blocks)).alias("block")
-    ).agg(F.collect_list(F.struct("item_id", "item_key", "terms")).alias("items"))
+    ).agg(F.collect_list(F.struct("item_id", "item_key", "terms")).alias("items")).coalesce(blocks)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[tuple, list[tuple[int, int]]] = {}
@@ -207,7 +209,8 @@ def search(
                     best = {}
         yield _ranked(best)
 
-    found = index.crossJoin(packed).mapInArrow(
+    shards = index.repartition(max(-(-index.count() // SHARDS_TOGETHER), 1))
+    found = shards.crossJoin(packed).mapInArrow(
         look, "item_id bigint, item_key string, doc_id bigint, score bigint"
     )
     order = Window.partitionBy("item_id", "item_key").orderBy(F.desc("score"), "doc_id")

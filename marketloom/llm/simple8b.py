@@ -34,13 +34,17 @@ def encode(numbers: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndar
 
     selector = np.zeros((blocks, block), np.int8)
     bits = np.frexp(grid.astype(np.float64))[1].astype(np.int8)  # rounds up at most, which is safe
-    over = np.zeros((blocks, width + 1), np.int16)
-    for s in range(len(COUNTS) - 1, 0, -1):
-        np.cumsum(bits > BITS[s], axis=1, dtype=np.int16, out=over[:, 1:])
-        fits = over[:, COUNTS[s] : COUNTS[s] + block] == over[:, :block]
-        if not fits.any():
-            break  # more numbers of fewer bits fit nowhere either
-        selector[fits] = s
+    flat_bits, flat_selector = bits.reshape(-1), selector.reshape(-1)
+    left = np.flatnonzero(bits[:, :block] <= BITS[-1])  # what fits more numbers also fits fewer
+    flat_selector[left] = len(COUNTS) - 1
+    for s in range(len(COUNTS) - 2, 0, -1):
+        begin = left // block * width + left % block
+        for k in range(COUNTS[s]):
+            fits = flat_bits[begin + k] <= BITS[s]
+            left, begin = left[fits], begin[fits]
+        if not len(left):
+            break
+        flat_selector[left] = s
 
     at = np.zeros(blocks, np.int64)
     rows, starts, chosen = [], [], []

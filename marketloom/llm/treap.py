@@ -28,11 +28,11 @@ class Treap:
 
     @classmethod
     def build(cls, rows: np.ndarray, columns: np.ndarray, values: np.ndarray, size: int) -> Treap:
-        """From points that are unique per (row, column), with positive values; ``size`` bounds both."""
+        """From points that are unique per (row, column), with values below 2^31; ``size`` bounds both."""
         height = max(int(size - 1).bit_length(), 1)
         key = _spread(rows) << np.int64(1) | _spread(columns)
         order = np.argsort(key, kind="stable")
-        key, peak = key[order], values[order].astype(np.int64)
+        key, peak = key[order], values[order].astype(np.int32)
         masks, peaks = [], [peak]
         for _ in range(height):
             up = key >> 2
@@ -53,11 +53,11 @@ class Treap:
             falls.append(np.repeat(above, ONES[mask]) - below)
         return np.concatenate([*self.masks, np.array([], np.uint8)]).tobytes(), np.concatenate(
             falls
-        ).astype("<u4").tobytes()
+        ).astype("<i4").tobytes()
 
     @classmethod
     def load(cls, height: int, masks: bytes, falls: bytes) -> Treap:
-        flat, fall = np.frombuffer(masks, np.uint8), np.frombuffer(falls, "<u4").astype(np.int64)
+        flat, fall = np.frombuffer(masks, np.uint8), np.frombuffer(falls, "<i4")
         level, at, low = [], 0, len(fall[:1])
         peaks = [fall[:1]]
         for _ in range(height):
@@ -81,7 +81,7 @@ class Treap:
 
 
 def _firsts(masks: np.ndarray) -> np.ndarray:
-    ends = np.cumsum(ONES[masks], dtype=np.int64)
+    ends = np.cumsum(ONES[masks], dtype=np.int32)
     return ends - ONES[masks]
 
 
@@ -114,7 +114,7 @@ def best_columns(
         return best
     cells = [np.zeros((1, len(rows)), np.int64)] + [np.zeros((0, len(rows)), np.int64)] * treap.height
     columns = [np.zeros(1, np.int64)] + [np.zeros(0, np.int64)] * treap.height
-    bounds = [np.array([int(weights.sum() * treap.peaks[0][0])])]
+    bounds = [np.array([int(weights.sum()) * int(treap.peaks[0][0])])]
     bounds += [np.zeros(0, np.int64) for _ in range(treap.height)]
     while True:
         tops = [int(b.max()) if len(b) else -1 for b in bounds[: treap.height]]
@@ -136,7 +136,7 @@ def best_columns(
         cells[level], columns[level], bounds[level] = cells[level][left], columns[level][left], bound[left]
         below, names = np.concatenate(new_cells), np.concatenate(new_columns)
         peaks = treap.peaks[level + 1]
-        score = np.where(below >= 0, peaks[below], 0) @ weights
+        score = np.where(below >= 0, peaks[below], 0).astype(np.int64) @ weights
         keep = score >= least
         below, names, score = below[keep], names[keep], score[keep]
         if level + 1 < treap.height:
