@@ -39,6 +39,8 @@ INDICATOR_COLUMNS = [
     "volume_ma_20", "price_change", "price_change_5d",
 ]
 
+BAR_COLUMNS = ["date", "open", "high", "low", "close", "volume"]
+
 LARGEST = 650.0  # exponent that a double still holds with room for the prices
 VANISHED = 746.0  # a weight below exp(-746) is zero in a double
 
@@ -371,15 +373,28 @@ def add_indicators(df: DataFrame, horizon: int | None = None) -> DataFrame:
     that trailing frames reach. The blocks are stored; exponential means and OBV then add what the
     earlier blocks carry, from one row per block.
     """
-    spans = [*EMA_SPANS, *MACD_SPANS]
-    before, rows = max(SMA_PERIODS) + 1, _block_rows(spans)
-    local = {s: f"_local_{s}" for s in EMA_SPANS}
+    built = stage(indicator_blocks(with_position(df), horizon), "blocks")
+    whole = with_carries(built, _block_ends(built, END_COLUMNS))
+    carried = [c for c in df.columns if c not in INDICATOR_COLUMNS]
+    labels = [] if horizon is None else ["close_future", "target"]
+    return whole.select(*carried, *INDICATOR_COLUMNS, *labels)
+
+
+LOCAL = {s: f"_local_{s}" for s in EMA_SPANS}
+END_COLUMNS = ["_obv", *LOCAL.values(), *MACD_LOCAL]
+SPANS = [*EMA_SPANS, *MACD_SPANS]
+REACH = max(SMA_PERIODS) + 1  # earlier rows that trailing frames may need
+
+
+def indicator_blocks(placed: DataFrame, horizon: int | None = None) -> DataFrame:
+    """Positioned bars in blocks with all indicators, exponential means and OBV as yet per block."""
+    rows = _block_rows(SPANS)
 
     def build(frame: DataFrame, w: WindowSpec) -> DataFrame:
         close = F.col("close")
         frame = frame.withColumns(
             {f"sma_{n}": sma_column(close, n, w) for n in SMA_PERIODS}
-            | {c: local_ema(close, s, w, rows) for s, c in local.items()}
+            | {c: local_ema(close, s, w, rows) for s, c in LOCAL.items()}
             | {
                 f"volume_ma_{VOLUME_PERIOD}": sma_column(F.col("volume"), VOLUME_PERIOD, w),
                 "price_change": change_column("close", 1, w),
@@ -394,25 +409,57 @@ def add_indicators(df: DataFrame, horizon: int | None = None) -> DataFrame:
         frame = _atr_columns(frame, w, ATR_PERIOD)
         return frame if horizon is None else _target_columns(frame, w, horizon)
 
-    built = stage(
-        over_series(with_position(df), build, before, horizon or 0, block_rows=rows, keep_block=True),
-        "blocks",
-    )
-    ends = _block_ends(built, ["_obv", *local.values(), *MACD_LOCAL])
+    return over_series(placed, build, REACH, horizon or 0, block_rows=rows, keep_block=True)
+
+
+def with_carries(built: DataFrame, ends: DataFrame) -> DataFrame:
+    """The blocks with what earlier blocks carry on; ``ends`` has one row per (ticker, block)."""
+    rows = _block_rows(SPANS)
     carries = _macd_carries(
         ends, MACD_SPANS, rows,
-        [_obv_base(), *[_carry(c, s, rows).alias(f"_carry{c}") for s, c in local.items()]],
+        [_obv_base(), *[_carry(c, s, rows).alias(f"_carry{c}") for s, c in LOCAL.items()]],
     )
-    whole = _whole_macd(built.join(carries, ["ticker", BLOCK]), MACD_SPANS, rows).withColumns(
+    return _whole_macd(built.join(carries, ["ticker", BLOCK]), MACD_SPANS, rows).withColumns(
         {
             f"ema_{s}": F.col(c) + _faded(s, _place(rows)) * F.col(f"_carry{c}")
-            for s, c in local.items()
+            for s, c in LOCAL.items()
         }
         | {"obv": _whole_obv()}
     )
-    carried = [c for c in df.columns if c not in INDICATOR_COLUMNS]
-    labels = [] if horizon is None else ["close_future", "target"]
-    return whole.select(*carried, *INDICATOR_COLUMNS, *labels)
+
+
+def continued_indicators(bars: DataFrame, carry: DataFrame) -> DataFrame:
+    """All indicators of ``bars``, which follow the rows that ``carry`` stands for.
+
+    ``carry`` has per ticker the last ``REACH`` bars (``tail``) and the exponential means, the MACD
+    signal and the OBV at the last of them. Its tickers get a block before their new bars: the tail
+    ends it, so that frames reach back, and the carried values are its end. A ticker without carry
+    starts anew. Adds ``_pos``; positions count from the block.
+    """
+    rows = _block_rows(SPANS)
+    columns = bars.columns
+    seeds = carry.join(bars.select("ticker").distinct(), "ticker", "left_semi")
+    known = seeds.select("ticker", F.lit(rows).alias("_before"))
+    placed = with_position(bars).join(known, "ticker", "left").withColumn(
+        POSITION, F.col(POSITION) + F.coalesce("_before", F.lit(0))
+    ).drop("_before").withColumn("_old", F.lit(False))
+    tails = seeds.select("ticker", F.size("tail").alias("_n"), F.posexplode("tail").alias("_i", "_bar"))
+    old = tails.select(
+        "ticker", *[F.col(f"_bar.{c}").alias(c) for c in BAR_COLUMNS],
+        (F.lit(rows) - F.col("_n") + F.col("_i")).cast("long").alias(POSITION),
+        F.lit(True).alias("_old"),
+    )
+    both = placed.unionByName(old, allowMissingColumns=True)
+    built = stage(indicator_blocks(both).filter(~F.col("_old")), "blocks")
+    fast, slow, _ = MACD_SPANS
+    begin = seeds.select(
+        "ticker", F.lit(0).cast("long").alias(BLOCK), F.col("obv").alias("_obv"),
+        *[F.col(f"ema_{s}").alias(c) for s, c in LOCAL.items()],
+        F.col(f"ema_{fast}").alias("_fast"), F.col(f"ema_{slow}").alias("_slow"),
+        F.col("macd_signal").alias("_signal"),
+    )
+    whole = with_carries(built, _block_ends(built, END_COLUMNS).unionByName(begin))
+    return whole.select(*columns, *INDICATOR_COLUMNS, POSITION)
 
 
 def add_target(df: DataFrame, horizon: int = HORIZON, tail: str = "zero") -> DataFrame:

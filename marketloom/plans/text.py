@@ -11,9 +11,10 @@ from marketloom.operators import features as fs
 from marketloom.operators import retrieval as rt
 from marketloom.operators import safety as sf_
 from marketloom.operators import transcripts as tr
+from marketloom.operators import vector_index as vi
 from marketloom.plans.registry import query
 from marketloom.plans.tables import indexed, table, texts
-from marketloom.session import stage
+from marketloom.session import stage, work_path
 
 # Phrases appended to each message in turn, so that every rule meets whole tables of text.
 PHRASES = [
@@ -361,6 +362,32 @@ def q_topk_filtered(spark, sf):
     return out.withColumn("distance", F.round("distance", 6))
 
 
+def index_of(spark, sf):
+    """An index of all vectors, and every 20th vector as a query."""
+    docs = vectors(spark, sf).select("id", "embedding")
+    path = work_path(spark, "vector_index")
+    vi.build_index(docs, path)
+    return docs, docs.filter(F.col("id") % 20 == 0).withColumnRenamed("id", "query_id"), path
+
+
+@query("vector_index")
+def q_vector_index(spark, sf):
+    _, queries, path = index_of(spark, sf)
+    return vi.search_index(spark, path, queries)
+
+
+@query(
+    "vector_recall",
+    """SELECT count(*) AS n_queries, sum(least(n, 5))::BIGINT AS n_exact, true AS reached
+    FROM (SELECT vec_id FROM embeddings WHERE vec_id % 20 = 0), (SELECT count(*) AS n FROM embeddings)""",
+)
+def q_vector_recall(spark, sf):
+    """Every 20th vector against all: does the index find at least 0.9 of the exact neighbours?"""
+    docs, queries, path = index_of(spark, sf)
+    measured = vi.recall_at(rt.vector_topk(docs, queries), vi.search_index(spark, path, queries))
+    return measured.select("n_queries", "n_exact", (F.col("recall") >= 0.9).alias("reached"))
+
+
 @query(
     "rag_context",
     f"""WITH {CENTROIDS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank
