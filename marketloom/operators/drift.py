@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -11,10 +12,9 @@ from marketloom.functions.stats import chi2_pvalue, ks_pvalue, normal_pvalue
 from marketloom.operators.ordering import (
     long_form,
     quantiles_of_totals,
-    rank_cuts,
+    row_at_rank,
     running_totals,
 )
-from marketloom.operators.series import STRETCH, TIME_LEVELS, with_time_levels
 
 # Floors and shares of the tests.
 MIN_DEVIATION = 0.001
@@ -267,22 +267,12 @@ def ordered_split(
     """First ``floor(fraction * n)`` rows in order, and the rest; (key, order) must be unique.
 
     ``by="ticker"`` orders by (key, order), the order of the stored file; ``by="date"`` orders by
-    (order, key). The row at the cut is searched for by counts; its two values come to the driver,
-    so that both parts are plain filters, which reach the scan.
+    (order, key). The row at the cut is found by counts between drawn splitters; its two values come
+    to the driver, so that both parts are plain filters, which reach the scan.
     """
     pair = [key, order] if by == "ticker" else [order, key]
-    fine = [STRETCH, *TIME_LEVELS, order]
-    first_letters = F.substring(F.col(key).cast("string"), 1, 3)
-    levels = ["_letters", key, *fine] if by == "ticker" else [*fine, "_letters", key]
-    rows = with_time_levels(df.select(key, order), order).withColumns(
-        {"_letters": first_letters, "_all": F.lit(0)}
-    )
-    size = rows.agg(F.count(F.lit(1)).alias("n"))
-    ranks = size.select(
-        F.lit(0).alias("_all"), F.lit("cut").alias("cut"),
-        F.floor(F.col("n") * F.lit(fraction)).alias("k"),
-    )
-    cut = rank_cuts(rows, ["_all"], levels, ranks).select(*[F.col(c).cast("string") for c in pair]).first()
+    rows = df.select(*pair)
+    cut = row_at_rank(rows, pair, math.floor(rows.count() * fraction))
     if cut is None:
         return df, df.filter(F.lit(False))
     kinds = dict(df.dtypes)

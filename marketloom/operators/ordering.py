@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from marketloom.session import stage
 
 PART = "_part"
+SPLITTERS = 1024  # values that a round of a search for a rank counts between
+FINAL_ROWS = 1 << 16  # rows that are few enough to be sorted for the row at a rank
 
 
 def running_totals(df: DataFrame, group: list[str], order: str, sums: list[str]) -> DataFrame:
@@ -123,3 +125,66 @@ def rank_cuts(
         )
         chosen.append(level)
     return path.drop("k")
+
+
+def row_at_rank(df: DataFrame, columns: list[str], rank: int) -> list[str] | None:
+    """The values of ``columns``, as strings, on the row at the 0-based ``rank``; None beyond it.
+
+    A round draws some rows as splitters, counts all rows between them in one pass with partial
+    sums, and goes on with the rows of the range that holds the rank. A range shrinks about
+    ``SPLITTERS``-fold, so a table of 10^8 rows is counted twice; which rows are drawn changes the
+    number of rounds, never the result. Values may repeat but must not be null.
+    """
+    kinds = dict(df.dtypes)
+    rows, n = df.select(*columns), df.count()
+    last: list[list[str]] = []  # the greatest value of the range, so that every round leaves something out
+    if not 0 <= rank < n:
+        return None
+    while n > FINAL_ROWS:
+        drawn = rows.orderBy(F.rand(7)).limit(SPLITTERS)
+        known = rows.limit(1).select(
+            F.inline(F.array(*[_values(columns, kinds, v) for v in last]))
+        ) if last else drawn.limit(0)
+        ordered = drawn.unionByName(known).distinct().orderBy(*columns)
+        found = [list(r) for r in ordered.select(*[F.col(c).cast("string") for c in columns]).collect()]
+        cuts = [[F.lit(v).cast(kinds[c]) for v, c in zip(values, columns)] for values in found]
+        places = F.array(*[_values(columns, kinds, values) for values in found])
+        key = F.struct(*columns)
+        steps = F.array(*[F.lit(1 << b) for b in range(len(cuts).bit_length() - 1, -1, -1)])
+        bucket = F.aggregate(
+            steps, F.lit(0),
+            lambda a, s: F.when(F.coalesce(F.get(places, a + s - 1) <= key, F.lit(False)), a + s).otherwise(a),
+        )
+        counted = rows.groupBy(bucket.alias("bucket")).agg(
+            F.count(F.lit(1)).alias("n"), F.min(key).alias("low"), F.max(key).alias("high")
+        )
+        shown = counted.select(
+            "bucket", "n", (F.col("low") == F.col("high")).alias("same"),
+            *[F.col(f"high.{c}").cast("string").alias(f"high_{i}") for i, c in enumerate(columns)],
+        )
+        for part in shown.orderBy("bucket").collect():
+            if rank < part.n:
+                break
+            rank -= part.n
+        high = [part[f"high_{i}"] for i in range(len(columns))]
+        if part.same:
+            return high
+        if part.bucket > 0:
+            rows = rows.filter(~_before(columns, cuts[part.bucket - 1]))
+        if part.bucket < len(cuts):
+            rows = rows.filter(_before(columns, cuts[part.bucket]))
+        n, last = part.n, [high]
+    row = rows.orderBy(*columns).offset(rank).limit(1).select(*[F.col(c).cast("string") for c in columns]).first()
+    return list(row)
+
+
+def _values(columns: list[str], kinds: dict[str, str], values: list[str]) -> Column:
+    return F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for v, c in zip(values, columns)])
+
+
+def _before(columns: list[str], values: list[Column]) -> Column:
+    """Whether a row comes before ``values``, as comparisons that reach the scan."""
+    out = F.lit(False)
+    for c, v in reversed(list(zip(columns, values))):
+        out = (F.col(c) < v) | ((F.col(c) == v) & out)
+    return out

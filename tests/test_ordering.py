@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketloom.functions.stats import _chi2_tail
-from marketloom.operators import drift, models, timeseries
+from marketloom.operators import drift, models, ordering, timeseries
 from marketloom.operators.ordering import exact_quantiles, running_totals
 
 
@@ -74,6 +74,19 @@ def test_split_sizes(spark, n):
         assert sizes.get((y, "train"), 0) == size - test - val
 
 
+@pytest.mark.parametrize("rank", [0, 1, 17, 399, 400, 600, 1098, 1099, 1100])
+def test_row_at_rank(spark, monkeypatch, rank):
+    """Many rounds with few splitters, one value with a third of all rows, strings and times."""
+    monkeypatch.setattr(ordering, "SPLITTERS", 5)
+    monkeypatch.setattr(ordering, "FINAL_ROWS", 20)
+    rows = [("hot", "2020-01-01 00:00:00.5")] * 400 + [
+        (f"k{i % 9}", f"2021-03-{1 + i % 28:02} 10:00:{i % 60:02}") for i in range(700)
+    ]
+    df = spark.createDataFrame(rows, "name string, at string").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    got = ordering.row_at_rank(df, ["name", "at"], rank)
+    assert got == (list(sorted(rows)[rank]) if rank < len(rows) else None)
+
+
 @pytest.mark.parametrize("by", ["ticker", "date"])
 @pytest.mark.parametrize("fraction", [0.0, 0.7, 1.0])
 def test_ordered_split(spark, by, fraction):
