@@ -9,6 +9,7 @@ from marketloom.jobs import drift_job, feature_job
 from marketloom.operators import drift as dr
 from marketloom.operators import indicators as ind
 from marketloom.operators import models as ml
+from marketloom.operators import profiles
 from marketloom.operators import timeseries as ts
 from marketloom.operators.signals import prediction_band
 from marketloom.plans.market import INDICATOR_SQL, TARGET
@@ -256,6 +257,38 @@ SPLIT = f"""
   SELECT *, row_number() OVER (ORDER BY {{}}) - 1 AS pos, count(*) OVER () AS n FROM bars)"""
 
 
+PROFILED = ["l_quantity", "l_extendedprice", "l_discount"]
+PROBS = [0.05, 0.25, 0.5, 0.75, 0.95]
+
+
+def monthly_profiles(spark, sf):
+    lines = table(spark, sf, "lineitem").withColumn("month", F.date_trunc("month", "l_shipdate"))
+    return stage(profiles.profile(lines, PROFILED, "month"), "profiles")
+
+
+@query(
+    "profile_describe",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS column, count({c})::BIGINT AS count, round(avg({c}), 4) AS mean,
+        round(stddev_samp({c}), 4) AS std, min({c}) AS min, max({c}) AS max, true AS quantiles_close FROM lineitem"""
+        for c in PROFILED
+    ),
+)
+def q_profile_describe(spark, sf):
+    """Monthly profiles merged; are the quantiles within the stated error of the rows' ranks?"""
+    described = profiles.describe_profiles(monthly_profiles(spark, sf), PROBS)
+    errors = profiles.rank_errors(table(spark, sf, "lineitem"), PROFILED, described, PROBS)
+    close = errors.groupBy("column").agg((F.max("error") <= profiles.RANK_ERROR).alias("quantiles_close"))
+    return rounded(described.drop("quantiles").join(close, "column"))
+
+
+@query("profile_drift")
+def q_profile_drift(spark, sf):
+    stored = monthly_profiles(spark, sf)
+    old = F.col("period") < F.lit("1996-01-01").cast("timestamp_ntz")
+    return profiles.profile_drift(stored.filter(old), stored.filter(~old))
+
+
 @query(
     "ordered_split",
     f"""WITH {SPLIT.format('ticker, date')} SELECT ticker, date,

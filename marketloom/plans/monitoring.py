@@ -318,8 +318,7 @@ def q_materialize_stream(spark, sf):
     target, state = work_path(spark, "latest"), work_path(spark, "latest-state")
     started = sfeat.start_materialize(stream, target, state)
     started.awaitTermination()
-    batches = started.lastProgress["batchId"] + 1
-    return sfeat.read_latest(spark, target, stream.schema, batches)
+    return sfeat.read_latest(spark, target, stream.schema)
 
 
 # --- sources and sinks -------------------------------------------------------------------------

@@ -48,6 +48,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders directly in a folder; none if it does not exist."""
+    system, hadoop = _file_system(spark, path)
+    return [s.getPath().getName() for s in system.listStatus(hadoop)] if system.exists(hadoop) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a file or a folder with all it holds; nothing happens if it does not exist."""
+    system, hadoop = _file_system(spark, path)
+    system.delete(hadoop, True)
+
+
 def require(spark: SparkSession, path: str) -> str:
     if not exists(spark, path):
         raise FileNotFoundError(f"no data at {path}")
