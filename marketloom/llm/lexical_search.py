@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from marketloom.llm.treap import Treap, best_columns
 from marketloom.session import stage
 
-SHARD_DOCS = 2048  # documents of one treap
-SHARD_BYTES = 1 << 23  # bytes of text of one treap, unless a single text is longer
-SHARDS_TOGETHER = 4  # treaps that a task of the search reads, which bounds its memory
+SHARD_DOCS = 512  # documents of one treap
+SHARD_BYTES = 1 << 21  # bytes of text of one treap, unless a single text is longer
+SHARDS_TOGETHER = 8  # treaps that a task of the search reads, which bounds its memory
 BLOCK_ITEMS = 1024  # items that are searched together
 HELD_ITEMS = 1 << 16  # items whose best documents a task holds at once
 TOP = 20
