@@ -34,17 +34,12 @@ def encode(numbers: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndar
 
     selector = np.zeros((blocks, block), np.int8)
     bits = np.frexp(grid.astype(np.float64))[1].astype(np.int8)  # rounds up at most, which is safe
-    flat_bits, flat_selector = bits.reshape(-1), selector.reshape(-1)
-    left = np.flatnonzero(bits[:, :block] <= BITS[-1])  # what fits more numbers also fits fewer
-    flat_selector[left] = len(COUNTS) - 1
-    for s in range(len(COUNTS) - 2, 0, -1):
-        begin = left // block * width + left % block
-        for k in range(COUNTS[s]):
-            fits = flat_bits[begin + k] <= BITS[s]
-            left, begin = left[fits], begin[fits]
-        if not len(left):
-            break
-        flat_selector[left] = s
+    most, seen = bits[:, :block].copy(), 1  # greatest number of bits among the next numbers
+    for s in range(len(COUNTS) - 1, 0, -1):
+        for k in range(seen, COUNTS[s]):
+            np.maximum(most, bits[:, k : k + block], out=most)
+        seen = COUNTS[s]
+        np.copyto(selector, np.int8(s), where=most <= BITS[s])
 
     at = np.zeros(blocks, np.int64)
     rows, starts, chosen = [], [], []

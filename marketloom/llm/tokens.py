@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain, islice
+from itertools import chain, filterfalse, islice
 
 import pyarrow as pa
 
@@ -25,10 +25,11 @@ class Memory(dict):
         if len(self) > MOST_PIECES:
             self.older = dict(self)
             self.clear()
+        new = list(filterfalse(self.__contains__, keys))
+        if not self.older:
+            return new
         out = []
-        for key in keys:
-            if key in self:
-                continue
+        for key in new:
             value = self.older.get(key)
             if value is None:
                 out.append(key)
