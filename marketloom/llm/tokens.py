@@ -10,19 +10,20 @@ from itertools import chain, filterfalse, islice
 import pyarrow as pa
 
 GROUP = 256  # texts or pieces that are encoded together
-MOST_PIECES = 400_000  # pieces remembered before they become the older half of the memory
+MOST_PIECES = 400_000  # pieces remembered before they become the older half of a memory
 
 
 class Memory(dict):
     """What was found before; of the older half only what is asked for again stays."""
 
-    def __init__(self):
+    def __init__(self, most: int = MOST_PIECES):
         super().__init__()
+        self.most = most
         self.older: dict[str, bytes] = {}
 
     def missing(self, keys: set[str]) -> list[str]:
         """The keys that are not known; known ones of the older half are taken over."""
-        if len(self) > MOST_PIECES:
+        if len(self) > self.most:
             self.older = dict(self)
             self.clear()
         new = list(filterfalse(self.__contains__, keys))

@@ -19,6 +19,7 @@ from marketloom.llm.tokens import Memory
 
 GROUP = 256  # texts that are encoded together
 MOST_PAIRS = 500_000  # answers for token pairs that are remembered
+MOST_WORDS = 200_000  # pieces, and words, that are remembered before they become the older half
 LONGEST_KEPT = 100  # characters of a piece that is remembered
 # Latin letters alone, and with the marks behind them: both are cut into these parts.
 LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)")
@@ -144,7 +145,7 @@ class WordEncoder:
         self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
         self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.symbols = _byte_symbols()
-        self.pieces, self.words = Memory(), Memory()
+        self.pieces, self.words = Memory(MOST_WORDS), Memory(MOST_WORDS)
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
