@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,6 +81,105 @@ def dickey_fuller(df: DataFrame, value: str = "close") -> DataFrame:
     )
 
 
+# Response surface of the unit-root statistic with a constant. Beyond the range the
+# p-value is 1 or 0; up to the switch the first polynomial holds, then the second.
+TAU_RANGE = (-18.83, 2.74)
+TAU_SWITCH = -1.61
+TAU_LOW = (2.1659, 1.4412, 0.038269)
+TAU_HIGH = (1.7339, 0.93202, -0.12745, -0.010368)
+
+
+def unit_root_pvalue(statistic: float) -> float:
+    if statistic > TAU_RANGE[1]:
+        return 1.0
+    if statistic < TAU_RANGE[0]:
+        return 0.0
+    surface = TAU_LOW if statistic <= TAU_SWITCH else TAU_HIGH
+    z = sum(c * statistic**i for i, c in enumerate(surface))
+    return 0.5 * math.erfc(-z / math.sqrt(2))
+
+
+def augmented_dickey_fuller(
+    df: DataFrame, value: str = "close", max_lag: int = 12, lag: int | None = None
+) -> DataFrame:
+    """(ticker, lag, n_obs, adf_statistic, p_value): unit-root test with lagged differences.
+
+    The difference is regressed on a constant, the previous value and ``lag`` earlier differences.
+    Without ``lag`` the one of 0 to ``max_lag`` with the least AIC on the rows that all of them have
+    is taken, and fitted again on all rows that it has. One pass over the rows, block by block, sums
+    the cross products, apart for the first ``max_lag`` rows of a series; then at most
+    ``max_lag + 1`` rows of sums per ticker are solved. Values are taken less the mean of their
+    ticker, which leaves the result as it is and the sums exact enough.
+
+    Statistic and p-value are null for a series too short for the number of terms, or constant.
+    """
+    if lag is not None:
+        max_lag = lag
+    means = df.groupBy("ticker").agg(F.avg(value).alias("_mean"))
+    centred = df.select("ticker", "date", F.col(value).alias("_v")).join(means, "ticker").select(
+        "ticker", "date", (F.col("_v") - F.col("_mean")).alias("_v")
+    )
+    names = ["_d", "_one", "_x", *[f"_d{k}" for k in range(1, max_lag + 1)]]
+
+    def build(rows: DataFrame, w) -> DataFrame:
+        rows = rows.withColumns({"_x": F.lag("_v").over(w), "_one": F.lit(1.0)})
+        rows = rows.withColumn("_d", F.col("_v") - F.col("_x"))
+        return rows.withColumns(
+            {f"_d{k}": F.lag("_d", k).over(w) for k in range(1, max_lag + 1)}
+        ) if max_lag else rows
+
+    rows = over_series(centred, build, before=max_lag + 2).filter(F.col("_d").isNotNull())
+    held = F.lit(0)
+    for k in range(1, max_lag + 1):
+        held = F.when(F.col(f"_d{k}").isNotNull(), k).otherwise(held)
+    filled = rows.select("ticker", held.alias("_has"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in names])
+    cells = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    sums = filled.groupBy("ticker", "_has").agg(
+        F.array(*[F.sum(F.col(names[i]) * F.col(names[j])) for i, j in cells]).alias("sums")
+    )
+
+    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        def products(at_least: int) -> np.ndarray:
+            total = np.zeros((len(names), len(names)))
+            for has, values in zip(frame["_has"], frame["sums"]):
+                if has >= at_least:
+                    for (i, j), v in zip(cells, values):
+                        total[i, j] += v
+            return np.triu(total) + np.triu(total, 1).T
+
+        def fitted(total: np.ndarray, k: int) -> tuple[int, float, float]:
+            """Rows, sum of squared residuals, and the statistic, with ``k`` lags."""
+            terms = list(range(1, 3 + k))
+            n, inner = int(round(total[1, 1])), total[np.ix_(terms, terms)]
+            if n <= len(terms) or np.linalg.matrix_rank(inner) < len(terms):
+                return n, math.nan, math.nan
+            inverse = np.linalg.inv(inner)
+            slope = inverse @ total[terms, 0]
+            rest = max(total[0, 0] - slope @ total[terms, 0], 0.0)
+            error = math.sqrt(rest / (n - len(terms)) * inverse[1, 1])
+            return n, rest, slope[1] / error if error > 0 else math.nan
+
+        best = lag
+        if best is None:
+            common = products(max_lag)
+            tried = []
+            for k in range(max_lag + 1):
+                n, rest, _ = fitted(common, k)
+                tried.append(n * math.log(rest / n) + 2 * (k + 2) if rest > 0 else math.inf)
+            best = int(np.argmin(tried))
+        n, _, statistic = fitted(products(best), best)
+        known = not math.isnan(statistic)
+        return pd.DataFrame({
+            "ticker": [frame["ticker"].iloc[0]], "lag": [best], "n_obs": [n],
+            "adf_statistic": [statistic if known else None],
+            "p_value": [unit_root_pvalue(statistic) if known else None],
+        })
+
+    return sums.groupBy("ticker").applyInPandas(
+        solve, "ticker string, lag int, n_obs bigint, adf_statistic double, p_value double"
+    )
+
+
 def acf(df: DataFrame, value: str = "close", max_lag: int = MAX_LAG) -> DataFrame:
     """Autocorrelation per ticker for lags 0 to ``max_lag``: one row per (ticker, lag).
 

@@ -539,6 +539,23 @@ def q_adf(spark, sf):
     return rounded(out.select("ticker", "n_obs", "adf_statistic", "stationary"), 6)
 
 
+@query("adf_lags")
+def q_adf_lags(spark, sf):
+    return ts.augmented_dickey_fuller(stored_bars(spark, sf))
+
+
+@query(
+    "adf_fixed_lag",
+    f"""WITH {BARS_SQL}, p AS (SELECT ticker, lag(close) OVER (PARTITION BY ticker ORDER BY date) AS x,
+      close AS c FROM bars), d AS (SELECT ticker, x, c - x AS y FROM p WHERE x IS NOT NULL),
+    s AS (SELECT ticker, count(*)::BIGINT AS n_obs, regr_slope(y, x) AS b, regr_sxx(y, x) AS sxx,
+      regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy FROM d GROUP BY ticker)
+    SELECT ticker, 0 AS lag, n_obs, round(b / sqrt((syy - b * sxy) / (n_obs - 2) / sxx), 6) AS adf_statistic FROM s""",
+)
+def q_adf_fixed_lag(spark, sf):
+    return rounded(ts.augmented_dickey_fuller(stored_bars(spark, sf), lag=0).drop("p_value"), 6)
+
+
 @query(
     "acf",
     f"""WITH {BARS_SQL}, x AS (SELECT ticker, date, close - avg(close) OVER (PARTITION BY ticker) AS x,

@@ -258,6 +258,24 @@ def q_asof(spark, sf):
     return fs.asof_features(entities, night, ["close", "volume"], ttl_seconds=6 * 3600)
 
 
+@query(
+    "asof_features_hourly",
+    f"""WITH {HOURLY_SQL}, f AS (SELECT *, date + INTERVAL 1 HOUR AS known FROM hourly)
+    SELECT e.event_id, e.event_type AS ticker, e.ts AS event_timestamp,
+      CASE WHEN f.known >= e.ts - INTERVAL 6 HOUR THEN f.known END AS feature_known,
+      CASE WHEN f.known >= e.ts - INTERVAL 6 HOUR THEN f.close END AS close,
+      CASE WHEN f.known >= e.ts - INTERVAL 6 HOUR THEN f.volume END AS volume
+    FROM events e ASOF LEFT JOIN f ON e.event_type = f.ticker AND e.ts >= f.known""",
+)
+def q_asof_hourly(spark, sf):
+    """All hourly bars, each known when its hour has ended."""
+    entities = table(spark, sf, "events").select(
+        "event_id", F.col("event_type").alias("ticker"), F.col("ts").alias("event_timestamp")
+    )
+    bars = hourly_bars(spark, sf).withColumn("known", F.col("date") + F.expr("INTERVAL 1 HOUR")).drop("date")
+    return fs.asof_features(entities, bars, ["close", "volume"], ttl_seconds=6 * 3600, order="known")
+
+
 @query(
     "asof_features_daily",
     f"""WITH {BARS_SQL} SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber,
