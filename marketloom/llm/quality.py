@@ -26,6 +26,7 @@ INSIDE = 0.975  # reweighting: rows within this probability form the final estim
 # above each statistic can reject alone (repeated lines at most 1.57 away, repeated words 0.79).
 OUTSIDE = 1e-4
 SHRINK = 20  # a group's estimate counts as its rows, its language's as so many rows
+FALL = 1e-3  # a step counts while it lowers the determinant of its group by more than this share
 MAX_STEPS = 100
 
 
@@ -107,7 +108,7 @@ def quality_rules(
     The others are judged by the minimum covariance determinant: statistics are transformed (log of
     the mean word length, arcsine of the square root of the shares of symbols, repeated lines and
     repeated words); per (lang, source), and per lang over all its sources, concentration steps go
-    to the ``core_share`` of rows with least distance while the determinant gets smaller. They start
+    to the ``core_share`` of rows with least distance while the determinant falls by ``FALL``. They start
     from the medians and from the moments of all rows; of the two ends the one of smaller determinant
     counts. A reweighting step follows. The estimate of a source is then drawn towards that of its
     language, as if ``SHRINK`` rows of the language were added to it; a source whose centre itself
@@ -200,7 +201,7 @@ def _concentrated(rows: DataFrame, keys: list[str], core_share: float) -> DataFr
             _factors(_moments(_core(rows, params, keys, core_share), keys, core_share))
         ).withColumn("moving", F.lit(True))
         same = _all([F.col(f"new.{c}").eqNullSafe(F.col(f"old.{c}")) for c in keys])
-        lower = F.col("new.det") < F.col("old.det") * (1 - 1e-9)
+        lower = F.col("new.det") < F.col("old.det") * (1 - FALL)
         params = stage(
             params.alias("old").join(stepped.alias("new"), same, "left").select(
                 *[F.col(f"old.{c}") for c in keys],

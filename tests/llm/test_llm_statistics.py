@@ -55,7 +55,7 @@ def robust_moments(x):
             cut = np.sort(step)[int(np.ceil(len(x) * quality.CORE_SHARE - 1e-9)) - 1]
             moved = moments(x[step <= cut], quality.CORE_SHARE)
             lower = np.linalg.det(moved[1] + LEAST)
-            if not lower < det * (1 - 1e-9):
+            if not lower < det * (1 - quality.FALL):
                 break
             det, (center, cov) = lower, moved
         ends.append((det, center, cov))
