@@ -309,25 +309,27 @@ def _factors(moments: DataFrame) -> DataFrame:
         value = F.col(f"s_{FEATURES[j]}_{FEATURES[i]}")
         return value + (LEAST_DEVIATION[i] * GRID) ** 2 if i == j else value
 
+    def rest(i: int, j: int) -> Column:
+        value = cell(i, j)
+        for k in range(j):
+            value = value - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
+        return value
+
+    def inverse(i: int, j: int) -> Column:
+        if i == j:
+            return 1 / F.col(f"l_{i}_{i}")
+        value = F.lit(0.0)
+        for k in range(j, i):
+            value = value - F.col(f"l_{i}_{k}") * F.col(f"r_{k}_{j}")
+        return value / F.col(f"l_{i}_{i}")
+
     out = moments
-    for j in p:
-        for i in range(j, len(FEATURES)):
-            rest = cell(i, j)
-            for k in range(j):
-                rest = rest - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            out = out.withColumn(
-                f"l_{i}_{j}", F.sqrt(rest) if i == j else rest / F.col(f"l_{j}_{j}")
-            )
-    for j in p:
-        for i in range(j, len(FEATURES)):
-            if i == j:
-                value = 1 / F.col(f"l_{i}_{i}")
-            else:
-                value = F.lit(0.0)
-                for k in range(j, i):
-                    value = value - F.col(f"l_{i}_{k}") * F.col(f"r_{k}_{j}")
-                value = value / F.col(f"l_{i}_{i}")
-            out = out.withColumn(f"r_{i}_{j}", value)
+    for j in p:  # one projection per column of the factor, and per row of its inverse
+        root = F.sqrt(rest(j, j))
+        below = {f"l_{i}_{j}": rest(i, j) / root for i in range(j + 1, len(FEATURES))}
+        out = out.withColumns({f"l_{j}_{j}": root, **below})
+    for i in p:
+        out = out.withColumns({f"r_{i}_{j}": inverse(i, j) for j in range(i + 1)})
     return out.drop(*[f"l_{i}_{j}" for j in p for i in range(j, len(FEATURES))])
 
 
