@@ -155,17 +155,18 @@ base AS (
                       CASE WHEN len(c) > 0 THEN 'reserved' END], lambda x: x IS NOT NULL) AS found
   FROM places),
 asked AS (
-  SELECT label, list_distinct({_SPLIT.format("text")}) AS ws
-  FROM (VALUES {_TEMPLATE_ROWS}) v(label, text)),
-blocks AS (
-  SELECT r, {_SPLIT.format("line")} AS held
-  FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM docs)),
+  SELECT row_number() OVER () AS template, label, len(ws) AS n, len(list_distinct(ws)) AS size, ws
+  FROM (SELECT label, {_SPLIT.format("text")} AS ws FROM (VALUES {_TEMPLATE_ROWS}) v(label, text))),
+running AS (SELECT r, unnest(w) AS word, unnest(range(len(w))) AS pos FROM worded),
+laid AS (
+  SELECT r, template, label, size, running.word, unnest([pos // n, pos // n - 1]) AS k
+  FROM running JOIN (SELECT *, unnest(list_distinct(ws)) AS word FROM asked) a
+    ON running.word = a.word),
 matched AS (
-  SELECT r, list(DISTINCT label) AS more, max(share) AS best
-  FROM (SELECT r, label, len(list_intersect(ws, held))::DOUBLE / len(ws) AS share,
-               len(list_intersect(ws, held)) >= ceil(len(ws) * {CONTAINMENT} - 1e-9) AS enough
-        FROM blocks, asked)
-  WHERE enough GROUP BY r)
+  SELECT r, list(DISTINCT label) AS more, max(overlap / size) AS best
+  FROM (SELECT r, template, label, size, count(DISTINCT word) AS overlap
+        FROM laid WHERE k >= 0 GROUP BY r, template, label, size, k)
+  WHERE overlap >= ceil(size * {CONTAINMENT} - 1e-9) GROUP BY r)
 SELECT doc_id, n_words::BIGINT AS n_words, len(every)::BIGINT AS n_base,
        list_min(every)::BIGINT AS first_word, list_max(every)::BIGINT AS last_word,
        array_to_string(list_sort(found), ',') AS base_labels,
