@@ -14,7 +14,9 @@ from marketloom.plans.text import JUDGED, replies
 from marketloom.operators import evaluation as judge
 from marketloom.session import stage, work_path
 from marketloom.sources import tables as io
+from marketloom.sources.refresh import refresh_partitions
 from marketloom.streaming import features as sfeat
+from marketloom.streaming import limits as slim
 from marketloom.streaming import metrics as smet
 
 
@@ -286,6 +288,27 @@ def q_limit_stream(spark, sf):
     return naive(out)
 
 
+@query(
+    "limited_requests_stream",
+    f"""WITH {LOG}, r AS (SELECT event_id AS request_id, date_trunc('minute', ts)::TIMESTAMP AS minute,
+      row_number() OVER (PARTITION BY address % 10, endpoint, date_trunc('minute', ts) ORDER BY ts, event_id) > 1 AS rejected
+      FROM log)
+    SELECT * FROM r WHERE minute + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
+)
+def q_limited_stream(spark, sf):
+    """Requests of the minutes that the watermark has closed; one per minute and shared address."""
+    stream = log_stream(spark, sf).withColumn("address", F.col("address") % 10)
+    out, state = work_path(spark, "limited"), work_path(spark, "limited-state")
+    limited = slim.limited_stream(stream, "address", "endpoint", "event_id", limit=F.lit(1))
+    started = limited.writeStream.outputMode("append").format("parquet").option("path", out).option(
+        "checkpointLocation", state
+    ).trigger(availableNow=True).start()
+    started.awaitTermination()
+    closed = table(spark, sf, "events").agg((F.max("ts") - F.expr("INTERVAL 11 MINUTES")).alias("until"))
+    rows = naive(spark.read.schema(slim.OUTPUT).parquet(out), ["minute"])
+    return rows.join(closed, F.col("minute") <= F.col("until")).drop("until")
+
+
 @query(
     "alerts_stream",
     f"""WITH {LOG}, {p95_sql("time_bucket(INTERVAL 60 MINUTE, ts) AS window_start", '1')},
@@ -445,3 +468,14 @@ def q_benchmark_sink(spark, sf):
     return back.groupBy("variant_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("judge.verdict") == "PASS").alias("passed")
     )
+
+
+@query("partition_refresh", f"WITH {BARS_SQL} SELECT *, year(date)::BIGINT AS year FROM bars")
+def q_refresh(spark, sf):
+    """Bars by year: stored with a wrong volume in one year, then refreshed from the right ones."""
+    path = work_path(spark, "by-year")
+    bars = stage(daily_bars(spark, sf).withColumn("year", F.year("date").cast("long")), "bars")
+    wrong = F.when(F.col("year") == 1995, F.col("volume") + 1).otherwise(F.col("volume"))
+    refresh_partitions(bars.withColumn("volume", wrong), path, ["year"])
+    refresh_partitions(bars, path, ["year"])
+    return io.read_parquet(spark, path).withColumn("year", F.col("year").cast("long")).select(bars.columns)

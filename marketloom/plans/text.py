@@ -9,6 +9,7 @@ from marketloom.functions import text as tx
 from marketloom.operators import evaluation as ev
 from marketloom.operators import features as fs
 from marketloom.operators import retrieval as rt
+from marketloom.operators import rule_tables
 from marketloom.operators import safety as sf_
 from marketloom.operators import transcripts as tr
 from marketloom.operators import vector_index as vi
@@ -858,3 +859,31 @@ def q_cap(spark, sf):
     return texts(spark, sf, "conversations").select(
         "conv_id", "turn", F.array_join(tr.compared_tickers(F.split("text", " ")), " ").alias("tickers")
     )
+
+
+# Parts that every match of the injection patterns contains, in the order of the patterns.
+INJECTION_PARTS = ["instructions", "now", "system", "system", "instructions", "disregard"]
+
+
+@query(
+    "rule_table_hits",
+    f"""WITH {MESSAGES}, w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM benchmark)
+    SELECT conv_id, turn, word AS rule_id FROM messages JOIN w ON contains(lower(text), word) WHERE length(word) >= 3
+    UNION ALL {" UNION ALL ".join(
+        f"SELECT conv_id, turn, 'pattern {i}' FROM messages WHERE regexp_matches(lower(text), '{p}')"
+        for i, p in enumerate(INJECTION))}""",
+)
+def q_rule_table(spark, sf):
+    """The words of the benchmark as substring rules, and the injection patterns, as one rule table."""
+    words = table(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w"))
+    words = words.filter(F.length("w") >= 3).distinct().select(
+        F.col("w").alias("rule_id"), F.col("w").alias("literal"), F.lit(None).cast("string").alias("pattern")
+    )
+    patterns = spark.createDataFrame(
+        [
+            (f"pattern {i}", part, p.replace(r"\s", tx.SPACE))
+            for i, (part, p) in enumerate(zip(INJECTION_PARTS, sf_.INJECTION_PATTERNS))
+        ],
+        "rule_id string, literal string, pattern string",
+    )
+    return rule_tables.rule_hits(messages(spark, sf), words.unionByName(patterns), ["conv_id", "turn"])
