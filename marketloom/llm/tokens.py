@@ -21,11 +21,14 @@ class Memory(dict):
         self.most = most
         self.older: dict[str, bytes] = {}
 
-    def missing(self, keys: set[str]) -> list[str]:
-        """The keys that are not known; known ones of the older half are taken over."""
+    def age(self) -> None:
+        """Begin a new half if this one is full; not while keys found before are still needed."""
         if len(self) > self.most:
             self.older = dict(self)
             self.clear()
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """The keys that are not known; known ones of the older half are taken over."""
         new = list(filterfalse(self.__contains__, keys))
         if not self.older:
             return new
@@ -63,6 +66,8 @@ class PieceEncoder:
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         texts = list(texts)
+        self.first.age()
+        self.after_blank.age()
         before_feed = " \n" if self.feed is not None else "\n"
         cut = [t.replace("\n", before_feed).split(" ") for t in texts]
         new = self.after_blank.missing(set(chain.from_iterable(cut)) - {""})

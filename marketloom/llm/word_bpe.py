@@ -149,6 +149,8 @@ class WordEncoder:
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        self.pieces.age()
+        self.words.age()
         cut = [t.replace("\n", " ").split(" ") for t in texts]
         new = self.pieces.missing(set(chain.from_iterable(cut)))
         plain: dict[str, list[str]] = {}
