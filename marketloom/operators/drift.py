@@ -71,7 +71,7 @@ def measures(totals: DataFrame) -> DataFrame:
     def half_kl(share: Column) -> Column:
         return F.when(share > 0, share * F.ln(share / m)).otherwise(0.0)
 
-    rows = totals.join(_moments(totals), "column")
+    rows = totals.join(F.broadcast(_moments(totals)), "column")  # a row per column, here and below
     chi = F.when(expected > 0, (F.col("c") - expected) ** 2 / expected).when(
         F.col("c") > 0, F.lit(float("inf"))
     ).otherwise(0.0)
@@ -133,7 +133,7 @@ def _with_totals(counts: DataFrame) -> DataFrame:
     totals = counts.groupBy("column").agg(
         F.sum("r").alias("total_r"), F.sum("c").alias("total_c")
     )
-    return counts.join(totals, "column")
+    return counts.join(F.broadcast(totals), "column")
 
 
 def drift_chi2(reference: DataFrame, current: DataFrame, columns: list[str]) -> DataFrame:
@@ -181,7 +181,7 @@ def drift_psi(
     )
     bucket = F.size(F.filter("_edges", lambda e: e <= F.col("value")))
     per_bucket = (
-        totals.join(edges, "column")
+        totals.join(F.broadcast(edges), "column")
         .groupBy("column", bucket.alias("bucket"))
         .agg(
             (F.sum("r") / F.max("total_r")).alias("p"), (F.sum("c") / F.max("total_c")).alias("q")

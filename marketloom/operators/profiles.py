@@ -114,7 +114,7 @@ def rank_errors(df: DataFrame, columns: list[str], described: DataFrame, probs:
     A value that many rows share covers a range of shares; inside it the error is 0.
     """
     asked = described.select("column", F.posexplode("quantiles").alias("i", "q"))
-    values = long_form(df, columns).join(asked, "column")
+    values = long_form(df, columns).join(F.broadcast(asked), "column")
     share = values.groupBy("column", "i").agg(
         (F.count_if(F.col("value") < F.col("q")) / F.count(F.lit(1))).alias("below"),
         (F.count_if(F.col("value") <= F.col("q")) / F.count(F.lit(1))).alias("upto"),
