@@ -253,7 +253,7 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
         F.min(value).alias("min"), F.max(value).alias("max"),
     )
     away = value - F.col("mean")
-    spread = totals.join(basic.select("column", "mean"), "column").groupBy("column").agg(
+    spread = totals.join(F.broadcast(basic.select("column", "mean")), "column").groupBy("column").agg(
         F.sqrt(F.try_divide(F.sum(n * away * away), F.sum(n) - 1)).alias("std")
     )
     return (
@@ -273,13 +273,16 @@ def _quartiles(totals: DataFrame) -> DataFrame:
 
 
 def histogram(df: DataFrame, columns: list[str], bins: int = BINS) -> DataFrame:
-    """Rows per equal-width bin between the least and the greatest value; the last bin is closed."""
+    """Rows per equal-width bin between the least and the greatest value; the last bin is closed.
+
+    The ends, one row per column, are broadcast: rows are counted where they are read.
+    """
     values = long_form(df, columns)
     ends = values.groupBy("column").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
     position = F.floor(
         F.try_divide(F.col("value") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * bins
     )
-    placed = values.join(ends, "column").withColumn(
+    placed = values.join(F.broadcast(ends), "column").withColumn(
         "bin", F.least(F.coalesce(position, F.lit(0)), F.lit(bins - 1)).cast("long")
     )
     width = (F.col("_hi") - F.col("_lo")) / bins
@@ -307,7 +310,7 @@ def iqr_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
     totals = _totals(df, columns)
     inside = F.col("value").between(F.col("lower_fence"), F.col("upper_fence"))
     return (
-        totals.join(_fences(totals), "column")
+        totals.join(F.broadcast(_fences(totals)), "column")
         .groupBy("column", "q25", "q50", "q75")
         .agg(
             F.min(F.when(inside, F.col("value"))).alias("whisker_low"),

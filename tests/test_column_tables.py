@@ -39,3 +39,16 @@ def test_drift_rows_do_not_meet_by_column(unsized):
     described = unsized.createDataFrame([("x", [199.0])], "column string, quantiles array<double>")
     checked = profiles.rank_errors(rows(unsized)[0], ["x"], described, [0.5])
     assert not joins(checked)[1] and checked.collect()[0]["error"] <= 0.0025
+
+
+def test_histogram_rows_do_not_meet_by_column(unsized):
+    old, _ = rows(unsized)
+    for out in (
+        timeseries.histogram(old, ["x", "y"], 4), timeseries.describe(old, ["x", "y"]),
+        timeseries.iqr_outliers(old, ["x", "y"]),
+    ):
+        assert joins(out)[0]
+    plan = timeseries.histogram(old, ["x"])
+    assert not joins(plan)[1]
+    bins = sorted((r["column"], r["bin"], r["n"]) for r in timeseries.histogram(old, ["x"], 4).collect())
+    assert bins == [("x", i, 100) for i in range(4)]
