@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.session import stage
 
 GRAM = 3  # characters of the parts that rules are filed under
+RULES_AT_ONCE = 200_000  # rules that a pass over the texts takes along
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -31,7 +34,9 @@ def rule_hits(
 
     Each rule is filed under that part of its literal, ``GRAM`` characters long (or the whole of a
     shorter literal), which the fewest texts hold. Texts fetch the rules of the parts they hold by a
-    join, and only those are tried. The plan is the same for any number of rules.
+    join, and only those are tried. The rules are broadcast, ``RULES_AT_ONCE`` at a time, so a text
+    is judged where it is read: neither its parts nor the rules to try are shuffled or stored. The
+    plan is the same for any number of rules, but for one more pass per ``RULES_AT_ONCE``.
 
     Rows of equal keys are judged each by its own text. Null texts, rules with neither literal nor
     pattern, and empty tables give no rows. A rule id that stands in several rules is given once per
@@ -52,20 +57,23 @@ def rule_hits(
     asked = filed.select("*", F.explode(parts).alias("gram"))
 
     held = F.concat(F.array(F.lit("")), *[_grams(F.col("text"), n) for n in range(1, GRAM + 1)])
-    wanted = asked.select("gram").distinct()
-    met = stage(
-        texts.select("key", F.xxhash64("text").alias("hash"), F.explode(held).alias("gram"))
-        .join(wanted, "gram", "left_semi"),
-        "rule_grams",
-    )
-    counts = met.groupBy("gram").count()
+    counts = texts.select(F.explode(held).alias("gram")).groupBy("gram").count()
     rarest = F.min_by("gram", F.struct(F.coalesce("count", F.lit(0)), "gram")).alias("gram")
-    index = asked.join(counts, "gram", "left").groupBy("rule_id", "literal", "pattern").agg(rarest)
-    candidates = met.join(index, "gram").select("key", "hash", "rule_id", "literal", "pattern").distinct()
-
-    same = F.col("c.key").eqNullSafe(F.col("t.key")) & (F.col("c.hash") == F.xxhash64("t.text"))
+    index = stage(
+        asked.join(counts, "gram", "left").groupBy("rule_id", "literal", "pattern").agg(rarest),
+        "rule_index",
+    )
     fits = F.when(F.col("pattern").isNull(), F.contains("text", "literal")).otherwise(
         F.rlike(F.col("text"), F.col("pattern"))
     )
-    hits = candidates.alias("c").join(texts.alias("t"), same).filter(fits)
-    return hits.select(*[F.col("c.key")[k].alias(k) for k in keys], "rule_id")
+    # a text holds a part once and a rule is filed once, so no pair comes twice
+    parted = texts.select(F.col("key").alias("_key"), "text", F.explode(held).alias("gram"))
+    passes = max(-(-index.count() // RULES_AT_ONCE), 1)
+    turn = F.pmod(F.xxhash64("rule_id", "literal", "pattern"), F.lit(passes))
+    hits = [
+        parted.join(F.broadcast(index.filter(turn == i)), "gram").filter(fits).select(
+            *[F.col("_key")[k].alias(k) for k in keys], "rule_id"
+        )
+        for i in range(passes)
+    ]
+    return reduce(DataFrame.unionAll, hits)
