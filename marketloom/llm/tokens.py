@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain, filterfalse, islice
+from itertools import filterfalse
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-GROUP = 256  # texts or pieces that are encoded together
+GROUP = 256  # new pieces that are encoded together
+GROUP_BYTES = 1 << 20  # texts that are cut into pieces together
 MOST_PIECES = 400_000  # pieces remembered before they become the older half of a memory
 
 
@@ -27,7 +31,7 @@ class Memory(dict):
             self.older = dict(self)
             self.clear()
 
-    def missing(self, keys: set[str]) -> list[str]:
+    def missing(self, keys: Iterable[str]) -> list[str]:
         """The keys that are not known; known ones of the older half are taken over."""
         new = list(filterfalse(self.__contains__, keys))
         if not self.older:
@@ -42,6 +46,10 @@ class Memory(dict):
         return out
 
 
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()  # far faster than to_pylist()
+
+
 class PieceEncoder:
     """Ids of whole texts with a byte-level BPE file of the tokenizers library.
 
@@ -49,52 +57,92 @@ class PieceEncoder:
     at a single line feed between them, which is a token of its own. So a text may be cut there, and
     a piece seen before need not be encoded again. New pieces are encoded many in one text, with line
     feeds between them. Other white space stays inside the pieces. ``add_special_tokens`` is false.
+
+    Arrow cuts a group of texts and tells its distinct pieces; only these are looked up, and the ids
+    of all places are then copied from theirs at once.
     """
 
     BETWEEN = re.compile(r"(?<=\S) (?=\S)")
     ODD = re.compile(r"[^\S\n]|<\|")  # white space but line feeds; a special token
+    MARKS = '.,;:!?"*$%&#'  # marks that no special token ends with
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         feed = self._ids(["\n"])[0]
         self.feed = feed[0] if len(feed) == 1 else None
-        self.closing = {c: array("I", self._ids([c])[0]).tobytes() for c in ".,"}
+        self.marks: dict[str, bytes] = {}
         self.first, self.after_blank = Memory(), Memory()
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        texts = list(texts)
+        whole = pa.array(texts if isinstance(texts, list) else list(texts), pa.large_string())
+        return list(self.encode_column(whole))
+
+    def encode_column(self, texts: pa.Array) -> Iterator[bytes]:
+        """The same for an Arrow column without nulls, about ``GROUP_BYTES`` of texts at a time."""
+        texts = texts.cast(pa.large_string())
+        ends = np.cumsum(pc.binary_length(texts).to_numpy())
+        low = 0
+        while low < len(texts):
+            limit = (ends[low - 1] if low else 0) + GROUP_BYTES
+            high = max(low + 1, int(np.searchsorted(ends, limit, side="right")))
+            yield from self._encoded(texts.slice(low, high - low))
+            low = high
+
+    def _encoded(self, texts: pa.Array) -> list[bytes]:
         self.first.age()
         self.after_blank.age()
         before_feed = " \n" if self.feed is not None else "\n"
-        cut = [t.replace("\n", before_feed).split(" ") for t in texts]
-        new = self.after_blank.missing(set(chain.from_iterable(cut)) - {""})
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", before_feed), " ")
+        bounds, parts = cut.offsets.to_numpy(), cut.values
+        later = np.ones(len(parts), bool)
+        later[bounds[:-1]] = False
+        rest = parts.filter(pa.array(later)).dictionary_encode()
+        heads, pieces = _strings(parts.take(pa.array(bounds[:-1]))), _strings(rest.dictionary)
+        new = self.after_blank.missing(filter(None, pieces))
         lines = [p for p in new if p[0] == "\n"]
-        self._learn(self.first, "", {parts[0] for parts in cut}.union([p[1:] for p in lines]))
+        self._learn(self.first, "", set(heads).union([p[1:] for p in lines]))
         self._learn(self.after_blank, " ", set(new).difference(lines))
         for line in lines:
             ids = self.first.get(line[1:])
             if ids is not None and self.feed is not None:
                 self.after_blank[line] = self.feed.to_bytes(4, "little") + ids
-        return [self._joined(t, parts) for t, parts in zip(texts, cut)]
 
-    def _joined(self, text: str, parts: list[str]) -> bytes:
-        try:
-            rest = map(self.after_blank.__getitem__, islice(parts, 1, None))
-            return self.first[parts[0]] + b"".join(rest)
-        except KeyError:  # white space other than single blanks: cut between other characters only
-            head, *rest = self.BETWEEN.split(text)
-            ids = self._ids([head, *[" " + p for p in rest]])
-            return b"".join([array("I", x).tobytes() for x in ids])
+        ids = [*map(self.after_blank.get, pieces), *map(self.first.get, heads)]
+        unknown = np.array([x is None for x in ids])
+        ids = [x or b"" for x in ids]
+        code = np.empty(len(parts), np.int64)
+        code[later] = rest.indices.to_numpy()
+        code[bounds[:-1]] = len(pieces) + np.arange(len(heads))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        places = np.cumsum(sizes) - sizes
+        size = sizes[code]
+        stop = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat(places[code] - stop[:-1], size)
+        at += np.arange(len(at))
+        data = np.frombuffer(b"".join(ids), "<u4")[at].tobytes()
+        edges = (4 * stop[bounds]).tolist()
+        out = [data[a:b] for a, b in zip(edges, edges[1:])]
+        for i in np.unique(np.searchsorted(bounds, np.flatnonzero(unknown[code]), side="right") - 1):
+            out[i] = self._apart(texts[int(i)].as_py())
+        return out
+
+    def _apart(self, text: str) -> bytes:
+        """A text with white space other than single blanks: cut between other characters only."""
+        head, *rest = self.BETWEEN.split(text)
+        ids = self._ids([head, *[" " + p for p in rest]])
+        return b"".join([array("I", x).tobytes() for x in ids])
 
     def _learn(self, known: Memory, before: str, pieces: set[str]) -> None:
         """Remember the ids of new pieces that begin and end without white space."""
         new = known.missing(pieces - {""})
-        closed = [p for p in new if p[-1] in self.closing and p[-2:-1].isalnum()]
-        found = set(new).difference(closed)
-        found.update(known.missing({p[:-1] for p in closed}))
+        marked = [(p, p.rstrip(self.MARKS)) for p in new if p[-1] in self.MARKS]
+        marked = [(p, core) for p, core in marked if core[-1:].isalnum()]
+        found = set(new).difference([p for p, _ in marked])
+        found.update(known.missing({core for _, core in marked}))
         parts = list(found)
         for i in range(0, len(parts), GROUP):
             group = parts[i : i + GROUP]
@@ -106,19 +154,25 @@ class PieceEncoder:
                 group = list(set(group).difference(apart))
             if group:
                 self._learn_together(known, before, group)
-        for piece in closed:  # a closing mark after a letter or digit is a token of its own
-            if piece[:-1] in known:
-                known[piece] = known[piece[:-1]] + self.closing[piece[-1]]
+        for piece, core in marked:  # marks after a letter or digit are tokens of their own
+            if core in known:
+                known[piece] = known[core] + self._marks(piece[len(core) :])
+
+    def _marks(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            if len(self.marks) > GROUP:
+                self.marks.clear()
+            self.marks[marks] = array("I", self._ids([marks])[0]).tobytes()
+        return self.marks[marks]
 
     def _learn_together(self, known: Memory, before: str, group: list[str]) -> None:
-        ids = self._ids([before + f"\n{before}".join(group)])[0]
-        data, low = array("I", ids).tobytes(), 0
-        ends = [i for i, x in enumerate(ids) if x == self.feed] + [len(ids)]
-        if len(ends) != len(group):
+        ids = array("I", self._ids([before + f"\n{before}".join(group)])[0])
+        data = ids.tobytes()
+        ends = (4 * np.flatnonzero(np.frombuffer(data, "<u4") == self.feed)).tolist()
+        if len(ends) + 1 != len(group):
             raise ValueError("line feeds are not tokens of their own with this tokenizer")
-        for part, end in zip(group, ends):
-            known[part] = data[4 * low : 4 * end]
-            low = end + 1
+        starts = [0, *[end + 4 for end in ends]]
+        known.update(zip(group, map(data.__getitem__, map(slice, starts, [*ends, len(data)]))))
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         encodings = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -141,8 +195,6 @@ def encoded_rows(
     """(doc_id, ids) per row of (doc_id, text) batches; null text is empty; ``end`` is appended."""
     encoder, close = shared_encoder(path), end.to_bytes(4, "little")
     for batch in batches:
-        for at in range(0, batch.num_rows, GROUP):
-            part = batch.slice(at, GROUP)
-            texts = [t or "" for t in part.column(1).to_pylist()]
-            for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(texts)):
-                yield doc_id, ids + close
+        ids = encoder.encode_column(pc.fill_null(batch.column(1), ""))
+        for doc_id, part in zip(batch.column(0).to_pylist(), ids):
+            yield doc_id, part + close
