@@ -60,6 +60,13 @@ def delete(spark: SparkSession, path: str) -> None:
     system.delete(hadoop, True)
 
 
+def local_name(spark: SparkSession, path: str) -> str | None:
+    """The name by which a file is opened without Hadoop, behind mount points; None if there is none."""
+    system, hadoop = _file_system(spark, path)
+    uri = system.resolvePath(hadoop).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
+
+
 def require(spark: SparkSession, path: str) -> str:
     if not exists(spark, path):
         raise FileNotFoundError(f"no data at {path}")
