@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 GROUP = 256  # new pieces that are encoded together
 GROUP_BYTES = 1 << 20  # texts that are cut into pieces together
-MOST_PIECES = 400_000  # pieces remembered before they become the older half of a memory
+MOST_PIECES = 250_000  # pieces remembered before they become the older half of a memory
 
 
 class Memory(dict):
@@ -179,14 +179,18 @@ class PieceEncoder:
         return [e.ids for e in encodings]
 
 
-_held: dict[str, PieceEncoder] = {}
+def shared_encoder(path: str) -> PieceEncoder:
+    """One encoder per Python worker: Spark reuses a worker for many tasks.
 
+    This package travels with its code, so that its globals are new in every task. What is to outlive
+    a task is kept with a module that the workers import.
+    """
+    import tokenizers
 
-def shared_encoder(path: str) -> PieceEncoder:
-    """One encoder per Python worker: Spark reuses a worker for many tasks."""
-    if path not in _held:
-        _held[path] = PieceEncoder(path)
-    return _held[path]
+    held = vars(tokenizers).setdefault("_marketloom_encoders", {})
+    if path not in held:
+        held[path] = PieceEncoder(path)
+    return held[path]
 
 
 def encoded_rows(

@@ -1,5 +1,7 @@
 """Token ids of Arrow columns: groups of texts, and words that differ in their marks only."""
 
+import os
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -28,3 +30,19 @@ def test_words_with_other_marks_are_encoded_once(monkeypatch):
     (got,) = encoder.encode(["x inword!! other$$$ inword"])
     assert asked == []
     assert np.frombuffer(got, "<u4").tolist() == plain.encode("x inword!! other$$$ inword").ids
+
+
+def test_encoder_outlives_a_task(spark):
+    shared = tokens.shared_encoder
+
+    def known(batches):
+        for batch in batches:
+            encoder = shared(TOKENIZER)
+            before = len(encoder.after_blank)
+            encoder.encode([f"x outliving{batch.column(0)[0]}"])
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([before])], ["pid", "n"])
+
+    rows = spark.range(0, 40, 1, 40).mapInArrow(known, "pid long, n long").collect()
+    for pid in {r.pid for r in rows}:
+        found = [r.n for r in rows if r.pid == pid]
+        assert len(set(found)) == len(found)
