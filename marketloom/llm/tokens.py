@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -13,7 +14,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 GROUP = 256  # new pieces that are encoded together
-GROUP_BYTES = 1 << 20  # texts that are cut into pieces together
+GROUP_BYTES = 1 << 23  # texts that are cut into pieces together
+GROUP_PARTS = 1 << 17  # places whose ids are copied at once
+WORDS = 1 << 12  # plain words that become Python strings at once
 MOST_PIECES = 250_000  # pieces remembered before they become the older half of a memory
 
 
@@ -50,21 +53,40 @@ def _strings(column: pa.Array) -> list[str]:
     return column.to_numpy(zero_copy_only=False).tolist()  # far faster than to_pylist()
 
 
+def byte_symbols() -> list[str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in kept]
+    symbol = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(others)}
+    return [symbol[b] for b in range(256)]
+
+
+def gathered(table: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``table`` one after another, and the place where each begins (and the last ends)."""
+    stops = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.repeat(starts - stops[:-1], sizes)
+    at += np.arange(len(at))
+    return table[at], stops
+
+
 class PieceEncoder:
     """Ids of whole texts with a byte-level BPE file of the tokenizers library.
 
     Its pre-tokenizer always starts a new token at a single blank between two other characters, and
     at a single line feed between them, which is a token of its own. So a text may be cut there, and
-    a piece seen before need not be encoded again. New pieces are encoded many in one text, with line
-    feeds between them. Other white space stays inside the pieces. ``add_special_tokens`` is false.
+    a piece seen before need not be encoded again. ``add_special_tokens`` is false.
 
-    Arrow cuts a group of texts and tells its distinct pieces; only these are looked up, and the ids
-    of all places are then copied from theirs at once.
+    Arrow cuts a group of texts, each after a line feed of its own, and tells its distinct pieces.
+    Words of Latin letters or of digits are one unit for the pre-tokenizer, also before marks, so the
+    library's BPE model gets them directly, each once per group. Other pieces are encoded many in one
+    text, with line feeds between them, and remembered. The ids of all places are then copied from
+    theirs at once. Texts with other white space between pieces are encoded apart.
     """
 
     BETWEEN = re.compile(r"(?<=\S) (?=\S)")
     ODD = re.compile(r"[^\S\n]|<\|")  # white space but line feeds; a special token
     MARKS = '.,;:!?"*$%&#'  # marks that no special token ends with
+    PLAIN = "^\n?(?:[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+)$"
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -73,9 +95,22 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         feed = self._ids(["\n"])[0]
         self.feed = feed[0] if len(feed) == 1 else None
+        self.symbols = byte_symbols()
+        self.model = self.tokenizer.model if self._by_words(path) else None
         self.marks: dict[str, bytes] = {}
         self.first, self.after_blank = Memory(), Memory()
 
+    def _by_words(self, path: str) -> bool:
+        """Whether the BPE model gets plain words as they are, in byte symbols."""
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        cutter = told["pre_tokenizer"] or {}
+        return (
+            told["normalizer"] is None and told["model"]["type"] == "BPE" and cutter.get("type") == "ByteLevel"
+            and cutter.get("use_regex", True) and not cutter["add_prefix_space"]
+            and all("<|" in t["content"] for t in told["added_tokens"])
+        )
+
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         whole = pa.array(texts if isinstance(texts, list) else list(texts), pa.large_string())
@@ -92,42 +127,98 @@ class PieceEncoder:
             yield from self._encoded(texts.slice(low, high - low))
             low = high
 
-    def _encoded(self, texts: pa.Array) -> list[bytes]:
+    def _encoded(self, texts: pa.Array) -> Iterator[bytes]:
+        if self.feed is None:
+            yield from map(self._apart, texts.to_pylist())
+            return
+        none, feed = pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string())
+        fed = pc.binary_join_element_wise(none, texts, feed)
+        cut = pc.split_pattern(pc.replace_substring(fed, "\n", " \n"), " ")
+        bounds, found = cut.offsets.to_numpy(), cut.values.dictionary_encode()
+        del fed, cut
+        table, stops, known = self._learned(found.dictionary)
+        code, lengths = found.indices.to_numpy(), np.diff(stops)
+        low = 0
+        while low < len(texts):
+            high = int(np.searchsorted(bounds, bounds[low] + GROUP_PARTS, side="right")) - 1
+            high = max(low + 1, high)
+            here = code[bounds[low] : bounds[high]]
+            edges = bounds[low : high + 1] - bounds[low]  # at each an empty part, then the first piece
+            starts, sizes, lost = stops[here], lengths[here], ~known[here]
+            lost[edges[:-1]] = False
+            heads = edges[:-1] + 1
+            starts[heads] += 1  # without the line feed that was put before the text
+            sizes[heads] = np.maximum(sizes[heads] - 1, 0)
+            ids, ends = gathered(table, starts, sizes)
+            data, ends = ids.tobytes(), (4 * ends[edges]).tolist()
+            apart = set((np.searchsorted(edges, np.flatnonzero(lost), side="right") - 1).tolist())
+            for i, (a, b) in enumerate(zip(ends, ends[1:])):
+                yield self._apart(texts[low + i].as_py()) if i in apart else data[a:b]
+            low = high
+
+    def _learned(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of distinct pieces one after another, where each begins, and which are known.
+
+        A piece stands behind a blank, or begins with the line feed before it, whose id it then has.
+        """
+        cores = pc.utf8_rtrim(pieces, self.MARKS)
+        plain = np.zeros(len(pieces), bool)
+        if self.model is not None:
+            plain = pc.match_substring_regex(cores, self.PLAIN).to_numpy(zero_copy_only=False)
+        words = cores.filter(pa.array(plain)).dictionary_encode()
+        marked = plain & (pc.binary_length(pieces).to_numpy() > pc.binary_length(cores).to_numpy())
+        pairs = zip(_strings(pieces.filter(pa.array(marked))), _strings(cores.filter(pa.array(marked))))
+        marks = pa.array([p[len(core) :] for p, core in pairs], pa.large_string()).dictionary_encode()
+        others = self._others(_strings(pieces.filter(pa.array(~plain))))
+        ends = list(map(self._marks, _strings(marks.dictionary)))
+
+        word_ids, word_sizes = self._words(words.dictionary)
+        rest = [*ends, *[x or b"" for x in others]]
+        sizes = np.concatenate([word_sizes, np.fromiter(map(len, rest), np.int64, len(rest)) // 4, [0]])
+        places = np.cumsum(sizes) - sizes
+        both = np.full((len(pieces), 2), len(sizes) - 1)  # a piece is a word and its marks
+        both[plain, 0] = words.indices.to_numpy()
+        both[marked, 1] = len(word_sizes) + marks.indices.to_numpy()
+        both[~plain, 0] = len(word_sizes) + len(ends) + np.arange(len(others))
+        table = np.concatenate([word_ids, np.frombuffer(b"".join(rest), "<u4")])
+        table, stops = gathered(table, places[both.ravel()], sizes[both.ravel()])
+        known = np.ones(len(pieces), bool)
+        known[~plain] = [x is not None for x in others]
+        return table, stops[::2], known
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain words, and how many each has."""
+        parts, sizes, blank = [np.empty(0, "<u4")], [], self.symbols[0x20]
+        for i in range(0, len(words), WORDS):
+            ids: list[int] = []
+            for word in _strings(words.slice(i, WORDS)):
+                before = len(ids)
+                if word[0] == "\n":
+                    ids.append(self.feed)
+                    word = word[1:]
+                    symbols = ""
+                else:
+                    symbols = blank
+                if word.isascii():
+                    symbols += word
+                else:
+                    symbols += "".join([self.symbols[b] for b in word.encode()])
+                ids += [t.id for t in self.model.tokenize(symbols)]
+                sizes.append(len(ids) - before)
+            parts.append(np.array(ids, "<u4"))
+        return np.concatenate(parts), np.array(sizes, np.int64)
+
+    def _others(self, pieces: list[str]) -> list[bytes | None]:
+        """Ids of pieces that are no plain words; none if the text must be encoded apart."""
         self.first.age()
         self.after_blank.age()
-        before_feed = " \n" if self.feed is not None else "\n"
-        cut = pc.split_pattern(pc.replace_substring(texts, "\n", before_feed), " ")
-        bounds, parts = cut.offsets.to_numpy(), cut.values
-        later = np.ones(len(parts), bool)
-        later[bounds[:-1]] = False
-        rest = parts.filter(pa.array(later)).dictionary_encode()
-        heads, pieces = _strings(parts.take(pa.array(bounds[:-1]))), _strings(rest.dictionary)
-        new = self.after_blank.missing(filter(None, pieces))
-        lines = [p for p in new if p[0] == "\n"]
-        self._learn(self.first, "", set(heads).union([p[1:] for p in lines]))
-        self._learn(self.after_blank, " ", set(new).difference(lines))
-        for line in lines:
-            ids = self.first.get(line[1:])
-            if ids is not None and self.feed is not None:
-                self.after_blank[line] = self.feed.to_bytes(4, "little") + ids
-
-        ids = [*map(self.after_blank.get, pieces), *map(self.first.get, heads)]
-        unknown = np.array([x is None for x in ids])
-        ids = [x or b"" for x in ids]
-        code = np.empty(len(parts), np.int64)
-        code[later] = rest.indices.to_numpy()
-        code[bounds[:-1]] = len(pieces) + np.arange(len(heads))
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        places = np.cumsum(sizes) - sizes
-        size = sizes[code]
-        stop = np.concatenate([[0], np.cumsum(size)])
-        at = np.repeat(places[code] - stop[:-1], size)
-        at += np.arange(len(at))
-        data = np.frombuffer(b"".join(ids), "<u4")[at].tobytes()
-        edges = (4 * stop[bounds]).tolist()
-        out = [data[a:b] for a, b in zip(edges, edges[1:])]
-        for i in np.unique(np.searchsorted(bounds, np.flatnonzero(unknown[code]), side="right") - 1):
-            out[i] = self._apart(texts[int(i)].as_py())
+        lines = {p[1:] for p in pieces if p[:1] == "\n"}
+        self._learn(self.first, "", lines)
+        self._learn(self.after_blank, " ", {p for p in pieces if p[:1] != "\n"})
+        feed, out = self.feed.to_bytes(4, "little"), []
+        for p in pieces:
+            ids = self.first.get(p[1:]) if p[:1] == "\n" else self.after_blank.get(p)
+            out.append(feed + ids if ids is not None and p[:1] == "\n" else ids)
         return out
 
     def _apart(self, text: str) -> bytes:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import whole
-from marketloom.llm.tokens import Memory
+from marketloom.llm.tokens import Memory, byte_symbols
 
 GROUP = 256  # texts that are encoded together
 MOST_PAIRS = 500_000  # answers for token pairs that are remembered
@@ -144,7 +144,7 @@ class WordEncoder:
         self.normalizer, self.cutter = tokenizer.normalizer, tokenizer.pre_tokenizer
         self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
         self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.symbols = _byte_symbols()
+        self.symbols = byte_symbols()
         self.pieces, self.words = Memory(MOST_WORDS), Memory(MOST_WORDS)
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
@@ -187,14 +187,6 @@ class WordEncoder:
         return out
 
 
-def _byte_symbols() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in kept]
-    symbol = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(others)}
-    return [symbol[b] for b in range(256)]
-
-
 class Decoder:
     """Token strings in one table of bytes with offsets; a text is its tokens joined by blanks."""
 
