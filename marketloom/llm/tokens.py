@@ -6,8 +6,9 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import filterfalse
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -270,18 +271,22 @@ class PieceEncoder:
         return [e.ids for e in encodings]
 
 
-def shared_encoder(path: str) -> PieceEncoder:
-    """One encoder per Python worker: Spark reuses a worker for many tasks.
+def shared(kind: Callable[[str], Any], path: str) -> Any:
+    """One object of a kind per file and Python worker: Spark reuses a worker for many tasks.
 
     This package travels with its code, so that its globals are new in every task. What is to outlive
     a task is kept with a module that the workers import.
     """
     import tokenizers
 
-    held = vars(tokenizers).setdefault("_marketloom_encoders", {})
-    if path not in held:
-        held[path] = PieceEncoder(path)
-    return held[path]
+    held = vars(tokenizers).setdefault("_marketloom_held", {})
+    if (kind.__name__, path) not in held:
+        held[kind.__name__, path] = kind(path)
+    return held[kind.__name__, path]
+
+
+def shared_encoder(path: str) -> PieceEncoder:
+    return shared(PieceEncoder, path)
 
 
 def encoded_rows(

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import whole
-from marketloom.llm.tokens import Memory, byte_symbols
+from marketloom.llm.tokens import Memory, byte_symbols, shared
 
 GROUP = 256  # texts that are encoded together
 MOST_PAIRS = 500_000  # answers for token pairs that are remembered
@@ -212,13 +212,15 @@ class Decoder:
         return self.table[places][:-1].tobytes()
 
 
-_held: dict[tuple[type, str], object] = {}  # one per Python worker, which Spark reuses for many tasks
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, GROUP):
+            yield batch.slice(at, GROUP)
 
 
-def _shared(kind: type, path: str):
-    if (kind, path) not in _held:
-        _held[kind, path] = kind(path)
-    return _held[kind, path]
+def _decoded(decoder: Decoder, ids: list[bytes | None]) -> pa.Array:
+    texts = [decoder.decode(np.frombuffer(x or b"", "<u4").astype(np.int64)) for x in ids]
+    return pa.array(texts, pa.binary()).cast(pa.string())
 
 
 def encode_texts(
@@ -226,20 +228,18 @@ def encode_texts(
 ) -> DataFrame:
     """(doc_id, ids) per row of ``docs``; ids are little-endian unsigned 32-bit.
 
-    Rows are encoded where they lie, without a shuffle; a task remembers words up to a fixed number.
+    Rows are encoded where they lie, without a shuffle; a worker remembers words up to a fixed number.
     Null or empty text has no ids. Null ids, ties and repeated rows are encoded like any row. Other
     columns, whatever their names, are left out. An empty table gives no rows.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _shared(WordEncoder, tokenizer)
-        for batch in batches:
-            for at in range(0, batch.num_rows, GROUP):
-                part = batch.slice(at, GROUP)
-                ids = encoder.encode(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"]
-                )
+        encoder = shared(WordEncoder, tokenizer)
+        for part in _groups(batches):
+            ids = encoder.encode(part.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"]
+            )
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole(text).alias("text"))
     return rows.mapInArrow(encode, "doc_id bigint, ids binary")
@@ -253,46 +253,46 @@ def decode_texts(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = _shared(Decoder, tokenizer)
-        for batch in batches:
-            for at in range(0, batch.num_rows, GROUP):
-                part = batch.slice(at, GROUP)
-                texts = [
-                    decoder.decode(np.frombuffer(x or b"", "<u4").astype(np.int64))
-                    for x in part.column(1).to_pylist()
-                ]
-                decoded = pa.array(texts, pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), decoded], ["doc_id", "ids", "decoded"]
-                )
+        decoder = shared(Decoder, tokenizer)
+        for part in _groups(batches):
+            decoded = _decoded(decoder, part.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), decoded], ["doc_id", "ids", "decoded"]
+            )
 
     return encoded.select("doc_id", "ids").mapInArrow(
         decode, "doc_id bigint, ids binary, decoded string"
     )
 
 
+def round_trip(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: (doc_id, ids, numbers, decoded), with the decimal ids joined by blanks as ``numbers``.
+
+    What ``encode_texts`` and ``decode_texts`` do, in one Python worker per task: each worker of a
+    task holds tables and memories of its own. Edge cases as in ``encode_texts``.
+    """
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = shared(WordEncoder, tokenizer), shared(Decoder, tokenizer)
+        number = decoder.numbers.__getitem__
+        for part in _groups(batches):
+            ids = encoder.encode(part.column(1).to_pylist())
+            numbers = [" ".join(map(number, array("I", x))) for x in ids]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(ids, pa.binary()), pa.array(numbers, pa.string()), _decoded(decoder, ids)],
+                ["doc_id", "ids", "numbers", "decoded"],
+            )
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole(text).alias("text"))
+    return rows.mapInArrow(both, "doc_id bigint, ids binary, numbers string, decoded string")
+
+
 def word_digest(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: (doc_id, n_tokens, ids_sha256 of the decimal ids joined by blanks, decoded_sha256).
 
     Edge cases as in ``encode_texts``; a text without ids has the digests of the empty text.
     """
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = _shared(Decoder, tokenizer).numbers.__getitem__
-        for batch in batches:
-            for at in range(0, batch.num_rows, GROUP):
-                part = batch.slice(at, GROUP)
-                numbers = [
-                    " ".join(map(number, array("I", x))) for x in part.column(1).to_pylist()
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(numbers, pa.string()), part.column(2)],
-                    ["doc_id", "ids", "numbers", "decoded"],
-                )
-
-    decoded = decode_texts(encode_texts(docs, tokenizer, doc_id, text), tokenizer)
-    rows = decoded.mapInArrow(listed, "doc_id bigint, ids binary, numbers string, decoded string")
-    return rows.select(
+    return round_trip(docs, tokenizer, doc_id, text).select(
         "doc_id", F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("numbers", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
