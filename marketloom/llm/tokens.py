@@ -50,7 +50,7 @@ class Memory(dict):
         return out
 
 
-def _strings(column: pa.Array) -> list[str]:
+def strings(column: pa.Array) -> list[str]:
     return column.to_numpy(zero_copy_only=False).tolist()  # far faster than to_pylist()
 
 
@@ -168,10 +168,10 @@ class PieceEncoder:
             plain = pc.match_substring_regex(cores, self.PLAIN).to_numpy(zero_copy_only=False)
         words = cores.filter(pa.array(plain)).dictionary_encode()
         marked = plain & (pc.binary_length(pieces).to_numpy() > pc.binary_length(cores).to_numpy())
-        pairs = zip(_strings(pieces.filter(pa.array(marked))), _strings(cores.filter(pa.array(marked))))
+        pairs = zip(strings(pieces.filter(pa.array(marked))), strings(cores.filter(pa.array(marked))))
         marks = pa.array([p[len(core) :] for p, core in pairs], pa.large_string()).dictionary_encode()
-        others = self._others(_strings(pieces.filter(pa.array(~plain))))
-        ends = list(map(self._marks, _strings(marks.dictionary)))
+        others = self._others(strings(pieces.filter(pa.array(~plain))))
+        ends = list(map(self._marks, strings(marks.dictionary)))
 
         word_ids, word_sizes = self._words(words.dictionary)
         rest = [*ends, *[x or b"" for x in others]]
@@ -192,7 +192,7 @@ class PieceEncoder:
         parts, sizes, blank = [np.empty(0, "<u4")], [], self.symbols[0x20]
         for i in range(0, len(words), WORDS):
             ids: list[int] = []
-            for word in _strings(words.slice(i, WORDS)):
+            for word in strings(words.slice(i, WORDS)):
                 before = len(ids)
                 if word[0] == "\n":
                     ids.append(self.feed)

@@ -6,24 +6,24 @@ import json
 import re
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import islice
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import whole
-from marketloom.llm.tokens import Memory, byte_symbols, shared
+from marketloom.llm.tokens import GROUP_BYTES, GROUP_PARTS, Memory, byte_symbols, gathered, shared, strings
 
-GROUP = 256  # texts that are encoded together
+GROUP = 256  # texts that are decoded together
 MOST_PAIRS = 500_000  # answers for token pairs that are remembered
-MOST_WORDS = 200_000  # pieces, and words, that are remembered before they become the older half
+MOST_WORDS = 400_000  # words, and pieces that are none, remembered before they become the older half
 LONGEST_KEPT = 100  # characters of a piece that is remembered
-# Latin letters alone, and with the marks behind them: both are cut into these parts.
-LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)")
-WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
+LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"  # of a piece without the marks behind it
+MARKS = "".join(m for m in map(chr, range(0x21, 0x7F)) if not m.isalnum() and m != "'")
 END = "\x00"  # stands for the end of a word; the byte alphabet of the vocabulary does not hold it
 
 
@@ -54,15 +54,15 @@ class Merges:
         }
         self.finder = ahocorasick.Automaton()
         for token, i in ids.items():
-            self.finder.add_word(token, i)
+            self.finder.add_word(token, (i, len(token) - 1))
         self.finder.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
 
     def longest(self, word: str) -> list[int | None]:
         """Per place of ``word`` the longest token that begins there."""
         found: list[int | None] = [None] * len(word)
-        for end, token in self.finder.iter(word):
-            found[end + 1 - self.size[token]] = token  # ends ascend, so longer ones come later
+        for end, (token, before) in self.finder.iter(word):
+            found[end - before] = token  # ends ascend, so longer ones come later
         return found
 
     def fits(self, left: int, right: int) -> bool:
@@ -101,17 +101,22 @@ class Merges:
         """Ids of one word (byte symbols without its end)."""
         symbols = word + END
         found, size, dead = self.longest(symbols), len(symbols), bytearray(len(symbols) + 1)
+        lengths, shorter, known, fits = self.size, self.shorter, self.pairs, self.fits
         out: list[int] = []
-        at, token = 0, found[0]
+        at, token, last = 0, found[0], None
         while True:
             while token is not None:
-                end = at + self.size[token]
-                if not dead[end] and (not out or self.fits(out[-1], token)):
-                    break
-                token = self.shorter[token]
+                end = at + lengths[token]
+                if not dead[end]:
+                    if last is None:
+                        break
+                    fit = known.get((last, token))
+                    if fit or (fit is None and fits(last, token)):
+                        break
+                token = shorter[token]
             if token is not None:
                 out.append(token)
-                at = end
+                at, last = end, token
                 if at == size:
                     return out
                 token = found[at]
@@ -119,16 +124,16 @@ class Merges:
                 if not out:
                     raise ValueError("a symbol of the word is not in the vocabulary")
                 dead[at] = 1
-                last = out.pop()
-                at -= self.size[last]
-                token = self.shorter[last]
+                token = out.pop()
+                at -= lengths[token]
+                token, last = shorter[token], out[-1] if out else None
 
 
 class WordEncoder:
     """Ids of whole texts with a word-end BPE file of the tokenizers library.
 
     Its own normalizer and pre-tokenizer give the words; white space only separates them, so a text
-    is cut at blanks and line feeds, and every distinct piece is treated once. Strings of special
+    is cut at blanks and line feeds, and every distinct piece of a group of texts is treated once. Strings of special
     tokens are their ids. Nothing is added and nothing truncated.
     """
 
@@ -149,28 +154,77 @@ class WordEncoder:
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        return list(self.encode_column(pa.array(texts, pa.large_string())))
+
+    def encode_column(self, texts: pa.Array) -> Iterator[bytes]:
+        """The same for an Arrow column without nulls, about ``GROUP_BYTES`` of texts at a time."""
+        texts = texts.cast(pa.large_string())
+        ends = np.cumsum(pc.binary_length(texts).to_numpy())
+        low = 0
+        while low < len(texts):
+            limit = (ends[low - 1] if low else 0) + GROUP_BYTES
+            high = max(low + 1, int(np.searchsorted(ends, limit, side="right")))
+            yield from self._encoded(texts.slice(low, high - low))
+            low = high
+
+    def _encoded(self, texts: pa.Array) -> Iterator[bytes]:
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        bounds, found = cut.offsets.to_numpy(), cut.values.dictionary_encode()
+        del cut
+        table, stops = self._learned(found.dictionary)
+        code, lengths = found.indices.to_numpy(), np.diff(stops)
+        low = 0
+        while low < len(texts):
+            high = int(np.searchsorted(bounds, bounds[low] + GROUP_PARTS, side="right")) - 1
+            high = max(low + 1, high)
+            here = code[bounds[low] : bounds[high]]
+            ids, ends = gathered(table, stops[here], lengths[here])
+            data, ends = ids.tobytes(), (4 * ends[bounds[low : high + 1] - bounds[low]]).tolist()
+            yield from [data[a:b] for a, b in zip(ends, ends[1:])]
+            low = high
+
+    def _learned(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct pieces one after another, and where each begins (and the last ends)."""
         self.pieces.age()
         self.words.age()
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        new = self.pieces.missing(set(chain.from_iterable(cut)))
-        plain: dict[str, list[str]] = {}
-        for piece in new:
-            both = WORD_AND_MARKS.fullmatch(piece) or LETTERS.fullmatch(piece)
-            plain[piece] = (
-                [self._symbols(p.lower()) for p in both.groups()] if both else self._cut(piece)
+        cores = pc.utf8_rtrim(pieces, MARKS)
+        plain = pc.match_substring_regex(cores, LETTERS).to_numpy(zero_copy_only=False)
+        words = pc.utf8_lower(cores.filter(pa.array(plain))).dictionary_encode()
+        marked = plain & (pc.binary_length(pieces).to_numpy() > pc.binary_length(cores).to_numpy())
+        pairs = zip(strings(pieces.filter(pa.array(marked))), strings(cores.filter(pa.array(marked))))
+        marks = pa.array([p[len(core) :] for p, core in pairs], pa.large_string()).dictionary_encode()
+
+        known = self._words([self._symbols(w) for w in strings(words.dictionary)])
+        ends = self._words(strings(marks.dictionary))
+        others = self._others(strings(pieces.filter(pa.array(~plain))))
+        each = [*known, *ends, *others, b""]
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        places = np.cumsum(sizes) - sizes
+        both = np.full((len(pieces), 2), len(each) - 1)  # a piece is a word and its marks
+        both[plain, 0] = words.indices.to_numpy()
+        both[marked, 1] = len(known) + marks.indices.to_numpy()
+        both[~plain, 0] = len(known) + len(ends) + np.arange(len(others))
+        both = both.ravel()
+        table, stops = gathered(np.frombuffer(b"".join(each), "<u4"), places[both], sizes[both])
+        return table, stops[::2]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words in byte symbols."""
+        new = {w: array("I", self.merges.encode(w)).tobytes() for w in self.words.missing(words)}
+        self.words.update({w: ids for w, ids in new.items() if len(w) <= LONGEST_KEPT})
+        return [self.words[w] if w in self.words else new[w] for w in words]
+
+    def _others(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that are not Latin letters with marks behind them."""
+        new = {}
+        for piece in self.pieces.missing(pieces):
+            parts = self._cut(piece)
+            ids = iter(self._words([w for w in parts if w not in self.special]))
+            new[piece] = b"".join(
+                [self.special[w].to_bytes(4, "little") if w in self.special else next(ids) for w in parts]
             )
-        asked = {w for parts in plain.values() for w in parts if w not in self.special}
-        for word in self.words.missing(asked):
-            self.words[word] = array("I", self.merges.encode(word)).tobytes()
-        for piece, parts in plain.items():
-            self.pieces[piece] = b"".join(
-                [self.special[w].to_bytes(4, "little") if w in self.special else self.words[w] for w in parts]
-            )
-        out = [b"".join(map(self.pieces.__getitem__, parts)) for parts in cut]
-        for memory in (self.pieces, self.words):
-            for long in [p for p in (new if memory is self.pieces else asked) if len(p) > LONGEST_KEPT]:
-                memory.pop(long, None)
-        return out
+        self.pieces.update({p: ids for p, ids in new.items() if len(p) <= LONGEST_KEPT})
+        return [self.pieces[p] if p in self.pieces else new[p] for p in pieces]
 
     def _symbols(self, word: str) -> str:
         return word if word.isascii() else "".join([self.symbols[b] for b in word.encode()])
@@ -212,12 +266,21 @@ class Decoder:
         return self.table[places][:-1].tobytes()
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, GROUP):
             yield batch.slice(at, GROUP)
 
 
+def _encoded(
+    batches: Iterator[pa.RecordBatch], encoder: WordEncoder
+) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    for batch in batches:
+        ids = encoder.encode_column(batch.column(1))
+        for part in _groups([batch]):
+            yield part, list(islice(ids, part.num_rows))
+
+
 def _decoded(decoder: Decoder, ids: list[bytes | None]) -> pa.Array:
     texts = [decoder.decode(np.frombuffer(x or b"", "<u4").astype(np.int64)) for x in ids]
     return pa.array(texts, pa.binary()).cast(pa.string())
@@ -235,8 +298,7 @@ def encode_texts(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared(WordEncoder, tokenizer)
-        for part in _groups(batches):
-            ids = encoder.encode(part.column(1).to_pylist())
+        for part, ids in _encoded(batches, encoder):
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"]
             )
@@ -275,8 +337,7 @@ def round_trip(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: st
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = shared(WordEncoder, tokenizer), shared(Decoder, tokenizer)
         number = decoder.numbers.__getitem__
-        for part in _groups(batches):
-            ids = encoder.encode(part.column(1).to_pylist())
+        for part, ids in _encoded(batches, encoder):
             numbers = [" ".join(map(number, array("I", x))) for x in ids]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(ids, pa.binary()), pa.array(numbers, pa.string()), _decoded(decoder, ids)],
