@@ -1,15 +1,18 @@
 """K2-treap and ranked search against direct computation."""
 
+import glob
 import math
 import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from fixtures import PROSE, documents, odd_rows
 from marketloom.llm import lexical_search as ls
 from marketloom.llm.treap import Treap, best_columns
+from marketloom.session import shared_dir
 
 
 @pytest.mark.parametrize("n_rows, n_columns, n_points", [(1, 1, 1), (3, 900, 700), (700, 3, 900), (300, 300, 20000)])
@@ -66,6 +69,26 @@ def test_search(spark, monkeypatch, docs_per_shard, items_per_block, held):
     assert sorted(map(tuple, got), key=str) == brute(rows, items)
 
 
+def test_blocks_stay_small(spark, monkeypatch):
+    """Blocks are stored packed, few in a file whatever a task holds, and are not shuffled."""
+    monkeypatch.setattr(ls, "SHARD_DOCS", 40)
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(f"w{n}" for n in rng.zipf(1.3, 120) % 4000)) for i in range(800)]
+    asked = spark.createDataFrame([(1, "w1 w2 w17"), (2, "w900 w3")], "item_id bigint, text string")
+    at = f"{shared_dir(spark)}/marketloom/lexical_index-*"
+    before = set(glob.glob(at))
+    found = ls.lexical_search(documents(spark, rows).coalesce(1), asked)
+    assert sorted(map(tuple, found.collect()), key=str) == brute(rows, [(1, "w1 w2 w17"), (2, "w900 w3")])
+    (folder,) = set(glob.glob(at)) - before
+    files = [pq.read_table(f).to_pylist() for f in glob.glob(f"{folder}/*.parquet")]
+    assert sorted(map(len, files)) == [4, 8, 8]
+    for block in sum(files, []):
+        n_cells = int.from_bytes(block["falls"][:8], "little") // 4
+        assert len(block["falls"]) < 2 * n_cells and len(block["masks"]) < n_cells
+        Treap.load(block["height"], ls._unpacked(block["masks"]), ls._unpacked(block["falls"]))
+    assert "RoundRobin" not in found._jdf.queryExecution().toString()
+
+
 def test_empty_tables(spark):
     asked = spark.createDataFrame([(1, "a b")], "item_id bigint, text string")
     none = spark.createDataFrame([], "item_id bigint, text string")
