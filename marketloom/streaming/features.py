@@ -104,11 +104,12 @@ def start_materialize(
 
 
 def read_latest(
-    spark: SparkSession, target: str, schema: T.StructType, keys: list | None = None,
-    key: str = "ticker", buckets: int = BUCKETS,
+    spark: SparkSession, target: str, schema: T.StructType, batches: int | None = None,
+    keys: list | None = None, key: str = "ticker", buckets: int = BUCKETS,
 ) -> DataFrame:
-    """The state after the last whole batch; with ``keys`` only the buckets of these are read."""
-    newest = latest_batch(spark, target)
+    """The state after the last whole batch, of the first ``batches`` if given; with ``keys`` only
+    the buckets of these are read."""
+    newest = latest_batch(spark, target, batches)
     if newest is None:
         raise FileNotFoundError(f"no state under {target}")
     manifest = read_manifest(spark, target, newest)
